@@ -187,7 +187,7 @@ SELECT concat('p', CAST(o_custkey AS STRING)) AS pipeline_id,
        concat('1.', CAST(o_orderkey AS STRING)) AS version, o_orderstatus = 'O' AS is_active,
        o_orderpriority <> '5-LOW' AS is_valid, o_orderpriority AS created_by, o_orderdate AS created_at,
        concat('{"pipeline_id":"p', CAST(o_custkey AS STRING),
-              '","store":"${pipeline_configs}/${registry.transform}/${unknown}","tasks":[',
+              '","store":"$', '{pipeline_configs}/$', '{registry.transform}/$', '{unknown}","tasks":[',
               CASE WHEN o_orderstatus = 'F'
                    THEN '{"task_id":"t2","depends_on":[]},{"task_id":"t1","depends_on":["t2"]},{"task_id":"t3","depends_on":["t1"]}'
                    ELSE '{"task_id":"t1","depends_on":[]},{"task_id":"t2","depends_on":["t1"]},{"task_id":"t3","depends_on":["t1","t2"]},{"task_id":"t4","depends_on":["t3"]}'
@@ -229,6 +229,69 @@ SELECT concat('global_', r_name) AS rule_name, CAST(NULL AS STRING) AS pipeline_
        CAST(90 AS DOUBLE) AS drop_pct, 'warning' AS severity, TRUE AS is_active
 FROM @region"""
 
+VIEWS["task_quality"] = """
+SELECT concat('run_', CAST(event_id AS STRING), '_t2_attempt1') AS task_run_id, concat('p', CAST(user_id AS STRING)) AS pipeline_id,
+       concat('{"checks": [{"check_type": "not_null", "column": "id", "passed": true, "count": 0, "action": "fail"}, ',
+              '{"check_type": "', CASE WHEN event_type = 'error' THEN 'unique' ELSE 'value_range' END,
+              '", "column": "v", "passed": ', CASE WHEN event_type IN ('error', 'click') THEN 'false' ELSE 'true' END,
+              ', "count": ', regexp_extract(props, '([0-9]+)', 1), ', "action": "warn"}]}') AS qc_results
+FROM @events"""
+
+VIEWS["task_inputs"] = """
+SELECT concat('run_', CAST(event_id AS STRING)) AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline_id, 't2' AS task_id,
+       concat('store/', event_type, '/t2') AS output_path,
+       concat('[{"type": "duckdb", "path": "store/', event_type, '/t1"}',
+              CASE WHEN event_type IN ('view', 'click')
+                   THEN concat(', {"type": "file", "path": "in/', CAST(user_id AS STRING), '.csv"}') ELSE '' END,
+              ']') AS input_sources
+FROM @events"""
+
+VIEWS["task_schemas"] = """
+SELECT concat('run_', CAST(event_id AS STRING)) AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline_id, 't1' AS task_id,
+       ts AS created_at, event_id,
+       concat('{"id": "BIGINT", "v": "', CASE WHEN event_type = 'view' THEN 'DOUBLE' ELSE 'INTEGER' END, '"',
+              CASE WHEN event_type = 'purchase' THEN ', "k": "VARCHAR"' ELSE '' END, '}') AS output_schema
+FROM @events"""
+
+# state reported by the platform the runs were started on
+VIEWS["external_runs"] = """
+SELECT concat('run_', CAST(event_id + 100 AS STRING)) AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline_id,
+       CASE event_type WHEN 'view' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running'
+                       WHEN 'signup' THEN 'queued' ELSE 'restarting' END AS state,
+       CASE WHEN event_id % 5 = 0 THEN 'Manual' ELSE 'scheduled' END AS run_type,
+       ts AS start_time, CASE WHEN event_type <> 'click' THEN ts + INTERVAL '90' SECOND END AS end_time
+FROM @events"""
+
+VIEWS["external_tasks"] = """
+SELECT concat('run_', CAST(event_id AS STRING)) AS run_id, 't3' AS task_id,
+       CASE event_type WHEN 'view' THEN 'success' WHEN 'error' THEN 'upstream_failed' WHEN 'click' THEN 'skipped'
+                       WHEN 'signup' THEN 'up_for_retry' ELSE 'failed' END AS state,
+       CASE WHEN event_type <> 'purchase' THEN ts END AS start_time,
+       CASE WHEN event_type <> 'click' THEN ts + INTERVAL '90' SECOND END AS end_time
+FROM @events"""
+
+VIEWS["task_failures"] = """
+SELECT concat('run_', CAST(event_id AS STRING), '_t3_attempt',
+              CASE WHEN event_type = 'view' THEN '9' ELSE CAST(1 + event_id % 3 AS STRING) END) AS task_run_id,
+       concat('run_', CAST(event_id AS STRING)) AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline_id, 't3' AS task_id,
+       ts + INTERVAL '4' MINUTE AS end_time, concat('killed: ', props) AS error_message
+FROM @events WHERE event_type IN ('click', 'view', 'error')"""
+
+VIEWS["run_updates"] = """
+SELECT concat('run_', CAST(event_id + 50 AS STRING)) AS run_id, concat('p', CAST(user_id AS STRING)) AS pipeline_id,
+       CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
+       CASE WHEN event_type <> 'click' THEN ts + INTERVAL '9' MINUTE END AS end_time,
+       CASE WHEN event_type <> 'click' THEN value END AS duration_seconds,
+       event_id % 7 AS total_tasks, CASE WHEN event_type = 'error' THEN props END AS error_message
+FROM @events"""
+
+# one request per pipeline: its newest version again, or a new one
+VIEWS["activations"] = """
+SELECT concat('p', CAST(o_custkey AS STRING)) AS pipeline_id,
+       CASE WHEN MAX(o_orderkey) % 2 = 0 THEN concat('1.', CAST(MAX(o_orderkey) AS STRING)) ELSE '2.0' END AS version,
+       'api' AS created_by, MAX(o_orderdate) AS created_at, '{"tasks":[]}' AS config
+FROM @orders GROUP BY o_custkey"""
+
 _BASE = re.compile(r"@([a-z]\w*)")
 _SEQ = re.compile(r"@SEQ\(([^,]+), ([^)]+)\)")
 
@@ -253,6 +316,7 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{v} AS ({check_text(v)})" for v in names)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
     return f"WITH {ctes}\n{body}"
