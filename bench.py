@@ -40,7 +40,7 @@ def duckdb_seconds(folder: str, cpus: int, checks: dict[str, str]) -> dict[str,
     con = duckdb.connect(config={"threads": cpus})
     for table in BASE_TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
-    return {name: timed(lambda sql=checks[name]: con.execute(sql).fetch_arrow_table()) for name in HEADLINE}
+    return {name: timed(lambda sql=checks[name]: con.execute(sql).to_arrow_table()) for name in HEADLINE}
 
 
 def main() -> None:

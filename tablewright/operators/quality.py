@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("action", T.StringType()),
 ])
 ALIASES = {"regex": "regex_match"}
+# A task that dies reaches Python as either, depending on what killed it.
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
 
 class DataQualityError(ValueError):
@@ -306,12 +309,12 @@ def run_suite(
     """
     try:
         rows = check_results(df, checks, tables, as_of).collect()
-    except PySparkException:
+    except SPARK_ERRORS:
         rows = []
         for no, check in enumerate(checks, start=1):
             try:
                 row = check_results(df, [check], tables, as_of).first()
-            except PySparkException as error:
+            except SPARK_ERRORS as error:
                 broken = _row(no, check, F.lit(False), F.lit(str(error)), _null())
                 row = _rows(df.sparkSession.range(1), [broken]).first()
             rows.append(row.asDict() | {"check_no": no})

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.numeric import half_up, hundredth, mean_of, money, no_null
+from tablewright.operators.distinct import distinct_count, group_with_distinct, join_groups
 
 
 def order_header(orders: DataFrame, customers: DataFrame, salespeople: DataFrame) -> DataFrame:
@@ -48,45 +49,53 @@ def order_lines_detail(lines: DataFrame) -> DataFrame:
     )
 
 
+_LINE_TOTALS = ("n_lines", "units", "net", "n_net", "net_rate")
+
+
+def _per_order(lines: DataFrame) -> DataFrame:
+    """Line totals of each order: an order with very many lines is one row per map task in the shuffle."""
+    net = F.col("Quantity") * F.col("UnitPrice")
+    totals = (
+        F.count("OrderLineID"), F.sum("Quantity"), F.sum(net), F.count(net), F.sum(net * F.col("TaxRate"))
+    )
+    return lines.groupBy("OrderID").agg(*[t.alias(n) for t, n in zip(totals, _LINE_TOTALS, strict=True)])
+
+
 def customer_monthly_sales(customers: DataFrame, orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Sales per customer and month.
 
-    Lines and orders meet on the order key; the sums are then taken per customer
-    and month before the customer table is joined, so no shuffle ever carries the
-    lines of one customer together. Two COUNT(DISTINCT) run in that aggregate.
-    Customer rows are grouped first and their multiplicity scales the sums, which
-    keeps the result equal to joining first even if a customer row is repeated.
+    Lines shrink to one row per order before they meet the orders; grouping by
+    order there needs no further shuffle and makes the distinct orders a plain
+    count. Distinct items take a second, two-column read of the lines. The customer
+    table is joined last, to one row per customer and month, so no shuffle ever
+    brings all lines of one customer together. Its rows are grouped first and their
+    multiplicity scales the sums, which keeps the result equal to joining first even
+    if a customer row is repeated.
     """
-    net = F.col("Quantity") * F.col("UnitPrice")
-    monthly = (
-        orders.where(F.col("CustomerID").isNotNull())
-        .select("OrderID", "CustomerID", F.date_trunc("month", "OrderDate").alias("OrderMonth"))
-        .join(lines.select("OrderLineID", "OrderID", "StockItemID", "Quantity", "UnitPrice", "TaxRate"), "OrderID")
-        .groupBy("CustomerID", "OrderMonth")
-        .agg(
-            F.count_distinct("OrderID").alias("OrderCount"),
-            F.count("OrderLineID").alias("n_lines"),
-            F.sum("Quantity").alias("units"),
-            F.sum(net).alias("net"),
-            F.count(net).alias("n_net"),
-            F.sum(net * F.col("TaxRate")).alias("net_rate"),
-            F.count_distinct("StockItemID").alias("UniqueItemsBought"),
-        )
+    heads = orders.where(F.col("CustomerID").isNotNull()).select(
+        "OrderID", "CustomerID", F.date_trunc("month", "OrderDate").alias("OrderMonth")
+    )
+    keys = ["CustomerID", "OrderMonth"]
+    order_totals = (
+        heads.join(_per_order(lines), "OrderID")
+        .groupBy("OrderID", *keys).agg(*[F.sum(c).alias(c) for c in _LINE_TOTALS])
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("OrderCount"), *[F.sum(c).alias(c) for c in _LINE_TOTALS])
     )
+    bought = heads.join(lines.select("OrderID", "StockItemID"), "OrderID")
+    monthly = join_groups(order_totals, distinct_count(bought, keys, "StockItemID", "UniqueItemsBought"), keys)
     named = customers.groupBy("CustomerID", "CustomerName", "IsOnCreditHold", "CreditLimit").agg(
         F.count(F.lit(1)).alias("copies")
     )
-    tax = hundredth(F.col("net_rate"))
-    copies = F.col("copies")
+    net, tax, copies = F.col("net"), hundredth(F.col("net_rate")), F.col("copies")
     return monthly.join(named, "CustomerID").select(
         "CustomerID", "CustomerName", "IsOnCreditHold", "CreditLimit",
         F.col("OrderMonth").cast("timestamp_ntz").alias("OrderMonth"),
         "OrderCount", (F.col("n_lines") * copies).alias("TotalOrderLines"),
         (F.col("units") * copies).alias("TotalUnits"),
-        money(F.col("net") * copies).alias("TotalRevenue"),
+        money(net * copies).alias("TotalRevenue"),
         money(tax * copies).alias("TotalTax"),
-        money((F.col("net") + tax) * copies).alias("TotalRevIncTax"),
-        mean_of(F.col("net"), F.col("n_net")).alias("AvgLineValue"),
+        money((net + tax) * copies).alias("TotalRevIncTax"),
+        mean_of(net, F.col("n_net")).alias("AvgLineValue"),
         "UniqueItemsBought",
     )
 
@@ -191,18 +200,10 @@ def daily_revenue_summary(
     count of distinct orders is spread over tasks by order, so a day or name with
     many orders is never held by one task.
     """
-    net = F.col("Quantity") * F.col("UnitPrice")
-    per_order = (
-        headers.select("OrderID", "CustomerID", "SalespersonPersonID",
-                       F.date_trunc("day", "OrderDate").alias("SalesDate"))
-        .join(
-            details.groupBy("OrderID").agg(
-                F.sum("Quantity").alias("units"), F.sum(net).alias("net"),
-                F.sum(net * F.col("TaxRate")).alias("net_rate"),
-            ),
-            "OrderID",
-        )
-    )
+    details = details.select(F.lit(1).alias("OrderLineID"), "OrderID", "Quantity", "UnitPrice", "TaxRate")
+    per_order = headers.select(
+        "OrderID", "CustomerID", "SalespersonPersonID", F.date_trunc("day", "OrderDate").alias("SalesDate")
+    ).join(_per_order(details), "OrderID")
     tax = hundredth(F.col("net_rate"))
     people = salespeople.select(F.col("PersonID").alias("SalespersonPersonID"), "SalespersonName")
     return (
@@ -223,16 +224,13 @@ def daily_revenue_summary(
 
 def product_velocity(details: DataFrame) -> DataFrame:
     """Units, orders, revenue and mean price per item, best sellers first."""
-    net = F.col("Quantity") * F.col("UnitPrice")
-    return (
-        details.groupBy("StockItemID", "StockItemDescription")
-        .agg(
-            F.sum("Quantity").alias("TotalUnitsSold"), F.count_distinct("OrderID").alias("OrderCount"),
-            money(F.sum(net)).alias("TotalRevenue"),
-            mean_of(F.sum("UnitPrice"), F.count("UnitPrice")).alias("AvgUnitPrice"),
-        )
-        .orderBy(F.desc("TotalUnitsSold"), "StockItemID")
-    )
+    totals = [
+        F.sum("Quantity").alias("TotalUnitsSold"),
+        money(F.sum(F.col("Quantity") * F.col("UnitPrice"))).alias("TotalRevenue"),
+        mean_of(F.sum("UnitPrice"), F.count("UnitPrice")).alias("AvgUnitPrice"),
+    ]
+    grouped = group_with_distinct(details, ["StockItemID", "StockItemDescription"], totals, {"OrderCount": "OrderID"})
+    return grouped.orderBy(F.desc("TotalUnitsSold"), "StockItemID")
 
 
 def limited_projection(items: DataFrame, n: int = 100) -> DataFrame:
