@@ -1,15 +1,30 @@
-"""Keyed merge of a staged table into a target, as a plan over DataFrames."""
+"""Keyed merge of staged rows into a target, as a plan over DataFrames.
+
+The staged side is usually far smaller than the target, so every join has it on the
+right, where Spark can broadcast it and leave the target unshuffled. The target is
+read once in full and once for its key columns. A key that many target rows share is
+split by adaptive execution in the left joins and folded early in the key list.
+
+Staged rows are read three times: pass a table or checkpoint, not a costly plan.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+NEW = "_new"
+
+
+def new(column: str) -> Column:
+    """Staged value of a column inside the ``changes`` of an upsert."""
+    return F.col(f"{NEW}.{column}")
 
-def _all_present(keys: Sequence[str]):
+
+def _all_present(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
@@ -21,46 +36,60 @@ def require_unique_keys(staged: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"staged rows repeat key {found}")
 
 
-def merge(
-    target: DataFrame, staged: DataFrame, keys: Sequence[str], update: bool = True, check: bool = True
+def absent_rows(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Staged rows whose key the target lacks; a NULL key is never found."""
+    wanted = staged.where(_all_present(keys)).select(*keys)
+    matched = target.where(_all_present(keys)).select(*keys).join(wanted, list(keys), "left_semi").distinct()
+    return staged.join(matched, list(keys), "left_anti")
+
+
+def upsert(
+    target: DataFrame,
+    staged: DataFrame,
+    keys: Sequence[str],
+    changes: Mapping[str, Column],
+    remove: Column | None = None,
 ) -> DataFrame:
-    """Target after the merge: matched rows take the staged columns, unmatched staged rows are added.
+    """Matched target rows take ``changes``, unmatched staged rows are added.
+
+    A change is an expression over the target's columns and ``new(column)``. Matched
+    rows for which ``remove`` holds are dropped, and so are staged rows that meet it
+    without a match. Added rows have NULL where the target has more columns.
+    """
+    others = [c for c in staged.columns if c not in keys]
+    kept = target
+    if changes or remove is not None:
+        news = staged.where(_all_present(keys)).select(*keys, F.struct(*others).alias(NEW))
+        kept = target.join(news, list(keys), "left")
+        if remove is not None:
+            kept = kept.where(F.col(NEW).isNull() | ~remove)
+        kept = kept.select(*[
+            F.when(F.col(NEW).isNotNull(), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c)
+            for c in target.columns
+        ])
+    added = absent_rows(target, staged, keys)
+    if remove is not None:
+        added = added.withColumn(NEW, F.struct(*others)).where(~remove)
+    types = {f.name: f.dataType for f in target.schema.fields}
+    fitted = added.select(*[F.col(c).cast(types[c]).alias(c) for c in staged.columns if c in types])
+    return kept.unionByName(fitted, allowMissingColumns=True)
 
-    Columns the staged table lacks keep their target value and are NULL in added
-    rows. A table of keys only is insert-only. Rows with a NULL key never match; they
-    bypass the joins so that they cannot pile up in one join partition.
 
-    The staged side is usually far smaller than the target. All joins are written
-    with the staged side on the right, so Spark can broadcast it and leave the target
-    unshuffled; the keys already present come from a semi join on the target's key
-    columns alone.
+def merge(target: DataFrame, staged: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
+    """Matched rows take the staged columns, the rest of the staged rows are added.
+
+    Columns the staged table lacks keep their target value; a table of keys only is
+    insert-only.
     """
     if not keys:
         raise ValueError("target.keys is required when mode='merge'")
     if check:
         require_unique_keys(staged, keys)
-    changed = [c for c in staged.columns if c not in keys and c in target.columns]
     types = {f.name: f.dataType for f in target.schema.fields}
-    staged = staged.select(*[F.col(c).cast(types[c]).alias(c) for c in staged.columns if c in types])
-    present = _all_present(keys)
-    keyed, staged_keyed = target.where(present), staged.where(present)
-
-    if update and changed:
-        news = staged_keyed.select(
-            *keys, F.struct(*[F.col(c) for c in changed]).alias("_new")
-        )
-        kept = keyed.join(news, list(keys), "left").select(*[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
-            for c in target.columns
-        ])
-    else:
-        kept = keyed
-    matched = keyed.select(*keys).join(staged_keyed.select(*keys), list(keys), "left_semi")
-    added = staged_keyed.join(matched, list(keys), "left_anti")
-    parts = [kept, target.where(~present), added, staged.where(~present)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*target.columns)
+    changes = {c: new(c).cast(types[c]) for c in staged.columns if c in types and c not in keys}
+    return upsert(target, staged, keys, changes)
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add only the rows whose key the target lacks."""
-    return merge(target, rows, keys, update=False)
+    return upsert(target, rows, keys, {})

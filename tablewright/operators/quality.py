@@ -364,15 +364,19 @@ def mark_violations(
 
 
 def drop_rows(
-    df: DataFrame, checks: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None
+    df: DataFrame, checks: Sequence[Mapping], path: str, tables: Mapping[str, DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Clean rows, and quarantined rows with the checks they broke.
 
-    Declared action: every row of a duplicate group is quarantined.
+    The checks run once: rows are written to ``path`` in a clean and a quarantined
+    partition and each side is read back alone. Declared action: every row of a
+    duplicate group is quarantined.
     """
-    marked = mark_violations(df, checks, tables)
-    clean = marked.where(F.size("violations") == 0).drop("violations")
-    return clean, marked.where(F.size("violations") > 0)
+    marked = mark_violations(df, checks, tables).withColumn("quarantined", F.size("violations") > 0)
+    marked.write.mode("overwrite").partitionBy("quarantined").parquet(path)
+    split = df.sparkSession.read.schema(marked.schema).parquet(path)
+    clean = split.where("NOT quarantined").select(*df.columns)
+    return clean, split.where("quarantined").select(*df.columns, "violations")
 
 
 ISSUE_SCHEMA = "column string, issue string, expected string, actual string"

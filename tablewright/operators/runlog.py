@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.numeric import half_up, mean_of
-from tablewright.operators.merge import insert_if_absent
+from tablewright.operators.merge import absent_rows, insert_if_absent, new, upsert
 from tablewright.operators.ordered import group_percentile, newest_per_key, with_previous
 
 RUN_STATES = ["success", "failed", "running", "queued"]
@@ -116,19 +116,17 @@ def config_activate(configs: DataFrame, requests: DataFrame) -> DataFrame:
 
     ``requests`` holds one row per pipeline.
     """
-    asked = requests.select(
-        "pipeline_id", F.col("version").alias("_version"), F.col("config").alias("_config")
-    )
-    chosen = F.col("version") == F.col("_version")
-    known = F.col("_version").isNotNull()
+    asked = requests.select("pipeline_id", F.struct("version", "config").alias("_asked"))
+    known, chosen = F.col("_asked").isNotNull(), F.col("version") == F.col("_asked.version")
+    changes = {
+        "is_active": F.when(known, chosen).otherwise(F.col("is_active")),
+        "config": F.when(chosen, F.col("_asked.config")).otherwise(F.col("config")),
+    }
     updated = configs.join(asked, "pipeline_id", "left").select(*[
-        F.when(known, chosen).otherwise(F.col("is_active")).alias("is_active") if c == "is_active"
-        else F.when(chosen, F.col("_config")).otherwise(F.col("config")).alias("config") if c == "config"
-        else F.col(c)
-        for c in configs.columns
+        changes[c].alias(c) if c in changes else F.col(c) for c in configs.columns
     ])
-    added = requests.withColumn("is_active", F.lit(True)).withColumn("is_valid", F.lit(True))
-    return insert_if_absent(updated, added, ["pipeline_id", "version"])
+    added = absent_rows(configs, requests, ["pipeline_id", "version"])
+    return updated.unionByName(added.withColumn("is_active", F.lit(True)).withColumn("is_valid", F.lit(True)))
 
 
 _TASKS = "STRUCT<tasks: ARRAY<STRUCT<task_id: STRING, depends_on: ARRAY<STRING>>>>"
@@ -378,8 +376,8 @@ def run_rollup(tasks: DataFrame) -> DataFrame:
         F.when(F.bool_or(state == "running"), "running").when(F.bool_or(state == "failed"), "failed")
         .when(F.every(state == "success"), "success").otherwise("pending")
     )
-    return tasks.groupBy("run_id").agg(
-        F.min("pipeline_id").alias("pipeline_id"), F.min("start_time").alias("min_start"), F.max("end_time").alias("max_end"),
+    return tasks.groupBy("run_id", "pipeline_id").agg(
+        F.min("start_time").alias("min_start"), F.max("end_time").alias("max_end"),
         F.count(F.lit(1)).alias("tasks"), F.count_if(state == "success").alias("success"),
         F.count_if(state == "failed").alias("failed"),
         F.coalesce(F.sum("output_row_count"), F.lit(0)).alias("total_rows"), folded.alias("status"),
@@ -388,15 +386,17 @@ def run_rollup(tasks: DataFrame) -> DataFrame:
 
 # ---- state folds ---------------------------------------------------------------
 
-def run_counters(events: DataFrame, total_tasks: int = 0) -> DataFrame:
-    """Completed and failed tasks and rows per run from the task event log."""
+def run_counters(events: DataFrame, total_tasks: int) -> DataFrame:
+    """Completed and failed tasks and rows per run from the task event log.
+
+    ``total_tasks`` is the number of tasks the config declares.
+    """
     state = F.lower("status")
-    return events.groupBy("run_id").agg(
-        F.min("pipeline_id").alias("pipeline_id"),
+    return events.groupBy("run_id", "pipeline_id").agg(
         F.count_if(state == "success").alias("completed_tasks"),
         F.count_if(state == "failed").alias("failed_tasks"),
         F.coalesce(F.sum(F.when(state == "success", F.col("output_row_count"))), F.lit(0)).alias("total_rows_processed"),
-        F.greatest(F.count_distinct("task_id"), F.lit(total_tasks).cast("bigint")).alias("total_tasks"),
+        F.lit(total_tasks).cast("bigint").alias("total_tasks"),
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("last_end"),
     )
@@ -445,18 +445,9 @@ def task_run_upsert(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataF
 
 def run_upsert(runs: DataFrame, updates: DataFrame) -> DataFrame:
     """Runs after one batch of updates, one per run: state replaced, gaps filled, task count never shrinking."""
-    old = runs.withColumn("_at", F.lit(0))
-    new = updates.withColumn("_at", F.lit(1))
-    at = F.col("_at")
-    both = old.unionByName(new, allowMissingColumns=True)
-    kept = [c for c in ("end_time", "duration_seconds", "error_message") if c in both.columns]
-    first = [c for c in both.columns if c not in {*kept, "run_id", "status", "total_tasks", "_at"}]
-    return both.groupBy("run_id").agg(
-        F.max_by("status", at).alias("status"),
-        *[latest_known(c, at) for c in kept],
-        F.max("total_tasks").alias("total_tasks"),
-        *[F.min_by(F.struct(c), at)[c].alias(c) for c in first],
-    )
+    filled = {c: F.coalesce(new(c), F.col(c)) for c in ("end_time", "duration_seconds", "error_message")}
+    changes = {"status": new("status"), "total_tasks": F.greatest(new("total_tasks"), "total_tasks"), **filled}
+    return upsert(runs, updates, ["run_id"], changes)
 
 
 def run_insert_if_absent(runs: DataFrame, started: DataFrame) -> DataFrame:
@@ -469,23 +460,16 @@ def mark_failed_once(tasks: DataFrame, failures: DataFrame) -> DataFrame:
     A row already failed is left alone; a report without a row adds one. Summing
     ``newly_failed`` per run gives the amount to add to its failure counter.
     """
-    reports = failures.select(
-        "task_run_id", F.col("end_time").alias("_end"), F.substring("error_message", 1, 2000).alias("_error"),
-        F.lit(True).alias("_reported"),
-    )
-    hit = F.coalesce(F.col("_reported") & (F.col("status") != "failed"), F.lit(False))
-    changes = {
-        "status": F.when(hit, "failed").otherwise(F.col("status")),
-        "end_time": F.when(hit, F.coalesce("end_time", "_end")).otherwise(F.col("end_time")),
-        "error_message": F.when(hit, F.coalesce("error_message", "_error")).otherwise(F.col("error_message")),
-    }
-    updated = tasks.join(reports, "task_run_id", "left").select(
-        *[changes[c].alias(c) if c in changes else F.col(c) for c in tasks.columns], hit.alias("newly_failed")
-    )
-    added = failures.withColumns({
+    reports = failures.withColumns({
         "status": F.lit("failed"), "newly_failed": F.lit(True), "error_message": F.substring("error_message", 1, 2000),
     })
-    return insert_if_absent(updated, added, ["task_run_id"])
+    open_ = F.col("status") != "failed"
+    changes = {
+        "status": new("status"),
+        "newly_failed": F.coalesce(open_, F.lit(False)),
+        **{c: F.when(open_, F.coalesce(F.col(c), new(c))).otherwise(F.col(c)) for c in ("end_time", "error_message")},
+    }
+    return upsert(tasks.withColumn("newly_failed", F.lit(False)), reports, ["task_run_id"], changes)
 
 
 def run_backfill(runs: DataFrame, external: DataFrame) -> DataFrame:
@@ -495,16 +479,12 @@ def run_backfill(runs: DataFrame, external: DataFrame) -> DataFrame:
     seen = external.where(F.length("run_id") > 0).select(
         "run_id", "pipeline_id", state.alias("status"), trigger.alias("trigger_type"), "start_time", "end_time"
     )
-    news = seen.select("run_id", F.col("status").alias("_status"), F.col("end_time").alias("_end"))
-    follow = F.coalesce((F.col("status") == "running") & F.col("_status").isNotNull(), F.lit(False))
+    running = F.col("status") == "running"
     changes = {
-        "status": F.when(follow, F.col("_status")).otherwise(F.col("status")),
-        "end_time": F.when(follow, F.coalesce("_end", "end_time")).otherwise(F.col("end_time")),
+        "status": F.when(running, new("status")).otherwise(F.col("status")),
+        "end_time": F.when(running, F.coalesce(new("end_time"), "end_time")).otherwise(F.col("end_time")),
     }
-    updated = runs.join(news, "run_id", "left").select(
-        *[changes[c].alias(c) if c in changes else F.col(c) for c in runs.columns]
-    )
-    return insert_if_absent(updated, seen, ["run_id"])
+    return upsert(runs, seen, ["run_id"], changes)
 
 
 def state_reconcile(rows: DataFrame, external: DataFrame, keys: Sequence[str], states: Sequence[str]) -> DataFrame:
@@ -568,8 +548,9 @@ def row_count_changes(tasks: DataFrame) -> DataFrame:
 def alert_rules_eval(rules: DataFrame, tasks: DataFrame, runs: DataFrame, pipelines: DataFrame) -> DataFrame:
     """Alerts the active rules raise. Declared conditions: task_failed, sla_breach and row_count_drop.
 
-    A rule without a pipeline applies to all. Both kinds join on equality, by
-    condition and pipeline or by condition alone.
+    A rule without a pipeline applies to all. Each finding is looked up under its
+    pipeline and under "any", so one equality join serves both kinds of rule and the
+    findings are computed once.
     """
     none = F.lit(None).cast("double")
     failed = tasks.where(F.col("status") == "failed").select(
@@ -584,11 +565,14 @@ def alert_rules_eval(rules: DataFrame, tasks: DataFrame, runs: DataFrame, pipeli
         F.col("drop_pct").alias("measure"),
     )
     found = failed.unionByName(late).unionByName(dropped)
-    active = rules.where("is_active").select("rule_name", "rule_condition", "severity", "drop_pct", "pipeline_id")
-    own = found.join(active.where(F.col("pipeline_id").isNotNull()), ["rule_condition", "pipeline_id"])
-    shared = found.join(active.where(F.col("pipeline_id").isNull()).drop("pipeline_id"), "rule_condition")
+    anywhere = "*"
+    active = rules.where("is_active").select(
+        "rule_name", "rule_condition", "severity", "drop_pct",
+        F.coalesce("pipeline_id", F.lit(anywhere)).alias("applies_to"),
+    )
+    looked_up = found.withColumn("applies_to", F.explode(F.array("pipeline_id", F.lit(anywhere))))
     fires = (F.col("rule_condition") != "row_count_drop") | (F.col("measure") >= F.col("drop_pct"))
-    return own.unionByName(shared).where(fires).select(
+    return looked_up.join(active, ["rule_condition", "applies_to"]).where(fires).select(
         "rule_name", "rule_condition", "severity", "pipeline_id", "run_id", "task_id", "measure"
     )
 

@@ -145,9 +145,9 @@ LEFT JOIN raw_customers c ON o.CustomerID = c.CustomerID
 LEFT JOIN raw_salespeople s ON o.SalespersonPersonID = s.PersonID
 GROUP BY 1, 2, 3""")
 def daily_revenue_summary(t):
-    headers = b.order_header(t.raw_orders, t.raw_customers, t.raw_salespeople)
+    """The header columns it needs are the orders' own, so the header joins are not repeated here."""
     return b.daily_revenue_summary(
-        headers, b.order_lines_detail(t.raw_order_lines), t.raw_customers, t.raw_salespeople
+        t.raw_orders, b.order_lines_detail(t.raw_order_lines), t.raw_customers, t.raw_salespeople
     )
 
 

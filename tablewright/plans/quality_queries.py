@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import quality as q
 from tablewright.plans.mapping import AS_OF_ORDERS
 from tablewright.plans.registry import query
+from tablewright.session import scratch_path
 
 
 def _literal(text: str | None) -> str:
@@ -256,7 +257,7 @@ def dq_drop_rows(t):
         {"type": "value_range", "column": "Quantity", "min": 10},
         {"type": "unique", "column": "OrderLineID"},
         {"type": "referential_integrity", "column": "OrderID", "parent_table": "known_orders"}],
-        {"known_orders": known})
+        scratch_path(t.spark, "quarantine"), {"known_orders": known})
     text = bad.withColumn("violations", F.concat_ws("; ", "violations"))
     return clean.withColumn("violations", F.lit("")).unionByName(text)
 

@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators.merge import merge
+from tablewright.operators.merge import new, upsert
 from tablewright.operators.ordered import newest_per_key
+from tablewright.session import shared_root
 from tablewright.sinks.store import path_exists
 
 OPEN_END = "9999-12-31 23:59:59.9999999"
@@ -92,10 +93,13 @@ def cdc_extract(changes: DataFrame, base: DataFrame, key: str, operation: str =
 def cdc_apply(
     base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], operation: str = "operation"
 ) -> DataFrame:
-    """Base after the newest change of each key: deletes removed, the rest merged in."""
+    """Base after the newest change of each key: deletes removed, the rest merged in.
+
+    The newest changes are checkpointed, as the merge reads them more than once.
+    """
+    shared_root(base.sparkSession)
     latest = newest_per_key(
         changes.where(F.col(operation) != BEFORE_UPDATE), keys, [F.desc(c) for c in order]
-    )
-    gone = latest.where(F.col(operation) == DELETE).select(*keys)
-    rows = latest.where(F.col(operation) != DELETE).select(*[c for c in changes.columns if c in base.columns])
-    return merge(base.join(gone, list(keys), "left_anti"), rows, keys, check=False)
+    ).checkpoint()
+    taken = {c: new(c) for c in changes.columns if c in base.columns and c not in keys}
+    return upsert(base, latest, keys, taken, remove=new(operation) == DELETE)
