@@ -178,7 +178,7 @@ SELECT event_id AS id,
                        WHEN 'error' THEN 'task_failed' WHEN 'purchase' THEN 'run_completed'
                        ELSE 'config_updated' END AS event_type,
        concat('p', CAST(user_id AS STRING)) AS pipeline_id, concat('run_', CAST(event_id AS STRING)) AS run_id,
-       CASE WHEN value > 50 THEN 'airflow' ELSE 'api' END AS user_name,
+       CASE WHEN value > 50 THEN 'scheduler' ELSE 'api' END AS user_name,
        CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, props AS details, ts AS logged_at
 FROM @events"""
 

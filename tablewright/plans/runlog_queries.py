@@ -135,10 +135,10 @@ def latest_task_attempt(t):
 
 
 @query("audit_search", """
-SELECT * FROM audit_logs WHERE event_type IN ('task_failed', 'query_executed') AND user_name = 'airflow'
+SELECT * FROM audit_logs WHERE event_type IN ('task_failed', 'query_executed') AND user_name = 'scheduler'
 ORDER BY logged_at DESC, id LIMIT 100 OFFSET 100""")
 def audit_search(t):
-    return r.audit_search(t.audit_logs, event_type=["task_failed", "query_executed"], user="airflow", number=2)
+    return r.audit_search(t.audit_logs, event_type=["task_failed", "query_executed"], user="scheduler", number=2)
 
 
 @query("alerts_search", """

@@ -83,13 +83,13 @@ def test_producer_walk():
 
 
 ENV = {"s3_buckets": {"b": "bucket"}, "container_registries": {"t": "${b}"}, "secrets": {"s": 5},
-       "connections": {"wwi": {"type": "mssql", "host": "h"}}}
+       "connections": {"src": {"type": "mssql", "host": "h"}}}
 TEXT = "${b}/${registry.t}/${secret.s}/${none}/${/$b}${"
 
 
 def test_resolve_config():
-    got = resolve_config({"tasks": [{"source": {"connection": "wwi", "path": TEXT, "n": [1, "${b}"]}}]}, ENV)
-    assert got["tasks"][0]["source"] == {"type": "mssql", "host": "h", "connection": "wwi", "n": [1, "bucket"],
+    got = resolve_config({"tasks": [{"source": {"connection": "src", "path": TEXT, "n": [1, "${b}"]}}]}, ENV)
+    assert got["tasks"][0]["source"] == {"type": "mssql", "host": "h", "connection": "src", "n": [1, "bucket"],
                                          "path": "bucket/${b}/5/${none}/${/$b}${"}
 
 

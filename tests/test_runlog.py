@@ -100,7 +100,7 @@ def test_failure_alert_text(spark):
 
 
 def test_search_matches_any_case(spark, rows):
-    df = spark.createDataFrame([("wwi_sales", "Daily", "active", "file"), ("x", "WWI stock", "paused", "file")],
+    df = spark.createDataFrame([("abc_sales", "Daily", "active", "file"), ("x", "ABC stock", "paused", "file")],
                                "pipeline_id string, name string, status string, source_type string")
-    assert r.search_pipelines(df, search="WwI").count() == 2
-    assert rows(r.search_pipelines(df, status="paused", search="wwi").select("pipeline_id")) == [("x",)]
+    assert r.search_pipelines(df, search="AbC").count() == 2
+    assert rows(r.search_pipelines(df, status="paused", search="abc").select("pipeline_id")) == [("x",)]
