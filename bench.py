@@ -21,7 +21,7 @@ HEADLINE = (
     "dq_referential_integrity cdc_apply latest_run_per_pipeline kpi_dashboard kpi_windowed throughput_hourly run_rollup "
     "task_run_upsert run_upsert alert_rules_eval daily_pipeline_metrics explore_summarize"
 ).split()
-RUNS = 2
+RUNS = 3
 
 
 def timed(action) -> float:

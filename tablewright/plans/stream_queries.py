@@ -20,7 +20,7 @@ def _feed(t, df, files: int = 4):
     path = scratch_path(t.spark, "feed")
     df.repartition(files).write.parquet(path)
     schema = t.spark.read.parquet(path).schema
-    return streams.file_stream(t.spark, path, schema, files_per_batch=max(1, files // 4))
+    return streams.file_stream(t.spark, path, schema, files_per_batch=1)
 
 
 def _store(t) -> TableStore:
@@ -44,7 +44,7 @@ FROM pipeline_runs GROUP BY 1""")
 def stream_throughput(t):
     store = _store(t)
     runs = t.pipeline_runs.select("status", F.col("start_time").cast("timestamp").alias("start_time"), "total_rows_processed")
-    streams.throughput(_feed(t, runs), store, "throughput", scratch_path(t.spark, "stream"), late="40 days")
+    streams.throughput(_feed(t, runs, files=2), store, "throughput", scratch_path(t.spark, "stream"), late="40 days")
     return store.read("throughput")
 
 

@@ -81,6 +81,11 @@ def write_counted(df: DataFrame, path: str, mode: str = "overwrite", **options:
     return WriteStats(path, seen.get["rows"], schema_names(df), size_of(spark, path))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _path(spark, path)
+    fs.delete(hadoop, True)
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -133,10 +138,22 @@ class TableStore:
         stage = f"{self._folder(table)}/stage-{uuid.uuid4().hex[:12]}"
         df.write.parquet(stage)
         staged = self.spark.read.parquet(stage)
-        require_unique_keys(staged, keys)
-        if not self.exists(table):
-            return self._publish(table, staged, run_id)
-        return self._publish(table, merge(self.read(table), staged, keys, check=False), run_id)
+        try:
+            require_unique_keys(staged, keys)
+            merged = merge(self.read(table), staged, keys, check=False) if self.exists(table) else staged
+            return self._publish(table, merged, run_id)
+        finally:
+            _remove(self.spark, stage)
+
+    def vacuum(self, table: str) -> int:
+        """Remove snapshots no longer current, once nobody reads them any more."""
+        fs, folder = _path(self.spark, self._folder(table))
+        current = self._current(table)
+        old = [f.getPath() for f in fs.listStatus(folder)
+               if f.getPath().getName().startswith("snap-") and not current.endswith(f.getPath().getName())]
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
 
 
 def fit_columns(df: DataFrame, target: DataFrame, generated: Sequence[str] = ()) -> DataFrame:

@@ -74,3 +74,12 @@ def decode_json_or_raw(df: DataFrame, schema: str | None = None, value: str = "v
         value, _struct(schema, f"{_BAD}: STRING"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     )
     return df.select(parsed.alias("m")).select("m.*").withColumnRenamed(_BAD, "raw")
+
+
+def consume(
+    df: DataFrame, order: list[str], schema: str | None = None, max_messages: int | None = MAX_MESSAGES,
+    keep_raw: bool = False, value: str = "value",
+) -> DataFrame:
+    """One bounded batch: the first messages in arrival order, decoded; ``keep_raw`` keeps texts that are not JSON."""
+    batch = first_messages(df, order, max_messages)
+    return decode_json_or_raw(batch, schema, value) if keep_raw else decode_json(batch, schema, value)

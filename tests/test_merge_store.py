@@ -68,6 +68,8 @@ def test_store_merge(spark, store, rows):
     store.merge("t", frame(spark, [(1, "a", 1)]), ["id"], "r1")
     store.merge("t", frame(spark, [(1, "A", 2), (5, "e", 5)]), ["id"], "r2")
     assert rows(store.read("t")) == [(1, "A", 2), (5, "e", 5)]
+    assert store.vacuum("t") == 1
+    assert rows(store.read("t")) == [(1, "A", 2), (5, "e", 5)]
     with pytest.raises(ValueError, match="repeat key"):
         store.merge("t", frame(spark, [(7, "x", 1), (7, "y", 1)]), ["id"])
     assert store.read("t").count() == 2

@@ -135,6 +135,9 @@ def test_message_limit(spark, rows):
     df = spark.createDataFrame([(i, str(i)) for i in (3, 1, 2)], "offset int, value string")
     assert rows(messages.first_messages(df, ["offset"], 2).select("offset")) == [(1,), (2,)]
     assert messages.first_messages(df, ["offset"], None).count() == 3
+    texts = df.selectExpr("offset", "concat('{\"v\":', value, '}') AS value")
+    assert rows(messages.consume(texts, ["offset"], max_messages=2)) == [(1,), (2,)]
+    assert rows(messages.consume(df.selectExpr("offset", "'x' AS value"), ["offset"], "v INT", 1, keep_raw=True)) == [(None, "x")]
     assert messages.kafka_options("b:1", "t", "latest")["startingOffsets"] == "latest"
 
 
