@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from tablewright.session import shared_root
 
-GROUP_ROWS = 5_000_000
+# Rows of the largest group that one task may sort, or whose values it may hold for a percentile.
+GROUP_ROWS = 2_000_000
+PERCENTILE_ROWS = 500_000
 _SLICE, _CARRY = "_slice", "_carry"
 
 
@@ -40,8 +42,8 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def _join_borders(rows: DataFrame, borders: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Attach border rows. A key reaches past a border at most once per slice, so there are
-    no more border rows than slices and they can be broadcast whatever the data size."""
+    """Attach border rows. Only the first and the last key of a slice can reach past its borders, so
+    there are at most two border rows per slice and they can be broadcast whatever the data size."""
     renamed = borders.select(
         F.col(_SLICE).alias("_b_slice"), *[F.col(k).alias(f"_b_{k}") for k in keys], *columns
     )
@@ -106,7 +108,7 @@ def with_rank_and_size(df: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 def group_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, group_rows: int = GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, group_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Exact interpolated percentile per group.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -120,11 +121,13 @@ def write_database(df: DataFrame, target: Mapping, generated: Sequence[str] = ()
     writer = df.write.format("jdbc").options(**options).option("batchsize", BATCH_ROWS)
     if mode == "merge":
         keys = target.get("keys", [])
-        stage = f"{table}_stage"
+        stage = f"{table}_stage_{uuid.uuid4().hex[:8]}"
         statement = merge_statement(dialect, schema, table, stage, df.columns, keys)
         writer.option("dbtable", f"{schema}.{stage}").mode("overwrite").save()
-        run_statement(df.sparkSession, options, statement)
-        run_statement(df.sparkSession, options, f"DROP TABLE {qualified(dialect, schema, stage)}")
+        try:
+            run_statement(df.sparkSession, options, statement)
+        finally:
+            run_statement(df.sparkSession, options, f"DROP TABLE {qualified(dialect, schema, stage)}")
     elif mode == "overwrite":
         writer.option("dbtable", f"{schema}.{table}").option("truncate", True).mode("overwrite").save()
     else:
