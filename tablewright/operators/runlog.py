@@ -418,11 +418,6 @@ def run_finalize(counters: DataFrame) -> DataFrame:
     )
 
 
-def latest(column: str, order: Column) -> Column:
-    """Value of the newest event, NULL included."""
-    return F.max_by(F.struct(column), order)[column].alias(column)
-
-
 def latest_known(column: str, order: Column) -> Column:
     """Newest value that is not NULL: a later NULL does not erase it."""
     return F.max_by(column, F.when(F.col(column).isNotNull(), order)).alias(column)
@@ -432,14 +427,18 @@ def task_run_upsert(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataF
     """Task events folded to one row per attempt.
 
     State, end and error come from the newest event; outputs keep their last known
-    value; identity and start stay as first written.
+    value; the start stays as first written. An attempt's id fixes its run, pipeline
+    and task.
     """
-    at = F.struct(*order)
-    return events.groupBy("task_run_id").agg(
-        *[F.min_by(F.struct(c), at)[c].alias(c) for c in ("run_id", "pipeline_id", "task_id", "start_time")],
-        F.lower(F.max_by("status", at)).alias("status"),
-        *[latest(c, at) for c in ("end_time", "error_message")],
-        *[latest_known(c, at) for c in ("output_row_count", "output_path")],
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    ids = ["task_run_id", "run_id", "pipeline_id", "task_id"]
+    return events.groupBy(*ids).agg(
+        F.min_by(F.struct("start_time"), at).alias("_first"),
+        F.max_by(F.struct("status", "end_time", "error_message"), at).alias("_last"),
+        latest_known("output_row_count", at), latest_known("output_path", at),
+    ).select(
+        *ids, "_first.start_time", F.lower("_last.status").alias("status"), "_last.end_time", "_last.error_message",
+        "output_row_count", "output_path",
     )
 
 
