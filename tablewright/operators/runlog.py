@@ -403,7 +403,9 @@ def run_counters(events: DataFrame, total_tasks: int) -> DataFrame:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))).cast("double") / 1e6
+    """Elapsed seconds, whatever the session time zone."""
+    elapsed = end.cast("timestamp_ntz") - start.cast("timestamp_ntz")
+    return elapsed.cast("interval second").cast("decimal(18,6)").cast("double")
 
 
 def run_finalize(counters: DataFrame) -> DataFrame:
