@@ -14,6 +14,7 @@ while planes remain. Buckets give spanning edges only, never all their pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -123,26 +124,28 @@ def finer_masks(mask: int, radius: int) -> list[int]:
 
 
 def bucketed(fps: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFrame:
-    """``(mask, part, fp)`` for different fingerprints ``fp``: pairs within the radius share a bucket of bounded size."""
-    masks = first_masks(radius)
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-    rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
-    while 2 ** (64 - min(m.bit_count() for m in masks)) > limit:
-        large = rows.groupBy("mask", "part").count().where(F.col("count") > limit).select("mask", "part", F.lit(1).alias("large"))
+    """``(mask, part, fp)`` for different fingerprints ``fp``: pairs within the radius share a bucket of bounded size.
+
+    Only the rows of buckets beyond ``limit`` go through another round, with the
+    finer masks of those masks that have such a bucket. The driver sees masks,
+    whose number depends on the radius and the round, never on the data.
+    """
+    spark = fps.sparkSession
+    masks = F.array(*[F.lit(_signed(m)) for m in first_masks(radius)])
+    rows = fps.select("fp", F.explode(masks).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+    settled = []
+    while True:
+        large = rows.groupBy("mask", "part").count().where(F.col("count") > limit).select("mask", "part")
         large = written(large, "large")
-        if large.isEmpty():
-            break
-        finer = F.create_map(*[F.lit(x) for m in masks for x in (_signed(m), [_signed(f) for f in finer_masks(m, radius)])])
-        marked = rows.join(large, ["mask", "part"], "left")
-        next_masks = F.when(F.col("large").isNull(), F.array("mask")).otherwise(F.element_at(finer, F.col("mask")))
-        rows = marked.select("fp", F.explode(next_masks).alias("mask"))
-        rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = sorted({f for m in masks for f in finer_masks(m, radius)} | set(masks))
-        rows = written(rows, "buckets")
-        if min(m.bit_count() for m in masks) >= 64:
-            break
-        masks = [m for m in masks if m.bit_count() < 64]
-    return rows
+        wide = [r["mask"] for r in large.select("mask").distinct().collect()]
+        if not wide:
+            return reduce(DataFrame.unionByName, [*settled, rows])
+        settled.append(rows.join(large, ["mask", "part"], "left_anti"))
+        finer = [(m, [_signed(f) for f in finer_masks(m % 2**64, radius)]) for m in wide]
+        finer = spark.createDataFrame(finer, "mask bigint, finer array<bigint>")
+        opened = rows.join(large, ["mask", "part"]).join(F.broadcast(finer), "mask")
+        opened = opened.select("fp", F.explode("finer").alias("mask"))
+        rows = written(opened.withColumn("part", F.col("fp").bitwiseAND(F.col("mask"))).distinct(), "buckets")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -232,6 +235,8 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFram
     """Edges ``(a, b)`` whose components are those of "differ in at most ``radius`` bits"."""
     if not 0 <= radius <= 2:
         raise ValueError("the carry-save counter holds distances up to 2")
+    if limit < 2 ** radius:
+        raise ValueError("a bucket must hold all values of as many free bits as the radius")
     rows = bucketed(fps.select("fp").distinct(), radius, limit)
     placed = rows.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
     return placed.mapInArrow(_bucket_edges(radius), "a bigint, b bigint")
