@@ -9,6 +9,7 @@ once; otherwise it stays a plan that Spark optimises together with its consumer.
 from __future__ import annotations
 
 import json
+import uuid
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -121,14 +122,16 @@ def run_pipeline(
     upstream: Mapping[str, Mapping[str, DataFrame]] | None = None,
     topics: Mapping[str, Callable[[], DataFrame]] | None = None,
     ds: str = "",
-    run_id: str = "manual",
+    run_id: str | None = None,
     as_of: Column | None = None,
 ) -> Run:
     """Run every table task of a config; notifications and outside triggers are recorded as skipped.
 
     A connection is a database description, or a ``{table: frame}`` mapping to query.
-    ``upstream`` holds the published tables of other pipelines by pipeline id.
+    ``upstream`` holds the published tables of other pipelines by pipeline id. A re-run
+    gives the ``run_id`` of the run it repeats; without one this is a new run.
     """
+    run_id = run_id or f"manual-{uuid.uuid4().hex[:12]}"
     tasks = {t["task_id"]: t for t in config["tasks"]}
     pipeline_id = config["pipeline_id"]
     run = Run(spark, pipeline_id, run_id)
@@ -183,12 +186,12 @@ def run_pipeline(
                 target = dict(task.get("target", {}))
                 if kind != "load_target":
                     target.setdefault("type", kind.split("_")[0])
-                report = load_target(source_frame(task), target, store, pipeline_id, run_id)
+                report = load_target(source_frame(task), target, store, pipeline_id, run_id, task_id)
                 record |= {"message": str(report), "output_row_count": report.rows, "output_table": target.get("table")}
             else:
                 record["status"] = "skipped"
         except Exception as error:
-            record |= {"status": "failed", "message": str(error)[:2000]}
+            record |= {"status": "failed", "message": str(error)}
             error.run_log = run.records
             raise
     return run

@@ -49,6 +49,26 @@ def load_append(t):
     return store.read("OrderEnriched")
 
 
+@query("load_append_tasks", f"SELECT {_COLUMNS} FROM orders")
+def load_append_tasks(t):
+    """Two tasks of one run append to one table."""
+    store, target = _store(t), {"type": "table", "table": "Shared", "mode": "append"}
+    targets.load_target(_orders(t).where(_early()), target, store, run_id="r1", task_id="early")
+    targets.load_target(_orders(t).where(~_early()), target, store, run_id="r1", task_id="late")
+    return store.read("Shared")
+
+
+@query("load_merge_then_append", f"""
+SELECT {_COLUMNS} FROM orders UNION ALL SELECT {_COLUMNS} FROM orders WHERE NOT ({_EARLY})""")
+def load_merge_then_append(t):
+    """An append of a run that merged before adds to the merged rows; it reads the table it appends to."""
+    store, merged = _store(t), {"type": "table", "table": "Orders", "mode": "merge", "keys": ["o_orderkey"]}
+    targets.load_target(_orders(t), merged, store, run_id="r1")
+    added = {"type": "table", "table": "Orders", "mode": "append"}
+    targets.load_target(store.read("Orders").where(~_early()), added, store, run_id="r1")
+    return store.read("Orders")
+
+
 @query("load_overwrite", f"SELECT {_COLUMNS} FROM orders WHERE NOT ({_EARLY})")
 def load_overwrite(t):
     store, target = _store(t), {"type": "table", "table": "StockLevels", "write_mode": "replace"}
@@ -70,8 +90,8 @@ def load_merge(t):
         "o_orderkey", F.col("o_orderstatus").alias("state"), F.col("o_custkey").alias("owner"), F.col("o_totalprice").alias("amount"))
     done = t.orders.where("o_orderstatus = 'F'").select(
         "o_orderkey", F.lit("done").alias("state"), (F.col("o_totalprice") * 2).alias("amount"))
-    targets.load_target(early, target, store, run_id="r1")
-    targets.load_target(done, target, store, run_id="r2")
+    targets.load_target(early, target, store)
+    targets.load_target(done, target, store)
     return store.read("Orders")
 
 
@@ -143,5 +163,5 @@ def export_result(t):
 SELECT concat('Loaded ', COUNT(*), ' rows to table:Lines') AS report, COUNT(*) AS n_rows FROM lineitem""")
 def load_report(t):
     store = _store(t)
-    report = targets.load_target(t.lineitem, {"type": "table", "table": "Lines"}, store)
+    report = targets.load_target(t.lineitem, {"type": "table", "table": "Lines"}, store, run_id="r1")
     return store.read("Lines").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("report", F.lit(str(report)))

@@ -1,16 +1,21 @@
 """Parquet tables on shared storage with append, overwrite and merge.
 
-A table is a folder of snapshots plus a small ``_CURRENT`` file that names the one
-readers use. A write never touches the snapshot being read: overwrite and merge
-write a new one and then replace ``_CURRENT``. Inside a snapshot rows sit under
-``load_run=<run>``, so appending the same run again replaces its rows instead of
-duplicating them, and a job that lost executors can simply be run again.
+A table is a set of Parquet parts and a log of manifests. A manifest lists the
+parts of one version and what each stands for; the highest number is the one
+readers use. A write adds a part in a new folder and then publishes the next
+manifest, so it never touches what is being read, may read its own table, and
+leaves the table as it was when it fails.
 
-One writer per table at a time.
+An append names its unit of re-run: run, task and batch. The same unit again
+replaces its own part. Overwrite and merge leave one part without a unit, which
+no append can replace.
+
+One writer per table at a time; a second one fails when it publishes.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,9 +26,6 @@ from pyspark.sql import functions as F
 from tablewright.functions.types import schema_names
 from tablewright.operators.merge import merge, require_unique_keys
 
-RUN = "load_run"
-
-
 @dataclass
 class WriteStats:
     """What a finished write reports: rows are counted while writing, not by a second scan."""
@@ -49,24 +51,27 @@ def size_of(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop).getLength()
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, hadoop = _path(spark, path)
-    if not fs.exists(hadoop):
-        return None
-    stream = fs.open(hadoop)
-    try:
-        return stream.readUTF()
-    finally:
-        stream.close()
+def _read_text(spark: SparkSession, path: str) -> str:
+    return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(_opened(spark, path), "UTF-8")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def _opened(spark: SparkSession, path: str):
     fs, hadoop = _path(spark, path)
-    stream = fs.create(hadoop, True)
+    return fs.open(hadoop)
+
+
+def _write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A file that is there whole or not at all: written beside its place, then renamed."""
+    fs, draft = _path(spark, f"{path}.{uuid.uuid4().hex[:12]}.tmp")
+    stream = fs.create(draft, False)
     try:
-        stream.writeUTF(text)
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    final = _path(spark, path)[1]
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise RuntimeError(f"another writer published {path}")
 
 
 def write_counted(df: DataFrame, path: str, mode: str = "overwrite", **options: str) -> WriteStats:
@@ -94,40 +99,57 @@ class TableStore:
     def _folder(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _current(self, table: str) -> str | None:
-        name = _read_text(self.spark, f"{self._folder(table)}/_CURRENT")
-        return f"{self._folder(table)}/{name}" if name else None
+    def _versions(self, table: str) -> list[int]:
+        fs, folder = _path(self.spark, f"{self._folder(table)}/_log")
+        if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _parts(self, table: str) -> list[dict]:
+        """``{"folder", "unit"}`` of every part of the version readers use; none without a table."""
+        versions = self._versions(table)
+        return json.loads(_read_text(self.spark, self._manifest(table, versions[-1]))) if versions else []
+
+    def _manifest(self, table: str, version: int) -> str:
+        return f"{self._folder(table)}/_log/{version:012d}.json"
 
     def exists(self, table: str) -> bool:
-        return self._current(table) is not None
+        return bool(self._versions(table))
 
     def read(self, table: str) -> DataFrame:
-        path = self._current(table)
-        if path is None:
+        parts = self._parts(table)
+        if not parts:
             raise ValueError(f"no table {table} in {self.root}")
-        return self.spark.read.parquet(path).drop(RUN)
-
-    def _publish(self, table: str, df: DataFrame, run_id: str) -> WriteStats:
-        name = f"snap-{uuid.uuid4().hex[:12]}"
-        path = f"{self._folder(table)}/{name}"
-        stats = write_counted(df, f"{path}/{RUN}={run_id}")
-        _write_text(self.spark, f"{self._folder(table)}/_CURRENT", name)
+        return self.spark.read.parquet(*[f"{self._folder(table)}/{p['folder']}" for p in parts])
+
+    def _publish(self, table: str, df: DataFrame, unit: list[str] | None, kept: Sequence[dict] = ()) -> WriteStats:
+        versions = self._versions(table)
+        folder = f"part-{uuid.uuid4().hex[:12]}"
+        stats = write_counted(df, f"{self._folder(table)}/{folder}", "errorifexists")
+        parts = [*kept, {"folder": folder, "unit": unit}]
+        _write_new(self.spark, self._manifest(table, versions[-1] + 1 if versions else 0), json.dumps(parts))
         return stats
 
-    def overwrite(self, table: str, df: DataFrame, run_id: str = "0") -> WriteStats:
+    def overwrite(self, table: str, df: DataFrame) -> WriteStats:
         """Replace all rows; an existing table keeps its column definitions."""
         if self.exists(table):
             df = fit_columns(df, self.read(table))
-        return self._publish(table, df, run_id)
+        return self._publish(table, df, None)
 
-    def append(self, table: str, df: DataFrame, run_id: str) -> WriteStats:
-        """Add rows of one run; the same run again replaces its own rows."""
-        path = self._current(table)
-        if path is None:
-            return self._publish(table, df, run_id)
-        return write_counted(fit_columns(df, self.read(table)), f"{path}/{RUN}={run_id}")
+    def append(self, table: str, df: DataFrame, run_id: str, task_id: str, batch: int = 0) -> WriteStats:
+        """Add the rows of one unit (run, task, batch); the same unit again replaces its own rows.
+
+        Rows that an overwrite or a merge has taken in since are no unit's any more and stay.
+        """
+        if not run_id:
+            raise ValueError(f"an append needs a run id (task {task_id} loading into {table})")
+        unit, parts = [run_id, task_id, str(batch)], self._parts(table)
+        if parts:
+            df = fit_columns(df, self.read(table))
+        return self._publish(table, df, unit, [p for p in parts if p["unit"] != unit])
 
-    def merge(self, table: str, df: DataFrame, keys: Sequence[str], run_id: str = "0") -> WriteStats:
+    def merge(self, table: str, df: DataFrame, keys: Sequence[str]) -> WriteStats:
         """Update matched rows and add the rest.
 
         The input is staged first, so it is computed once however often the merge
@@ -141,18 +163,20 @@ class TableStore:
         try:
             require_unique_keys(staged, keys)
             merged = merge(self.read(table), staged, keys, check=False) if self.exists(table) else staged
-            return self._publish(table, merged, run_id)
+            return self._publish(table, merged, None)
         finally:
             _remove(self.spark, stage)
 
     def vacuum(self, table: str) -> int:
-        """Remove snapshots no longer current, once nobody reads them any more."""
+        """Remove parts and manifests no longer current, once nobody reads them any more; returns the parts."""
         fs, folder = _path(self.spark, self._folder(table))
-        current = self._current(table)
+        current = {p["folder"] for p in self._parts(table)}
         old = [f.getPath() for f in fs.listStatus(folder)
-               if f.getPath().getName().startswith("snap-") and not current.endswith(f.getPath().getName())]
+               if f.getPath().getName().startswith("part-") and f.getPath().getName() not in current]
         for path in old:
             fs.delete(path, True)
+        for version in self._versions(table)[:-1]:
+            _remove(self.spark, self._manifest(table, version))
         return len(old)
 
 

@@ -135,11 +135,12 @@ def write_database(df: DataFrame, target: Mapping, generated: Sequence[str] = ()
 
 
 def load_target(
-    df: DataFrame, target: Mapping, store: TableStore, pipeline_id: str = "default", run_id: str = "0"
+    df: DataFrame, target: Mapping, store: TableStore, pipeline_id: str = "default", run_id: str = "", task_id: str = "load"
 ) -> LoadReport:
     """Load one table into its target and report the rows written.
 
-    ``type`` ``table`` is the Parquet store with append, overwrite and merge; ``s3``,
+    ``type`` ``table`` is the Parquet store with append, overwrite and merge; an append
+    needs ``run_id``, and is replaced by the same run and task again. ``s3``,
     ``parquet``, ``csv``, ``json`` write files; ``kafka`` publishes; database types
     go over JDBC.
     """
@@ -150,11 +151,11 @@ def load_target(
     if kind == "table":
         mode, table = write_mode(target), target.get("table", "output")
         if mode == "merge":
-            store.merge(table, counted, target.get("keys", []), run_id)
+            store.merge(table, counted, target.get("keys", []))
         elif mode == "overwrite":
-            store.overwrite(table, counted, run_id)
+            store.overwrite(table, counted)
         else:
-            store.append(table, counted, run_id)
+            store.append(table, counted, run_id, f"{pipeline_id}/{task_id}")
     elif kind in ("sqlserver", "mssql", "oracle", "postgresql", "postgres", "mysql"):
         write_database(counted, target)
     elif kind in ("kafka", "pubsub"):

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators.quality import check_results
+from tablewright.operators.quality import RESULT_SCHEMA, run_suite
 from tablewright.operators.runlog import task_run_upsert
 from tablewright.sinks.store import TableStore
 from tablewright.sources.messages import decode_json_or_raw
@@ -63,32 +63,37 @@ def throughput(stream: DataFrame, store: TableStore, table: str, checkpoint: str
         .select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "run_count", "success", "rows_processed")
     )
     _each_batch(
-        hourly, checkpoint, lambda batch, no: store.merge(table, batch, ["hour"], run_id=str(no)) and None, "update"
+        hourly, checkpoint, lambda batch, no: store.merge(table, batch, ["hour"]) and None, "update"
     )
 
 
 def quality(
-    stream: DataFrame, checks: Sequence[Mapping], store: TableStore, table: str, checkpoint: str,
+    stream: DataFrame, checks: Sequence[Mapping], store: TableStore, table: str, checkpoint: str, stream_id: str,
     as_of: Column | None = None,
 ) -> None:
-    """Check every micro-batch; results are appended under the batch id."""
+    """Check every micro-batch; results are appended under ``stream_id`` and the batch id.
+
+    Streams that write to one table need different ids.
+    """
 
     def check(batch: DataFrame, no: int) -> None:
-        results = check_results(batch, checks, as_of=as_of).withColumn("batch_id", F.lit(no).cast("bigint"))
-        store.append(table, results, run_id=str(no))
+        found = run_suite(batch, checks, as_of=as_of, fail_pipeline_on_error=False).results
+        rows = [tuple(r[f.name] for f in RESULT_SCHEMA) for r in found]
+        results = batch.sparkSession.createDataFrame(rows, RESULT_SCHEMA).withColumn("batch_id", F.lit(no).cast("bigint"))
+        store.append(table, results, stream_id, "quality", no)
 
     _each_batch(stream, checkpoint, check)
 
 
-def task_upsert(stream: DataFrame, store: TableStore, table: str, checkpoint: str) -> None:
-    """Append task events under the batch id.
+def task_upsert(stream: DataFrame, store: TableStore, table: str, checkpoint: str, stream_id: str) -> None:
+    """Append task events under ``stream_id`` and the batch id, which a replayed batch repeats.
 
     ``task_state`` folds them to the latest row per attempt, so a micro-batch costs
     only its own rows however long the log has grown.
     """
 
     def add(batch: DataFrame, no: int) -> None:
-        store.append(table, batch.withColumn("batch_id", F.lit(no).cast("bigint")), run_id=str(no))
+        store.append(table, batch.withColumn("batch_id", F.lit(no).cast("bigint")), stream_id, "task_upsert", no)
 
     _each_batch(stream, checkpoint, add)
 

@@ -2,7 +2,7 @@ import pytest
 
 from tablewright.operators.merge import insert_if_absent, merge
 from tablewright.sinks import targets
-from tablewright.sinks.store import TableStore, fit_columns
+from tablewright.sinks.store import TableStore, _write_new, fit_columns
 from tablewright.sources.artifacts import Artifacts
 
 
@@ -49,13 +49,50 @@ def test_insert_if_absent(spark, rows):
 
 def test_append_same_run_counts_once(spark, store, rows):
     first, second = frame(spark, [(1, "a", 1)]), frame(spark, [(2, "b", 2)])
-    store.append("t", first, "2026-05-04")
+    store.append("t", first, "2026-05-04", "load")
     for _ in range(2):
-        stats = store.append("t", second, "2026-05-05")
+        stats = store.append("t", second, "2026-05-05", "load")
     assert rows(store.read("t")) == [(1, "a", 1), (2, "b", 2)]
     assert (stats.rows, stats.schema["id"]) == (1, "BIGINT")
 
 
+def test_appends_of_one_run_stay_apart(spark, store, rows):
+    one, two = frame(spark, [(1, "a", 1)]), frame(spark, [(2, "b", 2)])
+    store.append("t", one, "r1", "first")
+    store.append("t", two, "r1", "second")
+    store.append("t", two, "r1", "second", 1)
+    assert rows(store.read("t")) == [(1, "a", 1), (2, "b", 2), (2, "b", 2)]
+    with pytest.raises(ValueError, match="run id"):
+        targets.load_target(one, {"type": "table", "table": "t"}, store)
+
+
+def test_append_reading_its_own_table(spark, store, rows):
+    store.append("t", frame(spark, [(1, "a", 1), (2, "b", 2)]), "r1", "load")
+    store.append("t", store.read("t").where("id = 2"), "r1", "load")
+    assert rows(store.read("t")) == [(2, "b", 2)]
+
+
+def test_append_after_merge_keeps_merged_rows(spark, store, rows):
+    store.append("t", frame(spark, [(1, "a", 1)]), "r1", "load")
+    store.merge("t", frame(spark, [(1, "A", 1), (2, "b", 2)]), ["id"])
+    store.append("t", frame(spark, [(3, "c", 3)]), "r1", "load")
+    assert rows(store.read("t")) == [(1, "A", 1), (2, "b", 2), (3, "c", 3)]
+
+
+def test_failed_append_leaves_the_table(spark, store, rows):
+    store.append("t", frame(spark, [(1, "a", 1)]), "r1", "load")
+    with pytest.raises(Exception, match="no"):
+        store.append("t", frame(spark, [(1, "a", 1)]).selectExpr("id", "raise_error('no') as name", "extra"), "r1", "load")
+    assert rows(store.read("t")) == [(1, "a", 1)]
+
+
+def test_second_writer_fails(spark, store):
+    store.overwrite("t", frame(spark, [(1, "a", 1)]))
+    with pytest.raises(RuntimeError, match="another writer"):
+        _write_new(spark, store._manifest("t", 0), "[]")
+    assert store.read("t").count() == 1
+
+
 def test_overwrite_keeps_definition_and_may_read_itself(spark, store, rows):
     store.overwrite("t", frame(spark, [(1, "a", 1), (2, "b", 2)]))
     store.overwrite("t", store.read("t").where("id = 2"))
@@ -65,8 +102,8 @@ def test_overwrite_keeps_definition_and_may_read_itself(spark, store, rows):
 
 
 def test_store_merge(spark, store, rows):
-    store.merge("t", frame(spark, [(1, "a", 1)]), ["id"], "r1")
-    store.merge("t", frame(spark, [(1, "A", 2), (5, "e", 5)]), ["id"], "r2")
+    store.merge("t", frame(spark, [(1, "a", 1)]), ["id"])
+    store.merge("t", frame(spark, [(1, "A", 2), (5, "e", 5)]), ["id"])
     assert rows(store.read("t")) == [(1, "A", 2), (5, "e", 5)]
     assert store.vacuum("t") == 1
     assert rows(store.read("t")) == [(1, "A", 2), (5, "e", 5)]
@@ -103,7 +140,7 @@ def test_unknown_mode(spark, store):
 
 def test_audit_column_is_left_out(spark, store):
     df = frame(spark, [(1, "a", 1)]).selectExpr("*", "current_timestamp() as etl_loaded_at")
-    targets.load_target(df, {"type": "table", "table": "Out"}, store)
+    targets.load_target(df, {"type": "table", "table": "Out"}, store, run_id="r1")
     assert "etl_loaded_at" not in store.read("Out").columns
 
 

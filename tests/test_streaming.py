@@ -28,7 +28,7 @@ def test_quality_per_batch(spark, tmp_path, rows):
     feed, store = str(tmp_path / "feed"), TableStore(spark, str(tmp_path / "store"))
     for data in ([(1,), (None,)], [(2,)]):
         spark.createDataFrame(data, "id int").coalesce(1).write.mode("append").parquet(feed)
-        streams.quality(streams.file_stream(spark, feed, "id int"), [{"type": "not_null", "column": "id"}], store, "q", str(tmp_path / "mark"))
+        streams.quality(streams.file_stream(spark, feed, "id int"), [{"type": "not_null", "column": "id"}], store, "q", str(tmp_path / "mark"), "feed")
     assert rows(store.read("q").select("batch_id", "passed", "count")) == [(0, False, 1), (1, True, 0)]
 
 
@@ -40,6 +40,6 @@ def test_replayed_batch_counts_once(spark, tmp_path):
     feed = str(tmp_path / "feed")
     rows.coalesce(1).write.parquet(feed)
     for mark in ("m1", "m2"):  # a lost checkpoint delivers batch 0 again
-        streams.task_upsert(streams.file_stream(spark, feed, rows.schema), store, "events", str(tmp_path / mark))
+        streams.task_upsert(streams.file_stream(spark, feed, rows.schema), store, "events", str(tmp_path / mark), "tasks")
     assert store.read("events").count() == 1
     assert streams.task_state(store, "events").first()["status"] == "running"
