@@ -9,8 +9,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACEHOLDER = re.compile(r"\{\{ ?(ds|run_id) ?\}\}")
-_QUOTED_UNIT = re.compile(r"\b(DATEDIFF|DATE_DIFF|DATEADD)\s*\(\s*'(\w+)'\s*,", re.IGNORECASE)
-_REGEXP_MATCHES = re.compile(r"\bregexp_matches\s*\(", re.IGNORECASE)
+# strings, quoted names and comments: no rewriting inside these
+_OPAQUE = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
+_CALLS = re.compile(
+    rf"(?P<opaque>{_OPAQUE})|\b(?P<diff>DATEDIFF|DATE_DIFF)\s*\(\s*'(?P<unit>\w+)'\s*,"
+    r"|\b(?P<add>DATEADD)\s*\(\s*'(?P<step>\w+)'\s*,|\b(?P<regex>regexp_matches)\s*\(", re.IGNORECASE | re.DOTALL)
+_MARKS = re.compile(rf"(?P<opaque>{_OPAQUE})|[(),]", re.DOTALL)
+_QUERY = re.compile(rf"(?:\s|{_OPAQUE})*(?:SELECT|WITH|VALUES|FROM|TABLE|\()", re.IGNORECASE | re.DOTALL)
 
 
 def render(text: str, ds: str = "", run_id: str = "") -> str:
@@ -19,10 +24,43 @@ def render(text: str, ds: str = "", run_id: str = "") -> str:
     return _PLACEHOLDER.sub(lambda m: values[m.group(1)], text)
 
 
+def _arguments(text: str, at: int) -> tuple[list[str], int]:
+    """Arguments from ``at`` to the closing bracket of the call, and the place after it."""
+    depth, start, found = 0, at, []
+    for mark in _MARKS.finditer(text, at):
+        if mark["opaque"]:
+            continue
+        depth += {"(": 1, ")": -1, ",": 0}[mark[0]]
+        if depth < 0 or mark[0] == "," and depth == 0:
+            found.append(text[start : mark.start()])
+            start = mark.end()
+        if depth < 0:
+            return found, start
+    raise ValueError(f"unclosed bracket in: {text[at:]}")
+
+
 def to_spark_sql(text: str) -> str:
-    """Bare date units and Spark's name for substring regex search."""
-    text = _QUOTED_UNIT.sub(lambda m: f"{m.group(1)}({m.group(2).upper()},", text)
-    return _REGEXP_MATCHES.sub("regexp_like(", text)
+    """Bare date units, differences that count unit borders, and Spark's name for substring regex search.
+
+    ``DATEDIFF('day', a, b)`` counts midnights between ``a`` and ``b``; Spark's own
+    counts whole days, so both ends are cut to the unit first.
+    """
+    out, at = [], 0
+    while call := _CALLS.search(text, at):
+        out.append(text[at : call.start()])
+        at = call.end()
+        if call["opaque"]:
+            out.append(call[0])
+        elif call["diff"]:
+            arguments, at = _arguments(text, at)
+            unit = call["unit"].upper()
+            ends = [f"DATE_TRUNC('{unit}', {to_spark_sql(a.strip())})" for a in arguments]
+            out.append(f"DATEDIFF({unit}, {', '.join(ends)})")
+        elif call["add"]:
+            out.append(f"{call['add']}({call['step'].upper()},")
+        else:
+            out.append("regexp_like(")
+    return "".join([*out, text[at:]])
 
 
 def safe_alias(task_id: str) -> str:
@@ -38,23 +76,31 @@ def run_sql(
 ) -> DataFrame:
     """Run SQL over named DataFrames.
 
-    A name is ``table`` or ``alias.table``. Temporary views cannot carry a
-    qualifier, so a qualified name is swapped for its view name in the text.
-    Views are dropped once the plan is analysed; the result stays lazy.
+    A name is ``table`` or ``alias.table``. Every frame is a temporary view under a
+    name of its own, so views of the session are never touched. A qualified name is
+    swapped for that view in the text; a plain name is a common table expression
+    around the text, which the text's own ones may shadow. Views are dropped once
+    the plan is analysed; the result stays lazy.
     """
-    text = to_spark_sql(text)
-    tag = uuid.uuid4().hex[:8]
-    views = []
-    for name in sorted(inputs, key=len, reverse=True):
-        view = name
-        if "." in name:
-            alias, table = name.split(".", 1)
-            view = f"{alias}__{table}__{tag}"
-            pattern = rf"(?<![\w.`']){re.escape(alias)}\s*\.\s*{re.escape(table)}(?![\w'(])"
-            text = re.sub(pattern, view, text, flags=re.IGNORECASE)
-        inputs[name].createOrReplaceTempView(view)
-        views.append(view)
+    text = to_spark_sql(text).strip().rstrip(";")
+    tag = uuid.uuid4().hex
+    views, plain = [], []
     try:
+        for no, name in enumerate(sorted(inputs, key=len, reverse=True)):
+            alias, _, table = name.rpartition(".")
+            view = f"{table}__{no}__{tag}"
+            if alias:
+                call = rf"(?P<opaque>{_OPAQUE})|(?<![\w.]){re.escape(alias)}\s*\.\s*{re.escape(table)}(?![\w(])"
+                swapped = re.sub(call, lambda m, v=view: m["opaque"] or f"`{v}`", text, flags=re.IGNORECASE | re.DOTALL)
+                used, text = swapped != text, swapped
+            else:
+                used = re.search(rf"\b{re.escape(name)}\b", text, re.IGNORECASE)
+                plain += [f"`{name}` AS (SELECT * FROM `{view}`)"] if used else []
+            if used:
+                inputs[name].createOrReplaceTempView(f"`{view}`")
+                views.append(view)
+        if plain and _QUERY.match(text):
+            text = f"WITH {', '.join(plain)} (\n{text}\n)"
         return spark.sql(text, args=dict(args)) if args else spark.sql(text)
     finally:
         for view in views:

@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_MESSAGES = 10_000
 EMPTY = "message string"
 _BAD = "_unparsed"
 
@@ -77,9 +76,13 @@ def decode_json_or_raw(df: DataFrame, schema: str | None = None, value: str = "v
 
 
 def consume(
-    df: DataFrame, order: list[str], schema: str | None = None, max_messages: int | None = MAX_MESSAGES,
+    df: DataFrame, order: list[str], schema: str | None = None, max_messages: int | None = None,
     keep_raw: bool = False, value: str = "value",
 ) -> DataFrame:
-    """One bounded batch: the first messages in arrival order, decoded; ``keep_raw`` keeps texts that are not JSON."""
+    """A batch decoded; ``keep_raw`` keeps texts that are not JSON.
+
+    ``max_messages`` takes only the first in arrival order: the caller then stores
+    the end it reached, or the rest is never read.
+    """
     batch = first_messages(df, order, max_messages)
     return decode_json_or_raw(batch, schema, value) if keep_raw else decode_json(batch, schema, value)

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from tablewright.operators.merge import new, upsert
 from tablewright.operators.ordered import newest_per_key
@@ -71,9 +72,14 @@ class Increment:
             return None
         return self.spark.read.parquet(self.state_path).agg(F.max("mark").alias("mark")).first()["mark"]
 
+    def _literal(self, mark) -> Column:
+        """A mark without a zone goes back as text, or the driver's own zone would shift it."""
+        return F.lit(str(mark)).cast(self._type) if isinstance(self._type, TimestampNTZType) else F.lit(mark)
+
     def rows(self, df: DataFrame) -> DataFrame:
         last = self.last()
-        fresh = df if last is None else df.where(F.col(self.column) > F.lit(last))
+        self._type = df.select(self.column).schema[0].dataType
+        fresh = df if last is None else df.where(F.col(self.column) > self._literal(last))
         self._seen = Observation()
         return fresh.observe(self._seen, F.max(self.column).alias("mark"))
 
@@ -81,7 +87,7 @@ class Increment:
         """Store the mark of the batch that was written; an empty batch keeps the old one."""
         mark = self._seen.get["mark"]
         if mark is not None:
-            one = self.spark.range(1).select(F.lit(mark).alias("mark"))
+            one = self.spark.range(1).select(self._literal(mark).alias("mark"))
             one.coalesce(1).write.mode("append").parquet(self.state_path)
 
 

@@ -53,7 +53,7 @@ def test_chunks_cover_every_row_once(spark, low, high, n):
 
 def test_render_and_adapt():
     assert render("{{ ds }}{{ds}}-{{ run_id }}{{run_id}} {{ other }}", "D", "R") == "DD-RR {{ other }}"
-    assert to_spark_sql("DATEDIFF('day', a, b)") == "DATEDIFF(DAY, a, b)"
+    assert to_spark_sql("DATEDIFF('day', a, b)") == "DATEDIFF(DAY, DATE_TRUNC('DAY', a), DATE_TRUNC('DAY', b))"
     assert to_spark_sql("regexp_matches(x, 'a')") == "regexp_like(x, 'a')"
 
 
@@ -172,3 +172,15 @@ def test_type_names(spark):
     assert [sql_type_name(f.dataType) for f in df.schema.fields] == [
         "INTEGER", "BIGINT", "DECIMAL(3,2)", "VARCHAR[]", "STRUCT(x INTEGER)", "MAP(VARCHAR, INTEGER)", "DATE", "TIMESTAMP",
         "BOOLEAN", "BLOB"]
+
+
+def test_user_views_and_literals_survive(spark, rows):
+    spark.createDataFrame([(9,)], "id int").createOrReplaceTempView("orders")
+    own = spark.createDataFrame([(1, "2026-01-01 23:00:00", "2026-01-02 01:00:00")], "id int, a string, b string")
+    got = run_sql(spark, "SELECT id, 'see x.orders now' AS note FROM x.orders -- x.orders\n", {"x.orders": own})
+    assert rows(got) == [(1, "see x.orders now")]
+    assert rows(run_sql(spark, "WITH orders AS (SELECT id + 1 AS id FROM orders) SELECT id FROM orders;", {"orders": own})) == [(2,)]
+    assert rows(spark.table("orders")) == [(9,)]
+    days = "SELECT DATEDIFF('day', CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP)) AS d FROM orders"
+    assert rows(run_sql(spark, days, {"orders": own})) == [(1,)]
+    spark.catalog.dropTempView("orders")
