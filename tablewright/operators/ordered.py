@@ -20,25 +20,18 @@ from pyspark.sql import functions as F
 
 from tablewright.session import shared_root
 
-# Rows of the largest group that one task may sort, or whose values it may hold for a percentile.
-GROUP_ROWS = 2_000_000
-PERCENTILE_ROWS = 500_000
 _SLICE, _CARRY = "_slice", "_carry"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group: partial counts, then one number to the driver."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.agg(F.max("_n").alias("n")).first()["n"] or 0
-
-
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    shared_root(df.sparkSession)
-    return (
-        df.repartitionByRange(*keys, *order)
-        .withColumn(_SLICE, F.spark_partition_id())
-        .checkpoint()
-    )
+    """Rows ranged over slices by key and order, so that a large group spreads over many tasks.
+
+    Written once: all uses must see the same borders.
+    """
+    spark = df.sparkSession
+    shared_root(spark)
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartitionByRange(slices, *keys, *order).withColumn(_SLICE, F.spark_partition_id()).checkpoint()
 
 
 def _join_borders(rows: DataFrame, borders: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -61,16 +54,11 @@ def with_previous(
     order: Sequence[str],
     columns: Sequence[str],
     prefix: str = "prev_",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add each group's previous row, column by column (``LAG`` of every column in ``columns``)."""
     packed = F.struct(*columns)
     out = [c for c in df.columns]
     added = [F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in columns]
-    if largest_group(df, keys) <= group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn("_prev", F.lag(packed).over(window)).select(*out, *added)
-
     rows = _sliced(df, keys, order)
     tails = rows.groupBy(_SLICE, *keys).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy(_SLICE)
@@ -107,19 +95,13 @@ def with_rank_and_size(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     )
 
 
-def group_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, group_rows: int = PERCENTILE_ROWS
-) -> DataFrame:
+def group_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """Exact interpolated percentile per group.
 
-    ``percentile`` keeps every distinct value of a group in memory, which suits
-    small groups; larger ones are ranked by slice and only the two neighbouring
-    values are kept.
+    Spark's own ``percentile`` keeps every distinct value of a group in memory;
+    here values are ranked by slice and only the two neighbours are kept.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if largest_group(known, keys) <= group_rows:
-        return known.groupBy(*keys).agg(F.percentile(value, q).alias(name))
-
     counted = known.withColumn("_tie", F.monotonically_increasing_id())
     position = (F.col("_size") - 1) * F.lit(q)
     ranked = with_rank_and_size(counted, keys, [value, "_tie"]).withColumn("_pos", position)
