@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +100,20 @@ def not_matching(check: Mapping) -> Column:
     return ~F.col(check["column"]).cast("string").rlike(check.get("pattern", ".*"))
 
 
+NEED_COLUMN = ("not_null", "value_range", "regex_match", "unique", "referential_integrity")
+
+
+def _require_usable(df: DataFrame, check: Mapping) -> None:
+    """Raise for a check whose fault would only show while the rows are read."""
+    if check["type"] in NEED_COLUMN and not check.get("column"):
+        raise ValueError(f"a {check['type']} check needs a column")
+    if check["type"] == "regex_match":
+        try:
+            df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(check.get("pattern", ".*"))
+        except Py4JError as error:
+            raise ValueError(f"bad pattern '{check['pattern']}'") from error
+
+
 def _count_rule(check: Mapping, n: str, as_of: Column) -> Outcome | None:
     """Checks that are one aggregate each. ``n`` names this check's total."""
     kind, column = check["type"], check.get("column")
@@ -206,6 +220,7 @@ def check_results(
         check = {**raw, "type": ALIASES.get(raw.get("type"), raw.get("type"))}
         name = f"c{no}"
         try:
+            _require_usable(df, check)
             rule = _count_rule(check, name, as_of)
             if rule is not None:
                 df.agg(*[c.alias(n) for n, c in rule.totals.items()]).schema  # noqa: B018 - analysis only
@@ -373,7 +388,7 @@ def drop_rows(
     duplicate group is quarantined.
     """
     marked = mark_violations(df, checks, tables).withColumn("quarantined", F.size("violations") > 0)
-    marked.write.mode("overwrite").partitionBy("quarantined").parquet(path)
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("quarantined").parquet(path)
     split = df.sparkSession.read.schema(marked.schema).parquet(path)
     clean = split.where("NOT quarantined").select(*df.columns)
     return clean, split.where("quarantined").select(*df.columns, "violations")

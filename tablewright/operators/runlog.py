@@ -10,6 +10,7 @@ large share of the log does not end up in one task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -89,10 +90,10 @@ def substitutions(env: Mapping[str, Mapping[str, str]]) -> dict[str, str]:
 
 
 def resolve_placeholders(text: Column, values: Mapping[str, str]) -> Column:
-    """Replace ``${key}`` in one pass over the text; unknown keys stay as they are."""
+    """Replace ``${key}`` in one pass over the JSON text, values escaped for it; unknown keys stay as they are."""
     if not values:
         return text
-    lookup = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    lookup = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, json.dumps(v, ensure_ascii=False)[1:-1])])
 
     def fill(piece: Column) -> Column:
         end = F.instr(piece, "}")
@@ -111,12 +112,16 @@ def config_versions(configs: DataFrame, pipeline_id: str | None = None, version:
     return found.orderBy(F.desc("created_at"), "pipeline_id", "version")
 
 
-def config_activate(configs: DataFrame, requests: DataFrame) -> DataFrame:
+def config_activate(configs: DataFrame, requests: DataFrame, order: Sequence[str] = ("version",)) -> DataFrame:
     """Make the requested version of each pipeline its only active one, adding it when new.
 
-    ``requests`` holds one row per pipeline.
+    Requests follow one another by ``order``: every version is added, the newest is
+    the active one.
     """
-    asked = requests.select("pipeline_id", F.struct("version", "config").alias("_asked"))
+    newest_first = [F.desc(c) for c in order] + [F.desc("config")]
+    requests = one_per_key(requests, ["pipeline_id", "version"], newest_first)
+    newest = one_per_key(requests, ["pipeline_id"], newest_first)
+    asked = newest.select("pipeline_id", F.struct("version", "config").alias("_asked"))
     known, chosen = F.col("_asked").isNotNull(), F.col("version") == F.col("_asked.version")
     changes = {
         "is_active": F.when(known, chosen).otherwise(F.col("is_active")),
@@ -125,8 +130,8 @@ def config_activate(configs: DataFrame, requests: DataFrame) -> DataFrame:
     updated = configs.join(asked, "pipeline_id", "left").select(*[
         changes[c].alias(c) if c in changes else F.col(c) for c in configs.columns
     ])
-    added = absent_rows(configs, requests, ["pipeline_id", "version"])
-    return updated.unionByName(added.withColumn("is_active", F.lit(True)).withColumn("is_valid", F.lit(True)))
+    added = absent_rows(configs, requests, ["pipeline_id", "version"]).join(asked, "pipeline_id").withColumn("is_active", chosen)
+    return updated.unionByName(added.select(*requests.columns, "is_active", F.lit(True).alias("is_valid")), allowMissingColumns=True)
 
 
 _TASKS = "STRUCT<tasks: ARRAY<STRUCT<task_id: STRING, depends_on: ARRAY<STRING>>>>"
@@ -232,17 +237,21 @@ def active_connections(connections: DataFrame) -> DataFrame:
     return connections.where("is_active").orderBy("connection_id")
 
 
-def deployments_recent(deployments: DataFrame, pipeline_id=None, status=None, environment=None) -> DataFrame:
+def deployments_recent(
+    deployments: DataFrame, pipeline_id=None, status=None, environment=None, number: int = 1, size: int = 100,
+) -> DataFrame:
     found = matching(deployments, pipeline_id=pipeline_id, status=status, environment=environment)
-    return page(found, [F.desc("submitted_at"), F.desc("deployment_number")], 1, 100)
+    return page(found, [F.desc("submitted_at"), F.desc("deployment_number")], number, size)
 
 
 def pending_approvals(deployments: DataFrame) -> DataFrame:
     return deployments.agg(F.count_if(F.col("status") == "pending_approval").alias("pending"))
 
 
-def compute_jobs_recent(jobs: DataFrame, order: Sequence[Column], pipeline_id=None, status=None) -> DataFrame:
-    return page(matching(jobs, pipeline_id=pipeline_id, status=status), order, 1, 100)
+def compute_jobs_recent(
+    jobs: DataFrame, order: Sequence[Column], pipeline_id=None, status=None, number: int = 1, size: int = 100,
+) -> DataFrame:
+    return page(matching(jobs, pipeline_id=pipeline_id, status=status), order, number, size)
 
 
 def compute_job_counts(jobs: DataFrame) -> DataFrame:
@@ -370,13 +379,14 @@ def status_counts(runs: DataFrame) -> DataFrame:
 
 
 def run_rollup(tasks: DataFrame) -> DataFrame:
-    """Tasks folded per run: span, counts, rows and one state."""
+    """Tasks folded per run: span, counts, rows and one state; a task without its pipeline takes the run's."""
     state = F.col("status")
     folded = (
         F.when(F.bool_or(state == "running"), "running").when(F.bool_or(state == "failed"), "failed")
         .when(F.every(state == "success"), "success").otherwise("pending")
     )
-    return tasks.groupBy("run_id", "pipeline_id").agg(
+    return tasks.groupBy("run_id").agg(
+        F.max("pipeline_id").alias("pipeline_id"),
         F.min("start_time").alias("min_start"), F.max("end_time").alias("max_end"),
         F.count(F.lit(1)).alias("tasks"), F.count_if(state == "success").alias("success"),
         F.count_if(state == "failed").alias("failed"),
@@ -392,7 +402,8 @@ def run_counters(events: DataFrame, total_tasks: int) -> DataFrame:
     ``total_tasks`` is the number of tasks the config declares.
     """
     state = F.lower("status")
-    return events.groupBy("run_id", "pipeline_id").agg(
+    return events.groupBy("run_id").agg(
+        F.max("pipeline_id").alias("pipeline_id"),
         F.count_if(state == "success").alias("completed_tasks"),
         F.count_if(state == "failed").alias("failed_tasks"),
         F.coalesce(F.sum(F.when(state == "success", F.col("output_row_count"))), F.lit(0)).alias("total_rows_processed"),
@@ -429,12 +440,13 @@ def task_run_upsert(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataF
     """Task events folded to one row per attempt.
 
     State, end and error come from the newest event; outputs keep their last known
-    value; the start stays as first written. An attempt's id fixes its run, pipeline
-    and task.
+    value, as do run, pipeline and task, which single events may lack; the start stays
+    as first written.
     """
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])
     ids = ["task_run_id", "run_id", "pipeline_id", "task_id"]
-    return events.groupBy(*ids).agg(
+    return events.groupBy("task_run_id").agg(
+        *[latest_known(c, at) for c in ids[1:]],
         F.min_by(F.struct("start_time"), at).alias("_first"),
         F.max_by(F.struct("status", "end_time", "error_message"), at).alias("_last"),
         latest_known("output_row_count", at), latest_known("output_path", at),
@@ -444,8 +456,21 @@ def task_run_upsert(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataF
     )
 
 
+def one_per_key(updates: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
+    """The newest update of each key, so that repeated ones do not multiply target rows.
+
+    An update without its key names no row and is left out.
+    """
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return newest_per_key(updates.where(named), keys, newest_first)
+
+
 def run_upsert(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Runs after one batch of updates, one per run: state replaced, gaps filled, task count never shrinking."""
+    """Runs after one batch of updates: state replaced, gaps filled, task count never shrinking.
+
+    Of several updates of a run the one that ends last counts, one without an end first.
+    """
+    updates = one_per_key(updates, ["run_id"], [F.desc("end_time"), F.asc("status")])
     filled = {c: F.coalesce(new(c), F.col(c)) for c in ("end_time", "duration_seconds", "error_message")}
     changes = {"status": new("status"), "total_tasks": F.greatest(new("total_tasks"), "total_tasks"), **filled}
     return upsert(runs, updates, ["run_id"], changes)
@@ -458,9 +483,11 @@ def run_insert_if_absent(runs: DataFrame, started: DataFrame) -> DataFrame:
 def mark_failed_once(tasks: DataFrame, failures: DataFrame) -> DataFrame:
     """Task runs after failure reports, with ``newly_failed`` on the rows this batch failed.
 
-    A row already failed is left alone; a report without a row adds one. Summing
+    A row already failed is left alone; a report without a row adds one; of repeated
+    reports the one with the latest end counts. Summing
     ``newly_failed`` per run gives the amount to add to its failure counter.
     """
+    failures = one_per_key(failures, ["task_run_id"], [F.desc("end_time"), F.asc("error_message")])
     reports = failures.withColumns({
         "status": F.lit("failed"), "newly_failed": F.lit(True), "error_message": F.substring("error_message", 1, 2000),
     })
@@ -480,6 +507,7 @@ def run_backfill(runs: DataFrame, external: DataFrame) -> DataFrame:
     seen = external.where(F.length("run_id") > 0).select(
         "run_id", "pipeline_id", state.alias("status"), trigger.alias("trigger_type"), "start_time", "end_time"
     )
+    seen = one_per_key(seen, ["run_id"], [F.desc("end_time"), F.desc("start_time"), F.asc("status"), F.asc("trigger_type")])
     running = F.col("status") == "running"
     changes = {
         "status": F.when(running, new("status")).otherwise(F.col("status")),
@@ -496,6 +524,7 @@ def state_reconcile(rows: DataFrame, external: DataFrame, keys: Sequence[str], s
     news = external.where(F.col("state").isin(list(states))).select(
         *keys, F.col("state").alias("_state"), F.col("start_time").alias("_start"), F.col("end_time").alias("_end")
     )
+    news = one_per_key(news, list(keys), [F.desc("_end"), F.desc("_start"), F.asc("_state")])
     found = F.col("_state").isNotNull()
     changes = {
         "status": F.when(found, F.col("_state")).otherwise(F.col("status")),

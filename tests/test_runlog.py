@@ -104,3 +104,43 @@ def test_search_matches_any_case(spark, rows):
                                "pipeline_id string, name string, status string, source_type string")
     assert r.search_pipelines(df, search="AbC").count() == 2
     assert rows(r.search_pipelines(df, status="paused", search="abc").select("pipeline_id")) == [("x",)]
+
+
+def test_repeated_updates_give_one_row_per_key(spark, rows):
+    runs = spark.createDataFrame([("a", "p", "running", None)], "run_id string, pipeline_id string, status string, end_time timestamp_ntz")
+    failed = spark.createDataFrame(
+        [("t1", "x"), ("t1", "y"), ("t2", "z"), ("t2", "z"), (None, "n")], "task_run_id string, error_message string"
+    ).withColumn("end_time", F.lit("2026-01-01").cast("timestamp_ntz"))
+    tasks = spark.createDataFrame([("t1", "running")], "task_run_id string, status string").selectExpr(
+        "*", "cast(null as timestamp_ntz) as end_time", "cast(null as string) as error_message")
+    found = r.mark_failed_once(tasks, failed).select("task_run_id", "status", "error_message", "newly_failed")
+    assert rows(found) == [("t1", "failed", "x", True), ("t2", "failed", "z", True)]
+    seen = spark.createDataFrame(
+        [("a", "p", "success", "manual"), ("a", "p", "failed", "manual"), ("b", "p", "odd", "x"), ("b", "p", "odd", "x")],
+        "run_id string, pipeline_id string, state string, run_type string",
+    ).selectExpr("*", "cast(null as timestamp_ntz) as start_time", "cast(null as timestamp_ntz) as end_time")
+    taken = r.run_backfill(runs.selectExpr("*", "'manual' as trigger_type", "end_time as start_time"), seen)
+    assert rows(taken.select("run_id", "status")) == [("a", "failed"), ("b", "success")]
+
+
+def test_activation_of_several_versions(spark, rows):
+    stored = spark.createDataFrame([("p", "1", "{}", True, True)], "pipeline_id string, version string, config string, is_active boolean, is_valid boolean")
+    asked = spark.createDataFrame([("p", "2", "{}"), ("p", "3", "{}"), ("p", "3", "{}")], "pipeline_id string, version string, config string")
+    got = r.config_activate(stored, asked).select("version", "is_active")
+    assert rows(got) == [("1", False), ("2", False), ("3", True)]
+
+
+def test_events_without_pipeline_stay_one_attempt(spark, rows):
+    events = spark.createDataFrame(
+        [("a", "r", "p", "t", 1, "RUNNING"), ("a", "r", None, None, 2, "SUCCESS")],
+        "task_run_id string, run_id string, pipeline_id string, task_id string, seq int, status string",
+    ).selectExpr("*", *[f"cast(null as {t}) as {c}" for c, t in {
+        "start_time": "timestamp_ntz", "end_time": "timestamp_ntz", "output_row_count": "bigint", "output_path": "string",
+        "error_message": "string"}.items()])
+    assert rows(r.task_run_upsert(events).select("task_run_id", "pipeline_id", "task_id", "status")) == [("a", "p", "t", "success")]
+    assert rows(r.run_counters(events, 1).select("run_id", "pipeline_id", "completed_tasks")) == [("r", "p", 1)]
+
+
+def test_placeholders_are_escaped_for_json(spark):
+    df = spark.createDataFrame([('{"a": "${k}"}',)], "c string")
+    assert df.select(r.resolve_placeholders(F.col("c"), {"k": 'x"\\y'})).first()[0] == '{"a": "x\\"\\\\y"}'
