@@ -8,7 +8,6 @@ from tablewright.functions.sqltext import render, run_sql
 from tablewright.functions.types import schema_names
 from tablewright.operators.transform import routine, transform
 from tablewright.plans import business as b
-from tablewright.plans.business_queries import MONTHLY_SQL
 from tablewright.plans.mapping import AS_OF_ORDERS, DS
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
@@ -241,22 +240,17 @@ def routine_resultset(t):
 # ---- SQL transforms ----------------------------------------------------------
 
 _TRANSFORM = """
-SELECT c.CustomerID, c.CustomerName, c.IsOnCreditHold, c.CreditLimit,
-       DATE_TRUNC('month', CAST(o.OrderDate AS TIMESTAMP)) AS OrderMonth,
-       COUNT(DISTINCT o.OrderID) AS OrderCount, COUNT(l.OrderLineID) AS TotalOrderLines,
-       SUM(l.Quantity) AS TotalUnits, ROUND(SUM(l.Quantity * l.UnitPrice), 2) AS TotalRevenue,
-       ROUND(SUM(l.Quantity * l.UnitPrice * l.TaxRate * 0.01), 2) AS TotalTax,
-       ROUND(SUM(l.Quantity * l.UnitPrice) + SUM(l.Quantity * l.UnitPrice * l.TaxRate * 0.01), 2) AS TotalRevIncTax,
-       FLOOR(CAST(SUM(l.Quantity * l.UnitPrice) AS DOUBLE) / COUNT(l.Quantity * l.UnitPrice) * 100 + 0.5) / 100
-         AS AvgLineValue,
-       COUNT(DISTINCT l.StockItemID) AS UniqueItemsBought
-FROM extract_customers.raw_customers c
-JOIN extract_orders.raw_orders o ON c.CustomerID = o.CustomerID
+SELECT o.SalespersonPersonID AS person, c.IsOnCreditHold AS held, COUNT(l.OrderLineID) AS n_lines,
+       CAST(SUM(l.Quantity) AS BIGINT) AS units, CAST(SUM(l.UnitPrice) AS DOUBLE) AS prices,
+       DATEDIFF('day', MIN(o.OrderDate), MAX(o.OrderDate)) AS span_days
+FROM extract_orders.raw_orders o
+JOIN extract_customers.raw_customers c ON c.CustomerID = o.CustomerID
 JOIN extract_lines.raw_order_lines l ON o.OrderID = l.OrderID
 GROUP BY ALL"""
+_PLAIN = _TRANSFORM.replace("extract_orders.", "").replace("extract_customers.", "").replace("extract_lines.", "")
 
 
-@query("sql_transform", MONTHLY_SQL)
+@query("sql_transform", _PLAIN)
 def sql_transform(t):
     """User SQL over three upstream tasks; ``extract-orders`` is named ``extract_orders`` in it."""
     return transform(t.spark, _TRANSFORM, {

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.plans.business_queries import MONTHLY_SQL
 from tablewright.plans.dataflow import run_pipeline
 from tablewright.plans.mapping import AS_OF_RUNS, DS
-from tablewright.plans.pipelines import ANALYTICS, INVENTORY, SALES
+from tablewright.plans.pipelines import INVENTORY, REACH, SEGMENTS
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
 from tablewright.sinks.store import TableStore
@@ -59,7 +58,7 @@ def stream_quality(t):
     checks = [{"type": "not_null", "column": "duration_seconds", "action": "warn"},
               {"type": "value_range", "column": "total_rows_processed", "min": 10, "max": 90}]
     runs = t.pipeline_runs.select("run_id", "duration_seconds", "total_rows_processed")
-    streams.quality(_feed(t, runs), checks, store, "results", scratch_path(t.spark, "stream"))
+    streams.quality(_feed(t, runs), checks, store, "results", scratch_path(t.spark, "stream"), "runs")
     return store.read("results").groupBy("check_type").agg(F.sum("count").alias("failing"))
 
 
@@ -75,7 +74,7 @@ def stream_task_upsert(t):
     for seq in (1, 2):
         t.task_events.where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(path)
         feed = streams.file_stream(t.spark, path, t.task_events.schema)
-        streams.task_upsert(feed, store, "task_events", checkpoint)
+        streams.task_upsert(feed, store, "task_events", checkpoint, "tasks")
     return streams.task_state(store, "task_events")
 
 
@@ -88,34 +87,34 @@ def _run(t, config, connections=None, upstream=None, run_id="run_1"):
         connections, upstream, ds=DS, run_id=run_id, as_of=F.lit(AS_OF_RUNS))
 
 
-def _sales(t):
-    return _run(t, SALES, {"warehouse": {n: getattr(t, n) for n in ("raw_orders", "raw_order_lines", "customers", "people")}})
+def _segments(t):
+    return _run(t, SEGMENTS, {"shop": {"customer": t.customer, "orders": t.orders}})
 
 
-@query("config_dataflow", MONTHLY_SQL)
+@query("config_dataflow", """
+WITH s AS (SELECT o_custkey, COUNT(*) AS n, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS spent,
+                  DATEDIFF('day', MIN(o_orderdate), MAX(o_orderdate)) AS days FROM orders GROUP BY 1)
+SELECT c_mktsegment AS segment, COUNT(*) AS buyers, COUNT(o_custkey) AS active_buyers, CAST(SUM(n) AS BIGINT) AS n_orders,
+       MAX(days) AS longest_days, CAST(SUM(spent) AS DOUBLE) AS spent
+FROM customer LEFT JOIN s ON c_custkey = o_custkey GROUP BY 1""")
 def config_dataflow(t):
-    """The sales pipeline from its config: extracts, checks, transforms and loads."""
-    return _sales(t).output("monthly_sales")
+    """The segment pipeline from its config: extracts, checks, transforms and loads."""
+    return _segments(t).output("segments")
 
 
 @query("config_dataflow_log", """
-SELECT 'take_orders' AS task_id, 'sql_extract' AS task_type, 'success' AS status, COUNT(*) AS output_row_count FROM raw_orders
-UNION ALL SELECT 'take_lines', 'sql_extract', 'success', COUNT(*) FROM raw_order_lines
-UNION ALL SELECT 'take_customers', 'sql_extract', 'success', COUNT(*) FROM raw_customers
-UNION ALL SELECT 'check_orders', 'data_quality', 'success', NULL
-UNION ALL SELECT 'check_lines', 'data_quality', 'success', NULL
-UNION ALL SELECT 'take_people', 'sql_extract', 'success', NULL
-UNION ALL SELECT 'headers', 'duckdb_transform', 'success', COUNT(*) FROM raw_orders
-UNION ALL SELECT 'lines_detail', 'duckdb_transform', 'success', COUNT(*) FROM raw_order_lines
-UNION ALL SELECT 'monthly_sales', 'eks_job', 'success', (SELECT COUNT(*) FROM (SELECT 1 FROM raw_customers c
-  JOIN raw_orders o ON c.CustomerID = o.CustomerID JOIN raw_order_lines l ON o.OrderID = l.OrderID
-  GROUP BY c.CustomerID, DATE_TRUNC('month', o.OrderDate)) g)
-UNION ALL SELECT 'check_headers', 'data_quality', 'success', NULL
-UNION ALL SELECT 'load_headers', 'load_target', 'success', COUNT(*) FROM raw_orders
-UNION ALL SELECT 'tell', 'notification', 'skipped', NULL""")
+SELECT 'buyers' AS task_id, 'sql_extract' AS task_type, 'success' AS status, COUNT(*) AS output_row_count FROM customer
+UNION ALL SELECT 'demand', 'sql_extract', 'success', COUNT(*) FROM orders
+UNION ALL SELECT 'buyers_shape', 'schema_validate', 'success', NULL
+UNION ALL SELECT 'demand_guard', 'data_quality', 'success', NULL
+UNION ALL SELECT 'spend', 'duckdb_transform', 'success', NULL
+UNION ALL SELECT 'segments', 'eks_job', 'success', COUNT(DISTINCT c_mktsegment) FROM customer
+UNION ALL SELECT 'segments_guard', 'data_quality', 'success', NULL
+UNION ALL SELECT 'keep', 'load_target', 'success', COUNT(DISTINCT c_mktsegment) FROM customer
+UNION ALL SELECT 'page', 'notification', 'skipped', NULL""")
 def config_dataflow_log(t):
-    """Run-log rows of the sales pipeline; a lazy output has no count of its own."""
-    return _sales(t).log().select("task_id", "task_type", "status", "output_row_count")
+    """Run-log rows of the segment pipeline; a lazy output has no count of its own."""
+    return _segments(t).log().select("task_id", "task_type", "status", "output_row_count")
 
 
 @query("inventory_dataflow", """
@@ -134,11 +133,10 @@ def inventory_dataflow(t):
 
 
 @query("cross_pipeline_dataflow", """
-SELECT c.CustomerName, COUNT(DISTINCT o.OrderID) AS OrderCount,
-       CAST(ROUND(SUM(l.Quantity * l.UnitPrice), 2) AS DOUBLE) AS TotalRevenue
-FROM raw_orders o JOIN raw_order_lines l ON o.OrderID = l.OrderID LEFT JOIN raw_customers c ON o.CustomerID = c.CustomerID
-GROUP BY 1""")
+SELECT c_mktsegment AS segment, COUNT(DISTINCT c_nationkey) AS nations,
+       CAST(MAX(n) AS DOUBLE) / COUNT(DISTINCT c_custkey) AS rate
+FROM customer JOIN (SELECT c_mktsegment, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1) o
+  USING (c_mktsegment) GROUP BY 1""")
 def cross_pipeline_dataflow(t):
     """A pipeline that reads the published tables of another one under its pipeline id."""
-    sales = _sales(t)
-    return _run(t, ANALYTICS, upstream={"sales_daily": sales.published()}, run_id="run_2").output("revenue_by_customer")
+    return _run(t, REACH, upstream={"segment_demand": _segments(t).published()}, run_id="run_2").output("reach")
