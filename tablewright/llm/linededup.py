@@ -84,14 +84,16 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     text = F.col("__row.text")
 
     def stays(_, i):
-        return F.coalesce(F.getbit(F.element_at("keep", F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(True))
+        return F.coalesce(F.getbit(F.element_at("__keep", F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(True))
 
     kept = F.array_join(F.filter(_lines(text), stays), "\n")
-    return rows.join(bitmaps, ["__doc", "__body"], "left").select(
+    # names of their own: a column of ``docs`` may be called keep
+    marks = bitmaps.withColumnsRenamed({"keep": "__keep", "n_dropped": "__n_dropped"})
+    return rows.join(marks, ["__doc", "__body"], "left").select(
         "__row.*",
         F.size(_lines(text)).cast("bigint").alias("__lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("__dropped"),
-        F.when(F.col("keep").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("__kept"),
+        F.coalesce("__n_dropped", F.lit(0)).cast("bigint").alias("__dropped"),
+        F.when(F.col("__keep").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("__kept"),
     )
 
 
