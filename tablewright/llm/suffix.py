@@ -228,6 +228,8 @@ def _shared():
 
 def _by_document(found: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], tuple[int, int]]]:
     """The records in document order, and where each document's are."""
+    if not len(found):
+        return found, {}
     found = found[_order(found)]
     new = np.ones(len(found), bool)
     new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (found["tag"][1:] != found["tag"][:-1])
