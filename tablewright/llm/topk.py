@@ -119,7 +119,8 @@ def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, sca
     n, bytes_ = rows.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     width = (bytes_ or 0) // 8
     largest = valid.agg(F.max(F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))))).first()[0] or 0.0
-    if width * (largest * scale + 1) ** 2 >= EXACT:
+    peak = largest * scale + 1
+    if width * peak * peak >= EXACT:
         raise ValueError("weights too large for exact scores")
     shards = max(1, -(-n // shard))
     candidates = rows.withColumn("role", F.lit(0)).withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
