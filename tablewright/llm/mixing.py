@@ -82,6 +82,17 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, rest: int =
     return out
 
 
+def nearest_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, rest: int = REST) -> np.ndarray:
+    """As ``fit_counts``, or what stays when the excess is fitted instead, if that comes nearer to ``budget`` from above."""
+    below = fit_counts(lengths, counts, budget, rest)
+    total = int((lengths * counts).sum())
+    if budget >= total:
+        return below
+    above = counts - fit_counts(lengths, counts, total - budget, rest)
+    over, under = int((lengths * above).sum()) - budget, budget - int((lengths * below).sum())
+    return above if over < under else below
+
+
 def _knapsack(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     """Bounded subset sum: reachable sums are bits of a whole number; multiples go in powers of two."""
     take = np.zeros(len(length), np.int64)
@@ -114,7 +125,7 @@ def _fit(rest: int):
         size, n = rows["size"].to_numpy(), rows["n"].to_numpy()
         target, own = float(rows["target"].iloc[0]), int((size * n).sum())
         whole = min(1, int(target // own)) if own else 1
-        copies = np.minimum(fit_counts(size, n, int(round(target)) - whole * own, rest), n)
+        copies = np.minimum(nearest_counts(size, n, int(round(target)) - whole * own, rest), n)
         return pd.DataFrame({"sid": rows["sid"], "size": size, "copies": np.int64(whole), "more": copies})
 
     return run
