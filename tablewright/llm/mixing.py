@@ -24,6 +24,7 @@ MOST = 2.0  # no target above this multiple of its source, no document taken mor
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 7
 REST = 1 << 16  # tokens that the dynamic programme fits
+NEAR = 0.01  # a source that misses its target by more is fitted again over all numbers of copies
 PIECE = 100_000  # documents of one source and length ranked in one task
 
 
@@ -126,7 +127,13 @@ def _fit(rest: int):
         target, own = float(rows["target"].iloc[0]), int((size * n).sum())
         whole = min(1, int(target // own)) if own else 1
         copies = np.minimum(nearest_counts(size, n, int(round(target)) - whole * own, rest), n)
-        return pd.DataFrame({"sid": rows["sid"], "size": size, "copies": np.int64(whole), "more": copies})
+        taken = whole * n + copies
+        missed = abs(int((size * taken).sum()) - target)
+        if missed > NEAR * target:  # few or very unequal documents: let any be taken up to ``MOST`` times
+            wide = nearest_counts(size, int(MOST) * n, int(round(target)), rest)
+            if abs(int((size * wide).sum()) - target) < missed:
+                taken = wide
+        return pd.DataFrame({"sid": rows["sid"], "size": size, "copies": taken // n, "more": taken % n})
 
     return run
 
