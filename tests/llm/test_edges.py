@@ -405,7 +405,7 @@ def test_suffix_levels_and_slices(monkeypatch):
 
 
 def test_components_of_chains_and_hubs(spark):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (250, 99)]
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (249, 99)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     found = {r["node"]: r["root"] for r in components.components(df).collect()}
     assert all(found[i] == 0 for i in range(1, 41)) and all(found[200 + i] == 99 for i in range(50)) and found[100] == 99
