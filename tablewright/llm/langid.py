@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ FOREIGN = -30.0  # score of a word in a language that does not use its script
 CLIP = 8.0  # no word counts for more than this against a language
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-BATCH = 1 << 20  # characters labelled at once
+BATCH = 1 << 22  # characters labelled at once
+WORDS = 1 << 14  # words scored at once
 # fixed values: first code point of each range and the script that starts there
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -55,17 +57,35 @@ def script(word: str) -> str:
 def words(text: str | None) -> list[str]:
     """Runs of letters in lower case."""
     out = LETTERS.findall((text or "").lower())
-    if not "".join(out).isalpha():  # fractions and the like count as word characters, but are no letters
+    letters = "".join(out)
+    if letters.isascii():
+        return out
+    if not letters.isalpha():  # fractions and the like count as word characters, but are no letters
         out = [w for w in out if any(map(str.isalpha, w))]
-    if any(ord(w[0]) >= 0x0E00 for w in out):
+    if max(letters) >= "\u0e00":
         out = [p for w in out for p in (w if script(w) in WHOLE else [w])]
     return out
 
 
-def pieces(word: str) -> list[int]:
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % PIECES for g in [*grams, marked]]
+def pieces(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed pieces of all words, and the number of the word that each is of."""
+    marked = "".join([f"<{w}>" for w in found])
+    code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    word = np.repeat(np.arange(len(found)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters to the end of the word
+    value = np.zeros(len(code) + 1, np.uint64)
+    hashes, of = [], []
+    for n in (1, 2, 3, 4):
+        value = value[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :] + np.uint64(n)
+        inside = np.flatnonzero(left[: len(value)] >= n)
+        mixed = value[inside]
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes.append((mixed >> np.uint64(32)).astype(np.int64) % PIECES)
+        of.append(word[inside])
+    hashes.append(np.array([zlib.crc32(w.encode("utf-8", "replace")) % PIECES for w in found], np.int64))
+    of.append(np.arange(len(found)))
+    return np.concatenate(hashes), np.concatenate(of)
 
 
 @dataclass
@@ -77,32 +97,35 @@ class Model:
     known: dict[str, int] = field(default_factory=dict, repr=False)
     rows: list[np.ndarray] = field(default_factory=list, repr=False)
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Score of a word in every language, 0 for the best."""
-        user = self.scripts.get(script(word))
-        if user is None:  # a script that no language was seen in says nothing
-            return np.zeros(len(self.languages), np.float32)
-        found = self.piece_scores[pieces(word)].sum(0)
-        found = np.where(user, found, -np.inf)
-        found = np.maximum(found - found.max(), -CLIP)
-        return np.where(user, found, FOREIGN).astype(np.float32)
+    def word_scores(self, found: list[str]) -> np.ndarray:
+        """Scores of words in every language, 0 for the best; a script that no language was seen in says nothing."""
+        hashes, word = pieces(found)
+        n = len(found)
+        columns = [np.bincount(word, self.piece_scores[hashes, i], n) for i in range(len(self.languages))]
+        nobody = np.zeros(len(self.languages), bool)
+        uses = np.array([self.scripts.get(name, nobody) for _, name in SCRIPTS])
+        user = uses[np.searchsorted(_STARTS, np.fromiter((ord(w[0]) for w in found), np.int64, n), side="right") - 1]
+        out = np.where(user, np.stack(columns, 1), -np.inf)
+        top = out.max(1, keepdims=True)
+        out = np.maximum(out - np.where(np.isfinite(top), top, 0.0), -CLIP)
+        out = np.where(user, out, FOREIGN)
+        return np.where(user.any(1, keepdims=True), out, 0.0).astype(np.float32)
 
     def word_ids(self, found: list[str]) -> np.ndarray:
         """Numbers of words, rows of ``scores``; words stay known until there are many."""
-        known, out = self.known, np.empty(len(found), np.int64)
-        for i, word in enumerate(found):
-            at = known.get(word)
-            if at is None:
-                at = known[word] = len(self.rows)
-                self.rows.append(self.word_score(word))
-            out[i] = at
-        return out
+        known = self.known
+        new = [w for w in dict.fromkeys(found) if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        self.rows += [self.word_scores(new[i : i + WORDS]) for i in range(0, len(new), WORDS)]
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
     def scores(self) -> np.ndarray:
-        return np.stack(self.rows) if self.rows else np.zeros((0, len(self.languages)), np.float32)
+        if len(self.rows) > 1:
+            self.rows[:] = [np.concatenate(self.rows)]
+        return self.rows[0] if self.rows else np.zeros((0, len(self.languages)), np.float32)
 
     def forget(self, most: int = 300_000) -> None:
-        if len(self.rows) > most:
+        if len(self.known) > most:
             self.known.clear()
             self.rows.clear()
 
@@ -151,8 +174,9 @@ def label(texts: list[str | None], model: Model, switch: float = SWITCH) -> list
     model.forget()
     found = [words(t) for t in texts]
     lengths = np.array([len(f) for f in found], np.int64)
-    ids = model.word_ids([w for f in found for w in f])
-    weights = np.array([len(w) for f in found for w in f], np.float64)
+    flat = list(chain.from_iterable(found))
+    ids = model.word_ids(flat)
+    weights = np.fromiter(map(len, flat), np.float64, len(flat))
     scores = model.scores()[ids] if len(ids) else np.zeros((0, len(model.languages)), np.float32)
     path = viterbi(scores, lengths, switch)
     out = []
@@ -198,17 +222,13 @@ def _counts(batches: Iterator[pa.RecordBatch]):
     """Pieces and script letters of a part of the sample, by language."""
     totals: dict[str, np.ndarray] = {}
     letters: dict[str, dict[str, float]] = {}
-    cache: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             total = totals.setdefault(lang, np.zeros(PIECES, np.float32))
             used = letters.setdefault(lang, {})
-            for word in words(text):
-                if word not in cache:
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    cache[word] = np.array(pieces(word))
-                np.add.at(total, cache[word], 1)
+            found = words(text)
+            total += np.bincount(pieces(found)[0], minlength=PIECES)
+            for word in found:
                 name = script(word)
                 used[name] = used.get(name, 0.0) + len(word)
     names = sorted(totals)
