@@ -3,9 +3,15 @@
 Vectors of unit length are halved, and each half has a codebook of its own: a
 cell of the product grid is a pair of nearest centroids. A vector visits cells
 by the multi-sequence order, in which the sum of the two centroid distances
-grows, as many as the target recall took on a sample of queries; there it meets
-the vectors with larger ids and links those whose cosine, in double precision,
-passes. So a pair is found once, by its smaller id.
+grows, as many as the target recall took on a sample of linked vectors; there it
+meets the vectors with larger ids and links those whose cosine, in double
+precision, passes. So a pair is found once, by its smaller id.
+
+The sample is drawn in rounds until it holds ``LINKED`` vectors with a link, no
+two of which are near copies of each other. Where links are too rare for that,
+cells are larger and a vector visits all that its cosine bound allows: a link
+moves a vector by at most sqrt(2 - 2 cosine), and to be in another cell it has
+to cross the planes half way to that cell's centroids. No link is lost then.
 
 Equal vectors are one point with a count. Cells stand under their label. A cell
 with more than ``BLOCK`` points is parted into blocks that its visitors all
@@ -30,7 +36,11 @@ from tablewright.llm.vectors import finite, matrix, meetings, packed
 COSINE = 0.93
 RECALL = 0.98  # aimed at on the sample; at least 0.9 is asked for
 SAMPLE = 20_000  # points that the codebooks are fitted on
-QUERIES = 400  # points whose links the number of visits is fitted on
+QUERIES = 400  # points in the first round of the fit; each round draws four times as many as are drawn
+MOST_QUERIES = 25_600  # points drawn in all rounds
+LINKED = 100  # linked points, of different groups, that the number of visits is fitted on
+WIDE = 4  # blocks in a cell, on average, where all cells that the bound allows are visited
+SLACK = 1e-6  # for rounding in the bound
 CELL = 16  # points in a cell, on average
 MOST_CENTROIDS = 1024
 BLOCK = 2048
@@ -85,6 +95,13 @@ class MultiIndex:
                 heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
         return out
 
+    def allowed(self, first: np.ndarray, second: np.ndarray, least: float) -> list[np.ndarray]:
+        """All cells that may hold a vector with a cosine of ``least``, for each vector."""
+        a, b = _crossings(first, self.books[0]), _crossings(second, self.books[1])
+        wide = len(self.books[1])
+        near = [np.nonzero(x[:, None] + y[None, :] <= 2 - 2 * least + SLACK) for x, y in zip(a, b, strict=True)]
+        return [i * wide + j for i, j in near]
+
     def rank(self, first: np.ndarray, second: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """How many cells one vector visits until it has seen each of ``cells``."""
         wide = len(self.books[1])
@@ -93,46 +110,102 @@ class MultiIndex:
         return np.searchsorted(ordered, reach, side="right")
 
 
+def _crossings(reach: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distance from a half to the plane between its own centroid and each other, from its squared distances to them."""
+    gap = np.linalg.norm(book[:, None] - book[None, :], axis=2)[reach.argmin(1)]
+    return ((reach - reach.min(1, keepdims=True)) / np.where(gap > 0, 2 * gap, np.inf)) ** 2
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
 
 
-def _visits_needed(points: DataFrame, index: MultiIndex, width: int, least: float, recall: float) -> int:
-    """Visits that find ``recall`` of the links of a bounded sample of queries, measured against all points."""
-    some = points.orderBy(F.xxhash64(F.lit(SEED), "vec")).limit(QUERIES).select("id", "label", "vec").collect()
+def _spread(labels: np.ndarray, vectors: np.ndarray, taken: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """Which points are no near copy of a ``taken`` one or of an earlier one here."""
+    alone = np.ones(len(labels), bool)
+    for at in range(0, len(labels), 1024):
+        own, rows = labels[at : at + 1024], vectors[at : at + 1024]
+        for i in range(0, len(taken[0]), 4096):
+            near = (cosines(rows, taken[1][i : i + 4096]) >= least) & (own[:, None] == taken[0][None, i : i + 4096])
+            alone[at : at + 1024] &= ~near.any(1)
+        for i in range(0, at + len(own), 1024):
+            near = (cosines(rows, vectors[i : i + 1024]) >= least) & (own[:, None] == labels[None, i : i + 1024])
+            if i == at:
+                near = np.tril(near, -1)
+            alone[at : at + 1024] &= ~near.any(1)
+    return alone
+
+
+def _share(ranks: np.ndarray, weights: np.ndarray, recall: float) -> int:
+    """Visits that find ``recall`` of the weight."""
+    order = np.argsort(ranks, kind="stable")
+    sofar = np.cumsum(weights[order])
+    return int(ranks[order][min(np.searchsorted(sofar, recall * sofar[-1] * (1 - 1e-12)), len(order) - 1)])
+
+
+def _visits_needed(points: DataFrame, index: MultiIndex, width: int, least: float, recall: float) -> int | None:
+    """Visits that find ``recall`` of the links of a bounded sample, measured against all points; None if it has too few.
+
+    They find that share of all its links, and also of the links of a vector on
+    average, so that a large group does not outweigh the pairs.
+    """
     spark = points.sparkSession
-    given = spark.sparkContext.broadcast((index, [(r["id"], r["label"]) for r in some], matrix([r["vec"] for r in some], width)))
+    draw = points.orderBy(F.xxhash64(F.lit(SEED), "vec"), "label").select("id", "label", "vec")
+    taken = np.zeros(0, np.int64), np.zeros((0, width))
+    seen: list[tuple[int, int, int]] = []  # (linked point, visits, links)
+    drawn, upto, linked = 0, QUERIES, 0
+    while drawn < MOST_QUERIES and linked < LINKED:
+        some = draw.limit(min(upto, MOST_QUERIES)).collect()[drawn:]
+        if not some:
+            break
+        ids, labels = np.array([r["id"] for r in some]), np.array([r["label"] for r in some])
+        vectors = matrix([r["vec"] for r in some], width)
+        drawn, upto = drawn + len(some), 4 * upto
+        alone = _spread(labels, vectors, taken, least)
+        ids, labels, vectors = ids[alone], labels[alone], vectors[alone]
+        given = spark.sparkContext.broadcast((index, ids, labels, vectors))
+        ranks = points.select("id", "label", "vec").mapInArrow(_ranks(given, width, least), "query int, visits bigint, links bigint")
+        found = ranks.groupBy("query", "visits").agg(F.sum("links").alias("links")).collect()
+        hit = np.unique(np.array([r["query"] for r in found], np.int64))
+        seen += [(linked + int(np.searchsorted(hit, r["query"])), r["visits"], r["links"]) for r in found]
+        taken = np.concatenate([taken[0], labels[hit]]), np.concatenate([taken[1], vectors[hit]])
+        linked += len(hit)
+    if linked < LINKED:
+        return None
+    query, visits, links = np.array(seen, np.int64).T
+    alike = links / np.bincount(query, links)[query]
+    return max(_share(visits, links.astype(float), recall), _share(visits, alike, recall))
+
+
+def _ranks(given, width: int, least: float):
+    """Rows (query, visits, links): how many links of a query lie in the cell of that visit."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own, names, queries = given.value
-        ids, labels = np.array([n[0] for n in names]), np.array([n[1] for n in names])
-        found: dict[int, int] = {}
-        first, second = own.split(queries)
+        own, ids, labels, queries = given.value
+        found: dict[tuple[int, int], int] = {}
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 rows = matrix(part.column(2).to_pylist(), width)
-                hit = cosines(queries, rows) >= least
-                hit &= (labels[:, None] == part.column(1).to_numpy()[None, :]) & (ids[:, None] != part.column(0).to_numpy()[None, :])
-                if not hit.any():
-                    continue
-                cells = own.cells(rows)
-                for q in np.flatnonzero(hit.any(1)):
-                    for r, n in zip(*np.unique(own.rank(first[q], second[q], cells[hit[q]]), return_counts=True), strict=True):
-                        found[int(r)] = found.get(int(r), 0) + int(n)
-        yield pa.record_batch({"visits": pa.array(list(found), pa.int64()), "links": pa.array(list(found.values()), pa.int64())})
-
-    rows = points.select("id", "label", "vec").mapInArrow(run, "visits bigint, links bigint").groupBy("visits").agg(F.sum("links")).collect()
-    need = recall * sum(r[1] for r in rows)
-    sofar, visits = 0, 1
-    for r in sorted(rows):
-        visits, sofar = r[0], sofar + r[1]
-        if sofar >= need:
-            break
-    return int(visits)
+                row_ids, row_labels = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for i in range(0, len(ids), 512):
+                    some = slice(i, i + 512)
+                    hit = cosines(queries[some], rows) >= least
+                    hit &= (labels[some, None] == row_labels[None, :]) & (ids[some, None] != row_ids[None, :])
+                    for q in np.flatnonzero(hit.any(1)):
+                        first, second = own.split(queries[i + q : i + q + 1])
+                        rank = own.rank(first[0], second[0], own.cells(rows[hit[q]]))
+                        for r, n in zip(*np.unique(rank, return_counts=True), strict=True):
+                            found[int(i + q), int(r)] = found.get((int(i + q), int(r)), 0) + int(n)
+        yield pa.record_batch({
+            "query": pa.array([k[0] for k in found], pa.int32()), "visits": pa.array([k[1] for k in found], pa.int64()),
+            "links": pa.array(list(found.values()), pa.int64()),
+        })
+
+    return run
 
 
-def _place(index, width: int, visits: int):
+def _place(index, width: int, visits: int | None, least: float):
     given = index
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -143,7 +216,10 @@ def _place(index, width: int, visits: int):
                 rows = matrix(part.column(2).to_pylist(), width)
                 first, second = own.split(rows)
                 cells = (first.argmin(1) * len(own.books[1]) + second.argmin(1)).astype(np.int64)
-                seen = [own.visits(f, s, visits) for f, s in zip(first, second, strict=True)]
+                if visits is None:
+                    seen = [c.tolist() for c in own.allowed(first, second, least)]
+                else:
+                    seen = [own.visits(f, s, visits) for f, s in zip(first, second, strict=True)]
                 yield pa.record_batch([*part.columns, pa.array(cells), pa.array(seen, pa.list_(pa.int64()))], names=[*part.schema.names, "cell", "visits"])
 
     return run
@@ -193,8 +269,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = R
     null, empty, zero, or holds null or non-finite components links with nothing,
     nor does a row without an id (its component is null, and it is kept). Vectors of
     different length are compared as if the shorter ended in zeros. Equal rows
-    are links of each other; rows that share an id are one vertex. Links missed
-    by the index are at most about ``1 - recall`` of all; no link has a smaller cosine.
+    are links of each other; rows that share an id are one vertex. Of the links of
+    ``LINKED`` or more sampled vectors the index misses at most ``1 - recall``, counted
+    by link and by vector; where fewer are found it misses none, at a cost that grows
+    with the square of the largest label. No link has a smaller cosine.
     """
     x = F.col("embedding")
     length = F.aggregate(F.transform(x, lambda v: v.cast("double")), F.lit(0.0), lambda s, v: s + v * v)
@@ -215,10 +293,15 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = R
     k = int(min(MOST_CENTROIDS, max(1, round((n / CELL) ** 0.5))))
     index = MultiIndex(sample / np.linalg.norm(sample, axis=1, keepdims=True), k)
     visits = _visits_needed(points, index, width, least, recall)
+    if visits is None:
+        block *= WIDE
+        largest = points.groupBy("label").count().agg(F.max("count")).first()[0]
+        k = int(min(MOST_CENTROIDS, max(1, round((largest / block) ** 0.5))))
+        index = MultiIndex(sample / np.linalg.norm(sample, axis=1, keepdims=True), k)
 
     shared = points.sparkSession.sparkContext.broadcast(index)
     placed = points.select("id", "label", "vec", "n").mapInArrow(
-        _place(shared, width, visits), "id bigint, label bigint, vec binary, n bigint, cell bigint, visits array<bigint>"
+        _place(shared, width, visits, least), "id bigint, label bigint, vec binary, n bigint, cell bigint, visits array<bigint>"
     )
     placed = written(placed, "placed")
     large = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")

@@ -223,6 +223,35 @@ def test_embeddings_in_blocks(spark):
     assert sum(r["component_id"] == want[r["vec_id"]] for r in found) >= 0.97 * len(rows)
 
 
+def test_embeddings_with_sparse_links(spark):
+    """Few pairs close to the least cosine among many vectors; the parameters are those of the query."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(0, 1, (6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = draw.normal(0, 1, (12, 64))
+    off -= (off * x[:12]).sum(1, keepdims=True) * x[:12]
+    x[6000 - 12 :] = 0.935 * x[:12] + (1 - 0.935**2) ** 0.5 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    links = brute.cosine_links(rows)
+    assert len(links) == 12
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in neardup.near_duplicates(df).collect()}
+    assert sum(r["n_links"] for r in found.values()) == 2 * len(links)
+    assert all(found[b]["component_id"] == a and not found[b]["kept"] for a, b in links)
+
+
+def test_cells_within_the_bound_hold_all_links():
+    draw = np.random.default_rng(12)
+    x = draw.normal(0, 1, (400, 16)) * np.linspace(2, 0.2, 16)
+    x = np.concatenate([x, x + draw.normal(0, 0.07, x.shape) * np.linalg.norm(x, axis=1, keepdims=True)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = neardup.MultiIndex(unit, 7)
+    cells, allowed = index.cells(x), index.allowed(*index.split(x), 0.93)
+    a, b = np.nonzero(unit @ unit.T >= 0.93)
+    assert len(a) > 800 and all(cells[j] in allowed[i] for i, j in zip(a, b, strict=True))
+    assert np.mean([len(c) for c in allowed]) < 49
+
+
 def test_multi_sequence_order():
     draw = np.random.default_rng(4)
     index = neardup.MultiIndex(draw.normal(0, 1, (200, 10)), 6)
