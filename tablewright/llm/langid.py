@@ -7,8 +7,8 @@ pieces). Viterbi over the words of a text, with a penalty for every switch,
 labels spans. The label of a text is the language with most letters in its
 spans, which the text's total score decides if two are even.
 
-The fit reads at most ``SAMPLE`` labelled rows, spread over the languages;
-labelling sees every whole text.
+The fit reads at most ``SAMPLE`` labelled rows, spread over the languages, and
+their whole texts; labelling sees every whole text.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import fold, held_out, table, written
 
 SAMPLE = 4000  # labelled rows that the fit may read
-SAMPLE_CHARS = 4000  # characters of a sampled row that are learned from
+SLICE = 1 << 18  # characters of a sampled text counted at once
 PIECES = 1 << 16
 SWITCH = 6.0
 FOREIGN = -30.0  # score of a word in a language that does not use its script
 CLIP = 8.0  # no word counts for more than this against a language
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+BORDER = re.compile(r"[\W\d_]")
 BATCH = 1 << 22  # characters labelled at once
 WORDS = 1 << 14  # words scored at once
 # fixed values: first code point of each range and the script that starts there
@@ -203,7 +204,7 @@ def _model(rows: list[tuple[str, bytes, dict]], priors: dict[str, int]) -> Model
     letters: dict[str, dict[str, float]] = {}
     for lang, blob, used in rows:
         i = languages.index(lang)
-        counts[:, i] += np.frombuffer(blob, np.float32)
+        counts[:, i] += np.frombuffer(blob)
         for name, n in used.items():
             letters.setdefault(lang, {})[name] = letters.get(lang, {}).get(name, 0.0) + n
     logs = np.log(counts / counts.sum(0))
@@ -218,19 +219,30 @@ def _model(rows: list[tuple[str, bytes, dict]], priors: dict[str, int]) -> Model
     return Model(languages, logs.astype(np.float32), scripts, np.log(seen / seen.sum()))
 
 
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in slices of about ``size`` characters that end between words."""
+    at = 0
+    while at < len(text):
+        end = BORDER.search(text, at + size)
+        end = end.end() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _counts(batches: Iterator[pa.RecordBatch]):
     """Pieces and script letters of a part of the sample, by language."""
     totals: dict[str, np.ndarray] = {}
     letters: dict[str, dict[str, float]] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total = totals.setdefault(lang, np.zeros(PIECES, np.float32))
+        for lang, text in ((lang.as_py(), text.as_py()) for lang, text in zip(batch.column(0), batch.column(1), strict=True)):
+            total = totals.setdefault(lang, np.zeros(PIECES))
             used = letters.setdefault(lang, {})
-            found = words(text)
-            total += np.bincount(pieces(found)[0], minlength=PIECES)
-            for word in found:
-                name = script(word)
-                used[name] = used.get(name, 0.0) + len(word)
+            for part in slices(text):
+                found = words(part)
+                total += np.bincount(pieces(found)[0], minlength=PIECES)
+                for word in found:
+                    name = script(word)
+                    used[name] = used.get(name, 0.0) + len(word)
     names = sorted(totals)
     yield pa.record_batch({
         "lang": pa.array(names, pa.string()), "counts": pa.array([totals[n].tobytes() for n in names], pa.binary()),
@@ -251,7 +263,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "id"), "id"))
     picked = known.withColumn("n", nth).where(F.col("n") <= max(1, sample // len(priors))).select("lang", "id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "lang", "text")
     rows = written(texts.join(F.broadcast(picked), ["lang", "id"]).select("lang", "text").repartition(8), "sample")
     found = rows.mapInArrow(_counts, "lang string, counts binary, letters map<string,double>").collect()
     return _model(sorted((r["lang"], bytes(r["counts"]), r["letters"]) for r in found), priors)

@@ -81,6 +81,23 @@ def test_language_spans(spark):
     assert lang in ("en", "fr") and 0.3 < score < 0.6
 
 
+def test_language_of_texts_that_open_in_another_script(spark):
+    """The fit learns from whole texts: what stands behind a long opening counts as well."""
+    opening = "this page is shown with all rights reserved by the owner of the house " * 80
+    rows = [(i, opening + "это то что мы хотим дом и сад и цветы в городе " * 60, "ru") for i in range(30)]
+    rows += [(100 + i, "the house and the garden with the flowers are what they want " * 20, "en") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.scripts["cyrillic"].tolist() == [False, True]
+    assert [r[0] for r in langid.label(["мы хотим сад и дом", "the garden and the house"], model)] == ["ru", "en"]
+
+
+def test_slices_end_between_words():
+    text = "the house and the garden 中文中文 " * 50 + "w" * 300 + " end"
+    parts = list(langid.slices(text, 64))
+    assert "".join(parts) == text and len(parts) > 10
+    assert [w for p in parts for w in langid.words(p)] == langid.words(text)
+
+
 def test_viterbi_against_all_paths():
     draw = np.random.default_rng(0)
     lengths = np.array([3, 0, 5, 1, 5])
