@@ -51,20 +51,31 @@ _STARTS = [start for start, _ in SCRIPTS]
 WHOLE = {"han", "kana", "thai"}  # scripts without spaces: their runs are cut into characters
 
 
+def _runs() -> re.Pattern[str]:
+    """Runs of one script, or single characters of a script without spaces."""
+    ranges: dict[str, str] = {}
+    for (start, name), end in zip(SCRIPTS, [*_STARTS[1:], 0x110000], strict=True):
+        ranges[name] = ranges.get(name, "") + f"\\U{start:08x}-\\U{end - 1:08x}"
+    return re.compile("|".join(f"[{chars}]" + ("" if name in WHOLE else "+") for name, chars in ranges.items()))
+
+
+RUNS = _runs()
+
+
 def script(word: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
+    """Runs of letters of one script in lower case."""
     out = LETTERS.findall((text or "").lower())
     letters = "".join(out)
     if letters.isascii():
         return out
+    if max(letters) >= "\u0370":
+        out = [p for w in out for p in ([w] if w.isascii() else RUNS.findall(w))]
     if not letters.isalpha():  # fractions and the like count as word characters, but are no letters
         out = [w for w in out if any(map(str.isalpha, w))]
-    if max(letters) >= "\u0e00":
-        out = [p for w in out for p in (w if script(w) in WHOLE else [w])]
     return out
 
 

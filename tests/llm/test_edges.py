@@ -91,6 +91,17 @@ def test_language_of_texts_that_open_in_another_script(spark):
     assert [r[0] for r in langid.label(["мы хотим сад и дом", "the garden and the house"], model)] == ["ru", "en"]
 
 
+def test_words_are_cut_where_the_script_changes(spark):
+    assert langid.words("Nike公司 été WiFi网络 слово中x") == ["nike", "公", "司", "été", "wifi", "网", "络", "слово", "中", "x"]
+    assert langid.words("日本語のテスト ½中 Ünïcode") == [*"日本語のテスト", "中", "ünïcode"]
+    rows = [(i, t, g) for i, (t, g) in enumerate([
+        ("the house and the garden with the flowers", "en"), ("我们想要的房子和花园里的花", "zh"), ("这是我们公司的产品", "zh"),
+    ] * 8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    lang, _, spans = langid.label(["Nike我们公司的产品和花园里的花"], model)[0]
+    assert lang == "zh" and spans[-1][0] == "zh"
+
+
 def test_slices_end_between_words():
     text = "the house and the garden 中文中文 " * 50 + "w" * 300 + " end"
     parts = list(langid.slices(text, 64))
