@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from tablewright.llm.common import merge_labels, run_bounds, table, whole_runs, written
+from tablewright.llm.common import merge_labels, run_bounds, table, text_key, whole_runs, written
 from tablewright.llm.components import components
 
 SEED = 42
@@ -91,15 +91,15 @@ def _fingerprint_batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             words = fingerprints(batch.column(1).to_pylist(), shingle)
-            yield pa.record_batch([batch.column(0), pa.array(words.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(words.view(np.int64))], names=["doc_id", "h1", "h2", "fp"])
 
     return run
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed 64-bit number."""
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
-    return texts.mapInArrow(_fingerprint_batches(shingle), "doc_id bigint, fp bigint")
+    """``(doc_id, h1, h2, fp)``: the text's name and its fingerprint as a signed 64-bit number."""
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), *text_key(F.col("text")))
+    return texts.mapInArrow(_fingerprint_batches(shingle), "doc_id bigint, h1 bigint, h2 bigint, fp bigint")
 
 
 def _pieces(free: list[int], n: int) -> list[int]:
@@ -243,7 +243,7 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = BUCKET) -> DataFrame:
-    """``(doc_id, fp, component_id, root)`` for every row of ``docs``.
+    """``(doc_id, h1, h2, fp, component_id, root)`` for every row of ``docs``.
 
     Rows with equal fingerprints are linked, and fingerprints that differ in at
     most ``radius`` bits. ``component_id`` is the smallest doc_id reachable, the
@@ -259,24 +259,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     known = written(known.select("fp", "head", F.coalesce("root", "fp").alias("root")), "roots")
     ids = known.groupBy("root").agg(F.min("head").alias("component_id"))
     of_fp = known.join(ids, "root").select("fp", "root", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id", "root")
+    return fps.join(of_fp, "fp").select("doc_id", "h1", "h2", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id.
 
-    Of rows that repeat that id, the first by a hash of the row stays. Rows
-    without an id cannot be named by another row and stay.
+    A row is named by its id and text, so an id that stands on texts of several
+    components is kept in each where it is the smallest. Of rows that repeat it
+    in one component, the first by a hash of text and row stays. Rows without an
+    id cannot be named by another row: one of them stays too in each component
+    that has some.
     """
-    found = near_duplicates(docs, shingle, radius)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id OR doc_id IS NULL")
+    heads = found.groupBy("root", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("key"))
+    heads = heads.select(F.col("doc_id").alias("head"), F.col("key.h1").alias("head1"), F.col("key.h2").alias("head2"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.struct(*own).alias("__row"))
-    named = rows.join(heads.select(F.col("doc_id").alias("__id")), "__id")
+    h1, h2 = text_key(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("__id"), h1.alias("__h1"), h2.alias("__h2"), F.struct(*own).alias("__row"))
     plain = [F.col(f"__row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
-    first = Window.partitionBy("__id").orderBy(F.xxhash64(*plain))
-    named = named.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return named.unionByName(rows.where("__id IS NULL").withColumn("__n", F.lit(1))).select("__row.*")
+    first = Window.partitionBy("__id", "__h1", "__h2").orderBy(F.xxhash64(*plain))
+    single = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    same = F.col("__id").eqNullSafe(F.col("head")) & (F.col("__h1") == F.col("head1")) & (F.col("__h2") == F.col("head2"))
+    return single.join(heads, same, "left_semi").select("__row.*")
 
 
 def op2(spark, folder: str) -> DataFrame:

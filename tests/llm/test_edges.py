@@ -139,6 +139,14 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_of_every_component(spark):
+    """An id on texts of two components, and copies without ids."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue"))
+    rows = [(5, a), (1, a), (5, b), (5, b), (7, b), (8, c), (8, a)] + [(None, c)] * 4 + [(None, "black " + a)] * 3
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(1, a), (5, b), (8, c), (None, c), (None, "black " + a)])
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2])
 def test_simhash_links_in_parted_buckets(spark, radius):
     """Few free bits in a bucket force finer masks; components stay those of all pairs."""
