@@ -135,5 +135,9 @@ def pack(
 
 
 def op9(spark, folder: str) -> DataFrame:
-    """Bin and offset of every document or piece of one."""
+    """Bin and offset of every document or piece of one.
+
+    A duplicate cluster is the documents of equal text; near copies from
+    different sources may share a bin.
+    """
     return pack(table(spark, folder, "documents"))
