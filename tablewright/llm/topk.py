@@ -28,6 +28,7 @@ SHARD = 8192  # candidates in a shard
 BLOCK = 1024
 QUERIES = 256
 EXACT = 2.0**52  # whole numbers below this are exact in double precision
+LONG = 2**63
 
 
 class Shard:
@@ -35,6 +36,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
         order = np.lexsort((ids, -np.linalg.norm(weights, axis=1)))
+        self.peak = np.abs(weights).max(0)
         self.blocks = []
         for at in range(0, len(order), BLOCK):
             some = order[at : at + BLOCK]
@@ -77,6 +79,22 @@ class Shard:
                 best[at[j]], best_id[at[j]] = scores[top], found[top]
         return best, best_id
 
+    def bound(self, queries: np.ndarray) -> np.ndarray:
+        """What no sum of products of a query can pass."""
+        with np.errstate(over="ignore"):
+            return (np.abs(queries) * self.peak).sum(1)
+
+    def exact(self, query_id: int, query: np.ndarray, bound: float, k: int) -> list[tuple[int, int]]:
+        """Scores and ids of the k best candidates of one query, in 64-bit whole numbers, or in Python's if they may not do."""
+        used = (query != 0) & (self.peak != 0)
+        whole = (lambda x: x.astype(np.int64)) if bound < LONG / 2 else np.frompyfunc(int, 1, 1)
+        best: list[tuple[int, int]] = []
+        for ids, postings, _, _ in self.blocks:
+            scores = (whole(query[used])[:, None] * whole(postings[used])).sum(0) if used.any() else np.zeros(len(ids), np.int64)
+            found = [(-int(v), int(i)) for v, i in zip(scores, ids, strict=True) if i != query_id]
+            best = sorted(best + found)[:k]
+        return [(-v, i) for v, i in best]
+
 
 def _search(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]):
@@ -89,16 +107,28 @@ def _search(width: int, k: int):
             elif shard is not None:
                 for at in range(0, len(rows["vec_id"]), QUERIES):
                     ids = rows["vec_id"][at : at + QUERIES].astype(np.int64)
-                    score, found = shard.search(ids, matrix(rows["vec"][at : at + QUERIES], width), k)
+                    names, queries = rows["row"][at : at + QUERIES].astype(np.int64), matrix(rows["vec"][at : at + QUERIES], width)
+                    bound = shard.bound(queries)
+                    fine = bound < EXACT
+                    score, found = shard.search(ids[fine], queries[fine], k)
                     row, col = np.nonzero(np.isfinite(score))
-                    yield pa.record_batch({
-                        "query_row": pa.array(rows["row"][at : at + QUERIES][row].astype(np.int64)), "query_id": pa.array(ids[row]),
-                        "vec_id": pa.array(found[row, col]), "score": pa.array(score[row, col].astype(np.int64)),
-                    })
+                    yield _rows(names[fine][row], ids[fine][row], found[row, col], score[row, col].astype(np.int64).tolist())
+                    for j in np.flatnonzero(~fine):
+                        best = shard.exact(int(ids[j]), queries[j], float(bound[j]), k)
+                        yield _rows(np.full(len(best), names[j]), np.full(len(best), ids[j]), [i for _, i in best], [v for v, _ in best])
 
     return run
 
 
+def _rows(query_row, query_id, vec_id, scores: list[int]) -> pa.RecordBatch:
+    """A score that no long holds is null, and ``over`` if it is above."""
+    held = [v if -LONG <= v < LONG else None for v in scores]
+    return pa.record_batch({
+        "query_row": pa.array(query_row, pa.int64()), "query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()),
+        "score": pa.array(held, pa.int64()), "over": pa.array([v >= LONG for v in scores], pa.bool_()),
+    })
+
+
 def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: int = SCALE, shard: int = SHARD) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best candidates of every row whose id is divisible by ``every``.
 
@@ -107,12 +137,18 @@ def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, sca
     without an id, and vectors that are null or hold null or non-finite
     components, take no part. A candidate is every row with another id than the
     query; repeated candidate rows each count, rows equal in id and vector are
-    one query. Ties go to the smaller id. Weights so large that a score could
-    pass 2**52 are refused. The stated queries meet every shard of candidates;
+    one query. Ties go to the smaller id. Where a score could pass 2**52, a query
+    and a shard are scored in whole numbers; only a score among the ``k`` best
+    that a long cannot hold, or a weight beyond double precision, is refused. The stated queries meet every shard of candidates;
     a shard is bounded, and queries stream past it.
     """
     x = F.col("embedding")
-    weights = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double"))
+
+    def weight(v):
+        scaled = v.cast("double") * scale
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)  # beyond it there are no fractions
+
+    weights = F.transform(x, weight)
     valid = vectors.where(finite(x) & F.col("vec_id").isNotNull())
     rows = written(packed(valid.select(F.col("vec_id").cast("bigint").alias("vec_id"), weights.alias("w")), "w"), "weights")
     rows = rows.withColumn("row", F.xxhash64("vec_id", "vec"))
@@ -120,16 +156,22 @@ def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, sca
     width = (bytes_ or 0) // 8
     largest = valid.agg(F.max(F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))))).first()[0] or 0.0
     peak = largest * scale + 1
-    if width * peak * peak >= EXACT:
-        raise ValueError("weights too large for exact scores")
+    if peak == float("inf"):
+        raise ValueError("weights beyond double precision")
     shards = max(1, -(-n // shard))
     candidates = rows.withColumn("role", F.lit(0)).withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]).withColumn("role", F.lit(1))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     placed = candidates.unionByName(queries).repartition("shard").sortWithinPartitions("shard", "role", "vec_id")
-    found = placed.mapInArrow(_search(width, k), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    found = placed.mapInArrow(_search(width, k), "query_row bigint, query_id bigint, vec_id bigint, score bigint, over boolean")
+    large = peak >= (EXACT / max(width, 1)) ** 0.5
+    if large:
+        found = written(found, "found")
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if large and (not found.where("over").isEmpty() or not ranked.where("score IS NULL").isEmpty()):
+        raise ValueError("a score among the best does not fit a long")
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op8(spark, folder: str) -> DataFrame:

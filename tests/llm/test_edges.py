@@ -310,6 +310,24 @@ def test_top_k(spark, vectors):
         topk.top_inner_products(spark.createDataFrame([(20, [1e300]), (1, [1e300])], "vec_id bigint, embedding array<double>"))
 
 
+def test_top_k_of_large_weights(spark):
+    """Scores past 2**52 are exact; a score that no long holds counts only among the best."""
+    rows = [(20, [3.0, 1e6]), (1, [0.5, 1e6]), (2, [0.515625, 1e6]), (3, [1.0, -2e6]), (40, [1.0, 0.0]), (4, [2.0**60, 2.0])]
+    schema = "vec_id bigint, embedding array<double>"
+    whole = {v: [int(np.floor(64 * c)) for c in x] for v, x in rows}
+    scores = {q: sorted((-sum(a * b for a, b in zip(whole[q], x, strict=True)), v) for v, x in whole.items() if v != q) for q in (20, 40)}
+    assert max(-s for some in scores.values() for s, _ in some) >= 2**63
+    with pytest.raises(ValueError):
+        topk.top_inner_products(spark.createDataFrame(rows, schema), k=3)
+    rows, whole = rows[:-1], {v: x for v, x in whole.items() if v != 4}
+    scores = {(q, v): sum(a * b for a, b in zip(whole[q], x, strict=True)) for q in (20, 40) for v, x in whole.items() if v != q}
+    found = topk.top_inner_products(spark.createDataFrame(rows, schema), k=3).collect()
+    assert len(found) == 6 and all(r["score"] == scores[r["query_id"], r["vec_id"]] for r in found)
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 20] == [2, 1, 40]
+    low = spark.createDataFrame([*rows, (5, [-(2.0**60), 0.0])], schema)
+    assert topk.top_inner_products(low, k=3).count() == 6
+
+
 def test_top_k_many_shards(spark):
     draw = np.random.default_rng(5)
     rows = [(i, draw.normal(0, 0.2, 12).round(1).tolist()) for i in range(700)]  # coarse, so that scores tie
