@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, over their whole tables, and the pipeline."""
+"""The operators as registered queries, over their whole tables, and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, linededup, mixing, neardup, packing, quality, sharding, simhash, suffix, topk
+from tablewright.llm import langid, licenses, linededup, merkle, mixing, neardup, negatives, packing, quality, sharding, simhash, suffix, topk
 from tablewright.llm.common import table
 
 LINES_SQL = """
@@ -50,5 +50,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": topk.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_suffix_dedup": suffix.op10,
+    "op11_license_scan": licenses.op11,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_hard_negatives": negatives.op13,
+}
+CHECKS: dict[str, str] = {
+    "op3_line_dedup": LINES_SQL, "op8_exact_top_k": topk.SQL, "op12_merkle_manifest": merkle.SQL, "op13_hard_negatives": negatives.SQL,
 }
-CHECKS: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op8_exact_top_k": topk.SQL}

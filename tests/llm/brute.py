@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -104,3 +105,81 @@ def top_products(rows, k=20, every=20):
             scored = sorted((-int(w @ c), v) for v, c in weights if v != q)[:k]
             out |= {(q, i + 1, v, -s) for i, (s, v) in enumerate(scored)}
     return out
+
+
+def license_scan(docs, rules, base):
+    """docs: (doc_id, text). Every rule on every text, places compared pairwise."""
+    out = {}
+    for d, t in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        norm = " " + "".join(w + " " for w in words)
+        phrases = [(i, label) for phrase, label in base.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        found = []
+        for number, (label, _, priority, weight, text, _) in enumerate(rules):
+            for m in re.finditer(rf"(?<= )(?:{text})(?= )", norm):
+                found.append((norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" "), priority, number, label, weight))
+        def rank(p):
+            return p[0], -p[1], p[2], p[3]
+        kept = [p for p in found if not any(rank(o) < rank(p) and o[0] <= p[0] and o[1] >= p[1] and o[2] <= p[2] for o in found)]
+        starts = [i for i, _ in phrases]
+        labels = {label for _, label in phrases}
+        out[d] = (
+            len(words), len(phrases), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
+            ",".join(sorted(labels | {p[4] for p in kept})), max((p[5] for p in kept), default=0.0),
+        )
+    return out
+
+
+def merkle(rows, tampered=7):
+    """rows: (doc_id, source, lang, n_chars, text). One tuple for each row, in the order of the leaves."""
+    def h(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(r):
+        return h("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r)
+
+    def tree(leaves):
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([h(last[i : i + 2]) for i in range(0, len(last), 2)])
+        return levels
+
+    def way(levels, i):
+        for row in levels[:-1]:
+            other = i ^ 1
+            yield (other < i, row[other]) if other < len(row) else (False, "")
+            i >>= 1
+
+    by_lang = defaultdict(list)
+    for r in rows:
+        by_lang[r[2]].append((r[0] is not None, r[0] or 0, leaf(r), r))
+    langs = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {g: tree([x[2] for x in sorted(by_lang[g], key=lambda x: x[:3])]) for g in langs}
+    top = tree([trees[g][-1][0] for g in langs])
+    out = []
+    for n, g in enumerate(langs):
+        for i, (_, _, own, r) in enumerate(sorted(by_lang[g], key=lambda x: x[:3])):
+            steps = [*way(trees[g], i), *way(top, n)]
+            claim = own
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % tampered == 0 and r[3] is not None:
+                claim = leaf((*r[:3], r[3] + 1, r[4]))
+            for left, other in steps:
+                claim = h([other, claim] if left else [claim, other])
+            root = top[-1][0]
+            out.append((r[0], own, trees[g][-1][0], root, h(o for _, o in steps), claim, claim == root))
+    return out
+
+
+def hard_negatives(rows, every=100, positives=5, negatives=5, scale=256):
+    """rows: (vec_id, vector, label), all valid."""
+    w = [(v, [int(np.floor(np.float64(scale) * np.float64(x))) for x in vec], label) for v, vec, label in rows]
+    out = []
+    for a, x, label in w:
+        if a % every:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y, strict=False)), v, other) for v, y, other in w if v != a)
+        for s, p, _ in [r for r in scored if r[2] == label][:positives]:
+            fits = [r for r in scored if r[2] != label and -80 * s <= -100 * r[0] <= -100 * s][:negatives]
+            out += [(a, p, i + 1, v, -s, -n) for i, (n, v, _) in enumerate(fits)]
+    return out
