@@ -14,7 +14,7 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.numeric import half_up, mean_of
@@ -396,20 +396,42 @@ def run_rollup(tasks: DataFrame) -> DataFrame:
 
 # ---- state folds ---------------------------------------------------------------
 
-def run_counters(events: DataFrame, total_tasks: int) -> DataFrame:
-    """Completed and failed tasks and rows per run from the task event log.
+def declared_tasks(configs: DataFrame) -> DataFrame:
+    """``(pipeline_id, total_tasks)``: how many tasks the active config of a pipeline declares."""
+    tasks = F.from_json("config", "tasks array<struct<task_id string>>")["tasks"]
+    sizes = configs.where("is_active").select("pipeline_id", F.when(tasks.isNotNull(), F.size(tasks)).otherwise(0).cast("bigint").alias("total_tasks"))
+    return sizes.groupBy("pipeline_id").agg(F.max("total_tasks").alias("total_tasks"))
 
-    ``total_tasks`` is the number of tasks the config declares.
+
+def run_counters(events: DataFrame, declared: DataFrame, stored: DataFrame | None = None, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Completed and failed attempts and rows per run from the task event log.
+
+    Events are folded to one final state per attempt first, so a replayed event counts
+    once. ``declared`` has the tasks of each pipeline, ``stored`` the total that a run
+    has on record; the larger holds, and a run without either has a total of 0.
+    ``ended_at`` is when so many attempts had ended as the run has tasks, and
+    ``failed_by_then`` counts the failures among these.
     """
-    state = F.lower("status")
-    return events.groupBy("run_id").agg(
+    attempts = task_run_upsert(events, order).select(
+        "task_run_id", "run_id", "pipeline_id", "status", "start_time", "end_time", "output_row_count"
+    )
+    attempts = attempts.join(declared.select("pipeline_id", F.col("total_tasks").alias("_declared")), "pipeline_id", "left")
+    total = F.col("_declared")
+    if stored is not None:
+        attempts = attempts.join(stored.select("run_id", F.col("total_tasks").alias("_stored")), "run_id", "left")
+        total = F.greatest("_declared", "_stored")
+    over = F.col("status").isin("success", "failed")
+    along = Window.partitionBy("run_id").orderBy(F.when(over, 0).otherwise(1), F.col("end_time").asc_nulls_last(), "task_run_id")
+    ranked = attempts.withColumn("_total", F.coalesce(total, F.lit(0)).cast("bigint")).withColumn("_rank", F.row_number().over(along))
+    return ranked.groupBy("run_id").agg(
         F.max("pipeline_id").alias("pipeline_id"),
-        F.count_if(state == "success").alias("completed_tasks"),
-        F.count_if(state == "failed").alias("failed_tasks"),
-        F.coalesce(F.sum(F.when(state == "success", F.col("output_row_count"))), F.lit(0)).alias("total_rows_processed"),
-        F.lit(total_tasks).cast("bigint").alias("total_tasks"),
+        F.count_if(F.col("status") == "success").alias("completed_tasks"),
+        F.count_if(F.col("status") == "failed").alias("failed_tasks"),
+        F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("output_row_count"))), F.lit(0)).alias("total_rows_processed"),
+        F.max("_total").alias("total_tasks"),
         F.min("start_time").alias("start_time"),
-        F.max("end_time").alias("last_end"),
+        F.min(F.when(over & (F.col("_rank") >= F.col("_total")), F.col("end_time"))).alias("ended_at"),
+        F.count_if((F.col("status") == "failed") & (F.col("_rank") <= F.col("_total"))).alias("failed_by_then"),
     )
 
 
@@ -420,10 +442,10 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def run_finalize(counters: DataFrame) -> DataFrame:
-    """Runs whose tasks have all ended get a final state, end and duration; the rest keep running."""
+    """Runs with as many ended attempts as tasks get a final state, end and duration; the rest keep running."""
     ended = (F.col("total_tasks") > 0) & (F.col("completed_tasks") + F.col("failed_tasks") >= F.col("total_tasks"))
-    final = F.when(F.col("failed_tasks") > 0, "failed").otherwise("success")
-    end = F.when(ended, F.col("last_end"))
+    final = F.when(F.col("failed_by_then") > 0, "failed").otherwise("success")
+    end = F.when(ended, F.col("ended_at"))
     return counters.select(
         "run_id", "pipeline_id", F.when(ended, final).otherwise("running").alias("status"),
         "total_tasks", "completed_tasks", "failed_tasks", "total_rows_processed", "start_time",
@@ -431,29 +453,58 @@ def run_finalize(counters: DataFrame) -> DataFrame:
     )
 
 
-def latest_known(column: str, order: Column) -> Column:
-    """Newest value that is not NULL: a later NULL does not erase it."""
-    return F.max_by(column, F.when(F.col(column).isNotNull(), order)).alias(column)
+# what the events of an attempt write: some columns keep their last known value, some
+# follow the newest event, also into NULL, and some stay as first written
+KNOWN = ["run_id", "pipeline_id", "task_id", "output_row_count", "output_path", "output_table", "output_size_bytes", "output_schema"]
+NEWEST = ["status", "end_time", "duration_seconds", "qc_results", "qc_passed", "qc_warnings", "qc_failures", "error_message", "error_traceback", "metrics"]
+FIRST = ["start_time", "task_type", "attempt_number", "max_attempts", "input_sources", "queued_at", "task_config_snapshot", "worker_host"]
+
+
+def _held(columns: Sequence[str], df: DataFrame) -> list[str]:
+    return [c for c in columns if c in df.columns]
+
+
+def _fold_marks(marks: DataFrame) -> DataFrame:
+    known = [c for c in marks.columns if c.startswith("known_")]
+    return marks.groupBy("task_run_id").agg(F.max("newest").alias("newest"), F.min("first").alias("first"), *[F.max(c).alias(c) for c in known])
+
+
+def task_marks(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Task events folded to one row per attempt that still says at which event each value was written.
+
+    Two such tables fold into one with ``merge_marks``, in any order and however often.
+    """
+    at = F.struct(*order).alias("at")
+    return _fold_marks(events.select(
+        "task_run_id", F.struct(at, *_held(NEWEST, events)).alias("newest"), F.struct(at, *_held(FIRST, events)).alias("first"),
+        *[F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).alias("value"))).alias(f"known_{c}") for c in _held(KNOWN, events)],
+    ))
+
+
+def merge_marks(one: DataFrame, other: DataFrame) -> DataFrame:
+    return _fold_marks(one.unionByName(other))
+
+
+def marked_state(marks: DataFrame) -> DataFrame:
+    """The state of every attempt from its marks; no aggregate."""
+    newest, first = ([f.name for f in marks.schema[c].dataType if f.name != "at"] for c in ("newest", "first"))
+    status = {"status": F.lower("newest.status").alias("status")}
+    return marks.select(
+        "task_run_id", *[F.col(f"{c}.value").alias(c.removeprefix("known_")) for c in marks.columns if c.startswith("known_")],
+        *[F.col(f"first.{c}") for c in first], *[status.get(c, F.col(f"newest.{c}")) for c in newest],
+    )
 
 
 def task_run_upsert(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Task events folded to one row per attempt.
 
-    State, end and error come from the newest event; outputs keep their last known
-    value, as do run, pipeline and task, which single events may lack; the start stays
-    as first written.
+    State, end, checks, metrics and error come from the newest event; outputs keep
+    their last known value, as do run, pipeline and task, which single events may lack;
+    the start and what describes the attempt stay as first written. Columns the events
+    lack are left out. Repeated events change nothing; of different events of one
+    order the larger row counts as newer.
     """
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    ids = ["task_run_id", "run_id", "pipeline_id", "task_id"]
-    return events.groupBy("task_run_id").agg(
-        *[latest_known(c, at) for c in ids[1:]],
-        F.min_by(F.struct("start_time"), at).alias("_first"),
-        F.max_by(F.struct("status", "end_time", "error_message"), at).alias("_last"),
-        latest_known("output_row_count", at), latest_known("output_path", at),
-    ).select(
-        *ids, "_first.start_time", F.lower("_last.status").alias("status"), "_last.end_time", "_last.error_message",
-        "output_row_count", "output_path",
-    )
+    return marked_state(task_marks(events, order))
 
 
 def one_per_key(updates: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -466,13 +517,14 @@ def one_per_key(updates: DataFrame, keys: Sequence[str], newest_first: Sequence[
 
 
 def run_upsert(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Runs after one batch of updates: state replaced, gaps filled, task count never shrinking.
+    """Runs after one batch of updates: state and counters replaced, gaps filled, task count never shrinking.
 
     Of several updates of a run the one that ends last counts, one without an end first.
     """
     updates = one_per_key(updates, ["run_id"], [F.desc("end_time"), F.asc("status")])
     filled = {c: F.coalesce(new(c), F.col(c)) for c in ("end_time", "duration_seconds", "error_message")}
     changes = {"status": new("status"), "total_tasks": F.greatest(new("total_tasks"), "total_tasks"), **filled}
+    changes |= {c: new(c) for c in ("completed_tasks", "failed_tasks") if c in runs.columns and c in updates.columns}
     return upsert(runs, updates, ["run_id"], changes)
 
 

@@ -162,10 +162,25 @@ SELECT concat('run_', CAST(event_id AS STRING), '_t', CAST(n AS STRING), '_attem
             THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * n
             WHEN phase = 1 AND event_type = 'view' THEN CAST(0 AS BIGINT) END AS output_row_count,
        CASE WHEN phase = 1 THEN concat('store/', CAST(event_id AS STRING)) END AS output_path,
-       CASE WHEN phase = 2 AND event_type = 'error' AND n = 3 THEN concat('failed: ', props) END AS error_message
+       CASE WHEN phase = 2 AND event_type = 'error' AND n = 3 THEN concat('failed: ', props) END AS error_message,
+       CASE WHEN phase = 1 AND n = 1 THEN 'raw' WHEN phase = 2 AND n <> 2 THEN event_type END AS output_table,
+       CASE WHEN phase = 2 AND event_type <> 'view' THEN event_id * n WHEN phase = 1 THEN CAST(7 AS BIGINT) END AS output_size_bytes,
+       CASE WHEN phase = 1 THEN '{"id": "BIGINT"}' WHEN event_type = 'purchase' THEN '{"id": "INTEGER"}' END AS output_schema,
+       CASE WHEN phase = 1 THEN 'sql_extract' ELSE 'other' END AS task_type, concat('host', CAST(phase AS STRING)) AS worker_host,
+       CASE WHEN phase = 2 THEN value END AS duration_seconds,
+       CASE WHEN phase = 2 AND n = 2 THEN '{"checks": []}' END AS qc_results, CASE WHEN phase = 1 OR n = 2 THEN event_type <> 'error' END AS qc_passed,
+       CAST(phase AS BIGINT) AS qc_warnings, CASE WHEN event_type = 'error' THEN CAST(n AS BIGINT) ELSE CAST(0 AS BIGINT) END AS qc_failures,
+       CASE WHEN phase = 1 THEN '{"cpu": 1}' END AS metrics
 FROM (SELECT *, @SEQ(1, 2) AS phase
       FROM (SELECT *, @SEQ(1, 3) AS n FROM @events) tasks) entries"""
 
+# pipelines of two, three and four tasks
+VIEWS["run_configs"] = """
+SELECT DISTINCT concat('p', CAST(user_id AS STRING)) AS pipeline_id, TRUE AS is_active,
+       concat('{"tasks":[{"task_id":"t1"},{"task_id":"t2"}',
+              CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',{"task_id":"t3"}' ELSE ',{"task_id":"t3"},{"task_id":"t4"}' END, ']}') AS config
+FROM @events"""
+
 VIEWS["alerts"] = """
 SELECT event_id AS id, 'TASK_FAILURE' AS alert_type,
        CASE WHEN event_id % 3 = 0 THEN 'critical' ELSE 'error' END AS severity,
@@ -282,7 +297,7 @@ SELECT concat('run_', CAST(event_id + 50 AS STRING)) AS run_id, concat('p', CAST
        CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
        CASE WHEN event_type <> 'click' THEN ts + INTERVAL '9' MINUTE END AS end_time,
        CASE WHEN event_type <> 'click' THEN value END AS duration_seconds,
-       event_id % 7 AS total_tasks, CASE WHEN event_type = 'error' THEN props END AS error_message
+       event_id % 7 AS total_tasks, event_id % 5 AS completed_tasks, event_id % 3 AS failed_tasks, CASE WHEN event_type = 'error' THEN props END AS error_message
 FROM @events"""
 
 # one request per pipeline: its newest version again, or a new one

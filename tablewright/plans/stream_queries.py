@@ -8,6 +8,7 @@ from tablewright.plans.dataflow import run_pipeline
 from tablewright.plans.mapping import AS_OF_RUNS, DS
 from tablewright.plans.pipelines import INVENTORY, REACH, SEGMENTS
 from tablewright.plans.registry import query
+from tablewright.plans.runlog_queries import TASK_STATE_SQL
 from tablewright.session import scratch_path
 from tablewright.sinks.store import TableStore
 from tablewright.sources.artifacts import Artifacts
@@ -62,19 +63,15 @@ def stream_quality(t):
     return store.read("results").groupBy("check_type").agg(F.sum("count").alias("failing"))
 
 
-@query("stream_task_upsert", """
-SELECT e2.task_run_id, e1.run_id, e1.pipeline_id, e1.task_id, e1.start_time, LOWER(e2.status) AS status, e2.end_time,
-       e2.error_message, COALESCE(e2.output_row_count, e1.output_row_count) AS output_row_count,
-       COALESCE(e2.output_path, e1.output_path) AS output_path
-FROM task_events e1 JOIN task_events e2 ON e1.task_run_id = e2.task_run_id AND e1.seq = 1 AND e2.seq = 2""")
+@query("stream_task_upsert", TASK_STATE_SQL)
 def stream_task_upsert(t):
-    """Starts arrive first, then ends; the fold equals the batch upsert."""
+    """Ends arrive first, then starts, then the ends again; the fold equals the batch upsert."""
     store, checkpoint = _store(t), scratch_path(t.spark, "stream")
     path = scratch_path(t.spark, "feed")
-    for seq in (1, 2):
-        t.task_events.where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(path)
+    for seq in (2, 1, 2):
+        t.task_events.where(F.col("seq") == seq).write.mode("append").parquet(path)
         feed = streams.file_stream(t.spark, path, t.task_events.schema)
-        streams.task_upsert(feed, store, "task_events", checkpoint, "tasks")
+        streams.task_upsert(feed, store, "task_events", checkpoint)
     return streams.task_state(store, "task_events")
 
 

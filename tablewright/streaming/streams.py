@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.quality import RESULT_SCHEMA, run_suite
-from tablewright.operators.runlog import task_run_upsert
+from tablewright.operators.runlog import marked_state, merge_marks, task_marks
 from tablewright.sinks.store import TableStore
 from tablewright.sources.messages import decode_json_or_raw
 
+COMPACT_EVERY = 100  # batches whose results become one part
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -51,8 +53,9 @@ def throughput(stream: DataFrame, store: TableStore, table: str, checkpoint: str
     """Runs, successes and rows per hour of start time.
 
     Changed hours are merged into the table as they change, so late rows inside the
-    watermark correct earlier results and the open hours are there as well. State is
-    one row per hour inside the watermark.
+    watermark correct earlier results and the open hours are there as well. A merge
+    rewrites the buckets of these hours only. State is one row per hour inside the
+    watermark.
     """
     hourly = (
         stream.withWatermark("start_time", late).groupBy(F.window("start_time", "1 hour").alias("w"))
@@ -81,23 +84,31 @@ def quality(
         rows = [tuple(r[f.name] for f in RESULT_SCHEMA) for r in found]
         results = batch.sparkSession.createDataFrame(rows, RESULT_SCHEMA).withColumn("batch_id", F.lit(no).cast("bigint"))
         store.append(table, results, stream_id, "quality", no)
+        if no % COMPACT_EVERY == COMPACT_EVERY - 1:
+            store.compact(table, stream_id, "quality", no - 1)
 
     _each_batch(stream, checkpoint, check)
 
 
-def task_upsert(stream: DataFrame, store: TableStore, table: str, checkpoint: str, stream_id: str) -> None:
-    """Append task events under ``stream_id`` and the batch id, which a replayed batch repeats.
+def task_upsert(stream: DataFrame, store: TableStore, table: str, checkpoint: str, order: Sequence[str] = ("seq",)) -> None:
+    """Fold task events into a table with one row per attempt.
 
-    ``task_state`` folds them to the latest row per attempt, so a micro-batch costs
-    only its own rows however long the log has grown.
+    A micro-batch is folded first and rewrites only the hash buckets of its own
+    attempts, whatever the length of the log. The row keeps the order of the events that wrote
+    its values, so a replayed batch changes nothing and a late event fills only what
+    no later one has written.
     """
 
-    def add(batch: DataFrame, no: int) -> None:
-        store.append(table, batch.withColumn("batch_id", F.lit(no).cast("bigint")), stream_id, "task_upsert", no)
+    def fold(batch: DataFrame, no: int) -> None:
+        store.rewrite(table, task_marks(batch, order), ["task_run_id"], _folded)
+
+    _each_batch(stream, checkpoint, fold)
+
 
-    _each_batch(stream, checkpoint, add)
+def _folded(target: DataFrame, staged: DataFrame) -> DataFrame:
+    return merge_marks(target, staged)
 
 
 def task_state(store: TableStore, table: str) -> DataFrame:
-    """Latest state of every attempt; later batches win, then later events of a batch."""
-    return task_run_upsert(store.read(table), order=("batch_id", "seq"))
+    """Latest state of every attempt, read as it is."""
+    return marked_state(store.read(table))

@@ -101,11 +101,108 @@ def test_overwrite_keeps_definition_and_may_read_itself(spark, store, rows):
     assert rows(store.read("t")) == [(2, "b", None)]
 
 
+def test_interleaved_append_keeps_both(spark, store, rows, monkeypatch):
+    """Another append that publishes while this one writes is kept; this one publishes after it."""
+    store.append("t", frame(spark, [(0, "z", 0)]), "r0", "load")
+    other, write = TableStore(spark, store.root), store._write
+
+    def slow(*args):
+        out = write(*args)
+        other.append("t", frame(spark, [(1, "a", 1)]), "r1", "load")
+        monkeypatch.undo()
+        return out
+
+    monkeypatch.setattr(store, "_write", slow)
+    store.append("t", frame(spark, [(2, "b", 2)]), "r2", "load")
+    assert [r[0] for r in rows(store.read("t"))] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("write", [lambda s, df: s.overwrite("t", df), lambda s, df: s.merge("t", df, ["id"])])
+def test_interleaved_write_fails_and_loses_nothing(spark, store, rows, monkeypatch, write):
+    store.append("t", frame(spark, [(0, "z", 0)]), "r0", "load")
+    other, publish = TableStore(spark, store.root), store._publish
+
+    def late(*args):
+        other.append("t", frame(spark, [(1, "a", 1)]), "r1", "load")
+        return publish(*args)
+
+    monkeypatch.setattr(store, "_publish", late)
+    with pytest.raises(RuntimeError, match="another writer"):
+        write(store, frame(spark, [(2, "b", 2)]))
+    assert [r[0] for r in rows(store.read("t"))] == [0, 1]
+
+
+def test_merge_reads_and_rewrites_its_buckets_only(spark, store, rows):
+    store.merge("t", frame(spark, [(i, "a", i) for i in range(200)]), ["id"])
+    before = store.buckets("t")
+    assert len(before) == 8
+    seen = []
+
+    def combine(target, staged):
+        seen.extend(target.inputFiles())
+        return merge(target, staged, ["id"])
+
+    store.rewrite("t", frame(spark, [(3, "B", 0)]), ["id"], combine)
+    after = store.buckets("t")
+    moved = {b for b in before if before[b] != after[b]}
+    assert len(moved) == 1 and set(before) == set(after)
+    assert seen and all(f"_bucket={next(iter(moved))}/" in f for f in seen)
+    assert rows(store.read("t").where("name = 'B'")) == [(3, "B", 0)] and store.read("t").count() == 200
+
+
+def test_merge_takes_in_appended_rows_and_other_keys(spark, store, rows):
+    store.merge("t", frame(spark, [(1, "a", 1), (2, "b", 2), (None, "n", 3)]), ["id"])
+    store.append("t", frame(spark, [(1, "again", 4), (9, "z", 9)]), "r1", "load")
+    store.merge("t", frame(spark, [(1, "A", 1)]), ["id"])
+    assert rows(store.read("t")) == [(1, "A", 1), (1, "A", 1), (2, "b", 2), (9, "z", 9), (None, "n", 3)]
+    store.merge("t", frame(spark, [(7, "b", 0), (8, "new", 0)]), ["name"])
+    assert rows(store.read("t")) == [(1, "A", 1), (1, "A", 1), (7, "b", 0), (8, "new", 0), (9, "z", 9), (None, "n", 3)]
+
+
+def test_key_of_another_type_finds_its_bucket(spark, store, rows):
+    store.merge("t", frame(spark, [(i, "a", i) for i in range(20)]), ["id"])
+    store.merge("t", frame(spark, [("3", "B")], "id string, name string"), ["id"])
+    assert store.read("t").count() == 20 and rows(store.read("t").where("id = 3")) == [(3, "B", 3)]
+
+
+def test_grown_table_gets_more_buckets(spark, tmp_path, rows):
+    store = TableStore(spark, str(tmp_path / "store"), bucket_bytes=200)
+    store.merge("t", frame(spark, [(1, "a", 1)]), ["id"])
+    store.merge("t", frame(spark, [(i, "a" * i, i) for i in range(2, 400)]), ["id"])
+    store.merge("t", frame(spark, [(i, "b", i) for i in range(400, 420)]), ["id"])
+    assert len(store.buckets("t")) > 8 and store.read("t").count() == 419
+
+
+def test_emptied_buckets_and_tables(spark, store):
+    store.merge("t", frame(spark, [(i, "a", i) for i in range(20)]), ["id"])
+    store.rewrite("t", store.read("t").where("id < 5"), ["id"], lambda target, staged: target.join(staged, "id", "left_anti"))
+    assert store.read("t").count() == 15
+    store.rewrite("t", store.read("t"), ["id"], lambda target, staged: target.where("false"))
+    assert store.read("t").collect() == [] and store.read("t").columns == ["id", "name", "extra"]
+    store.merge("t", frame(spark, [(1, "a", 1)]), ["id"])
+    assert store.read("t").count() == 1
+
+
+def test_compacted_batches_are_closed(spark, store, rows):
+    for batch in range(4):
+        store.append("t", frame(spark, [(batch, "a", 1)]), "s", "task", batch)
+    store.append("t", frame(spark, [(9, "other", 1)]), "s2", "task", 0)
+    assert store.compact("t", "s", "task", 2) == 3 and store.compact("t", "s", "task", 2) == 0
+    assert [r[0] for r in rows(store.read("t"))] == [0, 1, 2, 3, 9]
+    store.append("t", frame(spark, [(33, "a", 1)]), "s", "task", 3)
+    with pytest.raises(ValueError, match="closed"):
+        store.append("t", frame(spark, [(1, "a", 1)]), "s", "task", 1)
+    assert store.compact("t", "s", "task", 3) == 2
+    assert [r[0] for r in rows(store.read("t"))] == [0, 1, 2, 33, 9]
+
+
 def test_store_merge(spark, store, rows):
     store.merge("t", frame(spark, [(1, "a", 1)]), ["id"])
     store.merge("t", frame(spark, [(1, "A", 2), (5, "e", 5)]), ["id"])
     assert rows(store.read("t")) == [(1, "A", 2), (5, "e", 5)]
-    assert store.vacuum("t") == 1
+    assert store.vacuum("t") == 0  # too young
+    store.merge("t", frame(spark, [(1, "A", 2), (5, "e", 5)]), ["id"])
+    assert store.vacuum("t", older_than=0) == 2
     assert rows(store.read("t")) == [(1, "A", 2), (5, "e", 5)]
     with pytest.raises(ValueError, match="repeat key"):
         store.merge("t", frame(spark, [(7, "x", 1), (7, "y", 1)]), ["id"])

@@ -43,6 +43,50 @@ EVENT = ("task_run_id string, run_id string, pipeline_id string, task_id string,
          "end_time timestamp_ntz, output_row_count bigint, output_path string, error_message string")
 
 
+def declared(spark, **totals):
+    return spark.createDataFrame(list(totals.items()), "pipeline_id string, total_tasks bigint")
+
+
+def test_replayed_events_count_once(spark):
+    ends = [("a", "r", "p", "t1", 2, "SUCCESS", T0, T0 + MINUTE, 3, None, None), ("b", "r", "p", "t2", 1, "RUNNING", T0, None, None, None, None)]
+    events = spark.createDataFrame(ends + ends[:1] * 2, EVENT)
+    counters = r.run_counters(events, declared(spark, p=2))
+    row = counters.first()
+    assert (row["completed_tasks"], row["total_rows_processed"], row["total_tasks"]) == (1, 3, 2)
+    assert r.run_finalize(counters).first()["status"] == "running"
+
+
+def test_runs_end_with_their_own_number_of_tasks(spark, rows):
+    events = spark.createDataFrame([
+        (f"{run}{i}", run, p, f"t{i}", 1, "FAILED" if i == 3 else "SUCCESS", T0, T0 + MINUTE * i, 1, None, None)
+        for run, p in (("r", "p"), ("s", "q"), ("u", "p"), ("x", "none")) for i in (1, 2, 3)], EVENT)
+    stored = spark.createDataFrame([("u", 4), ("r", 1)], "run_id string, total_tasks bigint")
+    got = r.run_finalize(r.run_counters(events, declared(spark, p=2, q=3), stored))
+    found = {row["run_id"]: (row["status"], row["end_time"], row["total_tasks"], row["failed_tasks"]) for row in got.collect()}
+    assert found == {"r": ("success", T0 + MINUTE * 2, 2, 1), "s": ("failed", T0 + MINUTE * 3, 3, 1), "u": ("running", None, 4, 1), "x": ("running", None, 0, 1)}
+
+
+def test_declared_tasks(spark, rows):
+    configs = spark.createDataFrame([("p", True, '{"tasks":[{"task_id":"a"},{"task_id":"b"}]}'), ("p", False, '{"tasks":[{}]}'), ("q", True, "{}"), ("z", True, None)],
+                                    "pipeline_id string, is_active boolean, config string")
+    assert rows(r.declared_tasks(configs)) == [("p", 2), ("q", 0), ("z", 0)]
+
+
+def test_marks_fold_in_any_order(spark, rows):
+    schema = EVENT + ", metrics string, output_table string, worker_host string"
+    events = [("a", "r", "p", "t", 1, "RUNNING", T0, None, 5, "x", None, "m", "tbl", "h1"), ("a", None, None, None, 2, "FAILED", None, T0, None, None, "e", None, None, "h2"),
+              ("a", "r", "p", "t", 3, "SUCCESS", T0 + MINUTE, T0, None, "y", None, "m3", None, "h3")]
+    whole = rows(r.task_run_upsert(spark.createDataFrame(events, schema)))
+    marks = [r.task_marks(spark.createDataFrame([e], schema)) for e in events]
+    for order in ((2, 0, 1), (0, 2, 2, 1, 0)):
+        folded = marks[order[0]]
+        for i in order[1:]:
+            folded = r.merge_marks(folded, marks[i])
+        assert rows(r.marked_state(folded)) == whole
+    row = r.marked_state(marks[0]).first()
+    assert (row["status"], row["worker_host"], row["output_table"]) == ("running", "h1", "tbl")
+
+
 def test_task_fold_keeps_outputs(spark):
     events = spark.createDataFrame([
         ("a", "r", "p", "t", 1, "RUNNING", T0, None, None, "x", None),
@@ -58,7 +102,7 @@ def test_task_fold_keeps_outputs(spark):
 def test_finalize(spark, states, total, status):
     events = spark.createDataFrame(
         [(f"a{i}", "r", "p", f"t{i}", 1, s, T0, T0 + MINUTE, 3, None, None) for i, s in enumerate(states)], EVENT)
-    row = r.run_finalize(r.run_counters(events, total)).first()
+    row = r.run_finalize(r.run_counters(events, declared(spark, p=total))).first()
     assert row["status"] == status
     assert row["duration_seconds"] == (None if status == "running" else 60.0)
 
@@ -138,7 +182,7 @@ def test_events_without_pipeline_stay_one_attempt(spark, rows):
         "start_time": "timestamp_ntz", "end_time": "timestamp_ntz", "output_row_count": "bigint", "output_path": "string",
         "error_message": "string"}.items()])
     assert rows(r.task_run_upsert(events).select("task_run_id", "pipeline_id", "task_id", "status")) == [("a", "p", "t", "success")]
-    assert rows(r.run_counters(events, 1).select("run_id", "pipeline_id", "completed_tasks")) == [("r", "p", 1)]
+    assert rows(r.run_counters(events, declared(spark, p=1)).select("run_id", "pipeline_id", "completed_tasks")) == [("r", "p", 1)]
 
 
 def test_placeholders_are_escaped_for_json(spark):
