@@ -27,7 +27,8 @@ from tablewright.sinks.store import TableStore
 from tablewright.sinks.targets import load_target
 from tablewright.sources.artifacts import Artifacts
 from tablewright.sources.files import ingest
-from tablewright.sources.jdbc import extract
+from tablewright.sources.jdbc import by_predicates, extract_source, partition_predicates
+from tablewright.sources.messages import Offsets, decode_json, decode_json_or_raw, next_batch, read_topic
 
 # Task types by what they do, and the table name each uses when none is given.
 EXTRACTS = {"sql_extract": "raw_data", "cdc_extract": "cdc_changes"}
@@ -38,6 +39,7 @@ TRANSFORMS = {"duckdb_transform": "result", "sql_transform": "result", "duckdb_q
 ROUTINES = {"stored_proc": "result"}
 PRODUCERS = {**EXTRACTS, **INGESTS, **CONSUMERS, **TRANSFORMS, **ROUTINES}
 CHECKS = ("data_quality", "schema_validate", "schema_validation")
+MAX_MESSAGES = 10_000  # of a consumer task that says nothing else; None takes all there are
 LOADS = ("load_target", "kafka_produce", "pubsub_publish")
 
 RECORD = ("run_id string, pipeline_id string, task_id string, task_type string, status string, output_table string, "
@@ -120,7 +122,7 @@ def run_pipeline(
     store: TableStore,
     connections: Mapping[str, Mapping] | None = None,
     upstream: Mapping[str, Mapping[str, DataFrame]] | None = None,
-    topics: Mapping[str, Callable[[], DataFrame]] | None = None,
+    topics: Mapping[str, DataFrame | Mapping | Callable[[], DataFrame]] | None = None,
     ds: str = "",
     run_id: str | None = None,
     as_of: Column | None = None,
@@ -130,6 +132,10 @@ def run_pipeline(
     A connection is a database description, or a ``{table: frame}`` mapping to query.
     ``upstream`` holds the published tables of other pipelines by pipeline id. A re-run
     gives the ``run_id`` of the run it repeats; without one this is a new run.
+    ``topics`` says where the topics and subscriptions of consumer tasks are: messages as a frame of
+    value, partition and offset, a Kafka description (``{"servers": …}``), or a function that returns
+    finished rows. Messages are read from where the consumer's last run ended, as its
+    offsets in the store say.
     """
     run_id = run_id or f"manual-{uuid.uuid4().hex[:12]}"
     tasks = {t["task_id"]: t for t in config["tasks"]}
@@ -143,7 +149,7 @@ def run_pipeline(
     def keep(task: Mapping, df: DataFrame, record: dict) -> None:
         task_id, table = task["task_id"], task.get("output", {}).get("table", PRODUCERS[task["type"]])
         record["output_table"], record["output_schema"] = table, json.dumps(schema_names(df))
-        if task_id in checked or uses.count(task_id) != 1 or task["type"] in ROUTINES:
+        if task_id in checked or uses.count(task_id) != 1 or task["type"] in ROUTINES or task["type"] in CONSUMERS:
             stats = artifacts.write(df, pipeline_id, run_id, task_id, table)
             record |= {"output_path": stats.path, "output_row_count": stats.rows, "output_size_bytes": stats.size_bytes}
             df = artifacts.scan(pipeline_id, run_id, task_id, table)
@@ -171,7 +177,7 @@ def run_pipeline(
                 source = {k: render(v, ds, run_id) if isinstance(v, str) else v for k, v in task["source"].items()}
                 keep(task, ingest(spark, source), record)
             elif kind in CONSUMERS:
-                keep(task, (topics or {})[task.get("topic") or task.get("subscription")](), record)
+                _consume(spark, task, topics or {}, pipeline_id, run_id, store, keep, record)
             elif kind in TRANSFORMS:
                 path = task.get("source", {}).get("duckdb_path")
                 explicit = {task.get("source", {}).get("table", "result"): artifacts.scan_path(path)} if path else None
@@ -201,9 +207,31 @@ def _extract(spark: SparkSession, source: Mapping, connections: Mapping, ds: str
     connection = connections.get(source.get("connection"), source)
     frames = {k: v for k, v in connection.items() if isinstance(v, DataFrame)}
     if not frames:
-        return extract(spark, connection, source, ds=ds, run_id=run_id)
-    sql = source.get("query") or f"SELECT * FROM {source['table']}"
-    return run_sql(spark, render(sql, ds, run_id), frames)
+        return extract_source(spark, connection, source, ds, run_id)
+    sql = render(source.get("query") or f"SELECT * FROM {source['table']}", ds, run_id)
+    rows = run_sql(spark, sql, frames)
+    # the ranges that readers of a database would take, found and applied in the same way
+    predicates = partition_predicates(source, sql, lambda q: run_sql(spark, q, frames).collect(), "spark")
+    return by_predicates(rows, predicates) if predicates else rows
+
+
+def _consume(spark, task, topics, pipeline_id, run_id, store, keep, record) -> None:
+    """A batch of messages as the task's table; its offsets are committed once the table is written."""
+    topic = task.get("topic") or task.get("subscription")
+    if topic not in topics:
+        raise ValueError(f"no source given for topic {topic!r}")
+    source = topics[topic]
+    if callable(source) and not isinstance(source, DataFrame):
+        keep(task, source(), record)
+        return
+    offsets, consumer = Offsets(store), task.get("group_id") or f"tablewright-{pipeline_id}"
+    reset = task.get("auto_offset_reset", "earliest")
+    if not isinstance(source, DataFrame):
+        source = read_topic(spark, source["servers"], topic, "earliest", offsets.starts(consumer, topic))
+    batch, ranges = next_batch(source, offsets, consumer, topic, run_id, task["task_id"], task.get("max_messages", MAX_MESSAGES), reset)
+    decode = decode_json if task["type"] == "kafka_consume" else decode_json_or_raw
+    keep(task, decode(batch, task.get("schema")), record)
+    offsets.commit(consumer, topic, run_id, task["task_id"], ranges)
 
 
 def _routine(spark, task, inputs, keep, record, ds, run_id) -> None:

@@ -99,7 +99,7 @@ FROM @lineitem"""
 # ---- messages ----------------------------------------------------------------
 
 VIEWS["messages"] = """
-SELECT event_id AS message_offset, ts AS message_time,
+SELECT event_id AS message_offset, ts AS message_time, CASE WHEN event_type = 'error' THEN 'raw' ELSE 'events' END AS topic,
        CASE WHEN event_type = 'error' THEN concat('not json ', CAST(event_id AS STRING))
             ELSE concat('{"id": ', CAST(event_id AS STRING), ', "event": "', event_type,
                         '", "props": ', props, '}') END AS message_value

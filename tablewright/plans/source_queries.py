@@ -8,9 +8,11 @@ from tablewright.functions.sqltext import render, run_sql
 from tablewright.functions.types import schema_names
 from tablewright.operators.transform import routine, transform
 from tablewright.plans import business as b
+from tablewright.plans.dataflow import run_pipeline
 from tablewright.plans.mapping import AS_OF_ORDERS, DS
 from tablewright.plans.registry import query
 from tablewright.session import scratch_path
+from tablewright.sinks.store import TableStore
 from tablewright.sinks.targets import write_files
 from tablewright.sources import files, messages, windows
 from tablewright.sources.artifacts import Artifacts
@@ -31,6 +33,20 @@ def extract_table(t):
     return run_sql(t.spark, "SELECT * FROM nation", {"nation": t.nation})
 
 
+@query("extract_in_ranges", """
+SELECT o_orderkey, o_orderdate, o_orderpriority, o_totalprice FROM orders""")
+def extract_in_ranges(t):
+    """Config extracts in ranges of a text column with few values, of a date and of a number: every row once in each."""
+    source = {"connection": "shop", "query": "SELECT o_orderkey, o_orderdate, o_orderpriority, o_totalprice FROM orders", "num_partitions": 7}
+    ranges = (("o_orderpriority", "quantile"), ("o_orderdate", "range"), ("o_totalprice", "quantile"))
+    tasks = [{"task_id": column, "type": "sql_extract", "source": {**source, "partition_column": column, "partition_by": how}} for column, how in ranges]
+    root = scratch_path(t.spark, "pipeline")
+    run = run_pipeline(t.spark, {"pipeline_id": "ranges", "tasks": tasks}, Artifacts(t.spark, f"{root}/artifacts"), TableStore(t.spark, f"{root}/targets"),
+                       {"shop": {"orders": t.orders}}, ds=DS, run_id="run_1")
+    whole = [run.output(column).where(F.pmod("o_orderkey", F.lit(len(ranges))) == i) for i, (column, _) in enumerate(ranges)]
+    return whole[0].unionByName(whole[1]).unionByName(whole[2])
+
+
 @query("extract_chunked", """
 WITH b AS (SELECT MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi, (MAX(o_orderkey) - MIN(o_orderkey) + 16) // 16 AS step FROM orders)
 SELECT (o_orderkey - lo) // step AS chunk, COUNT(*) AS n_rows, MIN(o_orderkey) AS low_key, MAX(o_orderkey) AS high_key
@@ -190,9 +206,9 @@ def ingest_format_guard(t):
 SELECT event_id AS id, event_type AS event, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events
 WHERE event_type <> 'error'""")
 def consume_json_messages(t):
-    """Typed rows of a batch in which every message is JSON; the schema is found from the messages."""
-    good = t.messages.where(~F.col("message_value").startswith("not json"))
-    rows = messages.decode_json(good, value="message_value")
+    """Typed rows of a topic in which every message is JSON; the schema is found from the messages."""
+    topic = t.messages.where(F.col("topic") == "events")
+    rows = messages.decode_json(topic, value="message_value")
     return rows.select(F.col("id").cast("bigint").alias("id"), "event", F.col("props.k").cast("bigint").alias("k"))
 
 

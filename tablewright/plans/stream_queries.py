@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.plans.dataflow import run_pipeline
 from tablewright.plans.mapping import AS_OF_RUNS, DS
-from tablewright.plans.pipelines import INVENTORY, REACH, SEGMENTS
+from tablewright.plans.pipelines import ARRIVALS, REACH, SCARCITY, SEGMENTS
 from tablewright.plans.registry import query
 from tablewright.plans.runlog_queries import TASK_STATE_SQL
 from tablewright.session import scratch_path
@@ -115,18 +115,33 @@ def config_dataflow_log(t):
 
 
 @query("inventory_dataflow", """
-SELECT StockItemID, CAST(QuantityOnHand AS BIGINT) AS QuantityOnHand,
-       CASE WHEN QuantityOnHand <= 0 THEN 'OUT_OF_STOCK' WHEN QuantityOnHand <= ReorderLevel THEN 'BELOW_REORDER'
-            WHEN QuantityOnHand >= TargetStockLevel THEN 'AT_TARGET' ELSE 'NORMAL' END AS StockStatus
-FROM raw_stock_items i LEFT JOIN raw_stock_holdings h USING (StockItemID)""")
+WITH o AS (SELECT l_partkey, COUNT(DISTINCT l_suppkey) AS suppliers, CAST(SUM(l_quantity) AS DOUBLE) AS units
+           FROM lineitem WHERE l_quantity > 0 GROUP BY 1)
+SELECT p_brand AS brand, COUNT(*) AS parts, COUNT(l_partkey) AS sold_parts,
+       CAST(SUM(CASE WHEN COALESCE(suppliers, 0) < 2 THEN 1 ELSE 0 END) AS BIGINT) AS scarce_parts, SUM(units) AS units
+FROM part LEFT JOIN o ON l_partkey = p_partkey GROUP BY 1""")
 def inventory_dataflow(t):
-    """The inventory pipeline; its target is overwritten and read back."""
-    names = ("raw_stock_items", "raw_stock_holdings")
+    """Extracts in ranges of a text and of a date column, merged into a target that is read back."""
     root = scratch_path(t.spark, "pipeline")
     store = TableStore(t.spark, f"{root}/targets")
-    run_pipeline(t.spark, INVENTORY, Artifacts(t.spark, f"{root}/artifacts"), store,
-                 {"warehouse": {n: getattr(t, n) for n in names}}, ds=DS, run_id="run_1")
-    return store.read("InventoryValuation")
+    run_pipeline(t.spark, SCARCITY, Artifacts(t.spark, f"{root}/artifacts"), store,
+                 {"shop": {"part": t.part, "lineitem": t.lineitem}}, ds=DS, run_id="run_1")
+    return store.read("BrandScarcity")
+
+
+@query("arrivals_dataflow", """
+SELECT event_id AS id, event_type AS event, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events
+WHERE event_type <> 'error'""")
+def arrivals_dataflow(t):
+    """A topic consumed by three runs: half of what is there, that run again, and the rest with what has come since."""
+    root = scratch_path(t.spark, "pipeline")
+    store, artifacts = TableStore(t.spark, f"{root}/targets"), Artifacts(t.spark, f"{root}/artifacts")
+    topic = t.messages.where(F.col("topic") == "events").select(
+        F.col("message_value").alias("value"), F.pmod("message_offset", F.lit(3)).cast("int").alias("partition"), F.col("message_offset").alias("offset"))
+    early = topic.where(F.col("offset") < topic.agg(F.max("offset") / 2).first()[0])
+    for run_id, messages in (("run_1", early), ("run_1", topic), ("run_2", topic)):
+        run_pipeline(t.spark, ARRIVALS, artifacts, store, topics={"events": messages}, ds=DS, run_id=run_id)
+    return store.read("Arrivals")
 
 
 @query("cross_pipeline_dataflow", """

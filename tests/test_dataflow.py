@@ -97,3 +97,81 @@ def test_resolve_column_equals_resolve_config(spark):
     df = spark.createDataFrame([(TEXT,), ("plain",), ("${b}",), ("x${b",), (None,)], "c string")
     got = [row[0] for row in df.select(r.resolve_placeholders(F.col("c"), r.substitutions(ENV))).collect()]
     assert got == ["bucket/${b}/5/${none}/${/$b}${", "plain", "bucket", "x${b", None]
+
+
+# ---- topics ------------------------------------------------------------------
+
+TAKE = {"task_id": "m", "type": "kafka_consume", "topic": "clicks", "schema": "id INT"}
+
+
+def topic(spark, *texts, partitions=2):
+    """Messages dealt out in turn; offsets of a partition have a gap."""
+    rows = [(t, i % partitions, 5 + 2 * (i // partitions)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "value string, partition int, offset bigint")
+
+
+def consume(spark, tmp_path, messages, run_id, **task):
+    store = TableStore(spark, str(tmp_path / "store"))
+    cfg = config({**TAKE, **task})
+    done = run_pipeline(spark, cfg, Artifacts(spark, str(tmp_path / "a")), store, topics={"clicks": messages}, run_id=run_id)
+    return sorted(r[0] for r in done.output("m").collect())
+
+
+def ids(n, start=0):
+    return [f'{{"id":{i}}}' for i in range(start, n)]
+
+
+def test_every_message_is_read_once(spark, tmp_path):
+    assert consume(spark, tmp_path, topic(spark, *ids(5)), "r1", max_messages=3) == [0, 1, 2]
+    assert consume(spark, tmp_path, topic(spark, *ids(9)), "r2", max_messages=3) == [3, 4, 6]
+    assert consume(spark, tmp_path, topic(spark, *ids(9)), "r2", max_messages=3) == [3, 4, 6]  # the same run again
+    assert consume(spark, tmp_path, topic(spark, *ids(9)), "r3") == [5, 7, 8]
+    assert consume(spark, tmp_path, topic(spark, *ids(9)), "r4") == []
+    assert consume(spark, tmp_path, topic(spark, *ids(9)), "r1") == [0, 1, 2]
+    assert consume(spark, tmp_path, topic(spark, *ids(9)), "r5", group_id="other") == list(range(9))
+
+
+def test_messages_that_are_not_json_fail_and_come_again(spark, tmp_path):
+    bad = topic(spark, *ids(2), "not json", *ids(4, 3))
+    for run_id in ("r1", "r2"):
+        with pytest.raises(Exception, match="MALFORMED|malformed"):
+            consume(spark, tmp_path, bad, run_id)
+    raw = {"task_id": "m", "type": "pubsub_consume", "subscription": "clicks", "schema": "id INT"}
+    store = TableStore(spark, str(tmp_path / "store"))
+    done = run_pipeline(spark, config(raw), Artifacts(spark, str(tmp_path / "a")), store, topics={"clicks": bad}, run_id="r3")
+    assert sorted(map(str, (tuple(r) for r in done.output("m").collect()))) == ["(0, None)", "(1, None)", "(3, None)", "(None, 'not json')"]
+
+
+def test_failed_run_repeats_its_messages(spark, tmp_path, monkeypatch):
+    from tablewright.sources.messages import Offsets
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Offsets, "commit", lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            consume(spark, tmp_path, topic(spark, *ids(3)), "r1")
+    assert consume(spark, tmp_path, topic(spark, *ids(4)), "r2") == [0, 1, 2, 3]
+
+
+def test_latest_starts_at_the_end(spark, tmp_path):
+    assert consume(spark, tmp_path, topic(spark, *ids(4)), "r1", auto_offset_reset="latest") == []
+    assert consume(spark, tmp_path, topic(spark, *ids(7)), "r2", auto_offset_reset="latest") == [4, 5, 6]
+    with pytest.raises(ValueError, match="auto_offset_reset"):
+        consume(spark, tmp_path, topic(spark, *ids(4)), "r3", auto_offset_reset="never", group_id="g")
+    with pytest.raises(ValueError, match="no source"):
+        run_pipeline(spark, config(TAKE), Artifacts(spark, str(tmp_path / "a")), TableStore(spark, str(tmp_path / "s")), run_id="r")
+
+
+def test_empty_and_new_partitions(spark, tmp_path):
+    assert consume(spark, tmp_path, topic(spark), "r0") == []
+    assert consume(spark, tmp_path, topic(spark, *ids(2)), "r1") == [0, 1]
+    assert consume(spark, tmp_path, topic(spark, *ids(3), partitions=3), "r2") == [2]
+
+
+def test_kafka_options_from_offsets():
+    from tablewright.sources.messages import kafka_options
+
+    assert kafka_options("h:1", "t")["startingOffsets"] == "earliest"
+    assert kafka_options("h:1", "t", starts={1: 7, 0: 3})["startingOffsets"] == '{"t": {"0": 3, "1": 7}}'

@@ -1,4 +1,5 @@
 import datetime
+import decimal
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -51,6 +52,86 @@ def test_chunks_cover_every_row_once(spark, low, high, n):
     assert {r["n"] for r in hits.collect()} == {1}
 
 
+def hits(df, predicates):
+    """How many ranges each row falls into."""
+    one = [F.coalesce(F.expr(f"cast(({p}) as int)"), F.lit(0)) for p in predicates]
+    return {r["n"] for r in df.select(sum(one, F.lit(0)).alias("n")).collect()}
+
+
+D, T = datetime.date(2026, 2, 27), datetime.datetime(2026, 2, 27, 23, 59, 59, 999999)
+
+
+@pytest.mark.parametrize(("kind", "values", "how", "least"), [
+    ("bigint", [-7, 0, 3, 12, 10**12], None, 3), ("bigint", [5], None, 1), ("decimal(10,2)", [decimal.Decimal("-1.50"), decimal.Decimal("99.99")], None, 4),
+    ("double", [0.25, 0.5, 7.75], None, 4), ("date", [D + datetime.timedelta(days=i) for i in (0, 1, 2, 400)], None, 4),
+    ("timestamp_ntz", [T, T + datetime.timedelta(microseconds=2), T + datetime.timedelta(days=9)], None, 4),
+    ("string", ["a'b", "a\\b", "é", "zz", "zz", "", "M"], None, 4), ("bigint", [1] * 50 + [2, 3, 9] * 30, "quantile", 3),
+])
+def test_ranges_of_any_key_cover_every_row_once(spark, kind, values, how, least):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], f"k {kind}")
+    source = {"partition_column": "k", "num_partitions": 4, **({"partition_by": how} if how else {})}
+    predicates = jdbc.partition_predicates(source, "SELECT * FROM t", lambda q: run_sql(spark, q, {"t": df}).collect(), "spark")
+    assert len(predicates) >= least and hits(df, predicates) == {1}
+    assert sorted(map(str, jdbc.by_predicates(df, predicates).collect())) == sorted(map(str, df.collect()))
+
+
+def test_ranges_edges(spark):
+    none = spark.createDataFrame([(None,)], "k bigint")
+    assert jdbc.partition_predicates({"partition_column": "k", "num_partitions": 3}, "t", lambda q: run_sql(spark, q, {"t": none}).collect(), "spark") == ["1 = 1"]
+    assert jdbc.partition_predicates({"query": "x"}, "t", None, "spark") is None
+    for bad in ({"partition_column": "k; DROP", "num_partitions": 3}, {"partition_column": "k", "num_partitions": 0}):
+        with pytest.raises(ValueError, match="partition"):
+            jdbc.partition_predicates(bad, "t", None, "spark")
+    assert jdbc.by_predicates(none, ["1 = 1", "k IS NULL"]).count() == 2
+
+
+def test_literals_of_dialects():
+    noon = datetime.datetime(2026, 5, 4, 12)
+    assert [jdbc.literal("o'b\\", d) for d in ("mssql", "oracle", "mysql")] == ["N'o''b\\'", "'o''b\\'", "'o\\'b\\\\'"]
+    assert [jdbc.literal(noon, d) for d in ("mssql", "oracle")] == ["'2026-05-04T12:00:00'", "TIMESTAMP '2026-05-04 12:00:00'"]
+    assert [jdbc.literal(noon.date(), d) for d in ("mssql", "postgresql")] == ["'20260504'", "DATE '2026-05-04'"]
+
+
+class FakeReader:
+    """What Spark's reader is asked for; queries for bounds get rows, reads of data are kept."""
+
+    def __init__(self, answers):
+        self.answers, self.asked, self.read = list(answers), [], None
+        self.spark = type("S", (), {"read": self})()
+
+    def format(self, _):
+        return self
+
+    def options(self, **options):
+        self.asked.append(options["query"])
+        return self
+
+    def load(self):
+        return self
+
+    def collect(self):
+        return self.answers.pop(0)
+
+    def jdbc(self, url, table, predicates, properties):
+        self.read = (url, table, predicates, properties)
+        return self
+
+
+def test_config_extract_is_partitioned():
+    fake = FakeReader([[(0, 99)]])
+    source = {"query": "SELECT * FROM o WHERE d = '{{ ds }}'", "partition_column": "id", "num_partitions": 4, "batch_size": 10}
+    jdbc.extract_source(fake.spark, {"type": "postgresql", "host": "h", "database": "d"}, source, ds="2026-05-04")
+    assert fake.asked == ["SELECT MIN(id) AS low, MAX(id) AS high FROM (SELECT * FROM o WHERE d = '2026-05-04') q"]
+    url, table, predicates, properties = fake.read
+    assert (url, table) == ("jdbc:postgresql://h:5432/d", "(SELECT * FROM o WHERE d = '2026-05-04') q")
+    assert predicates == ["id < 25 OR id IS NULL", "id >= 25 AND id < 50", "id >= 50 AND id < 75", "id >= 75"]
+    assert properties["fetchsize"] == "10"
+    fake = FakeReader([[("a", "z")], [(1, "a"), (2, "k"), (3, "t")]])
+    jdbc.extract_source(fake.spark, {"type": "oracle", "host": "h"}, {"table": "app.o", "partition_column": "name", "num_partitions": 3})
+    assert "NTILE(3) OVER (ORDER BY name)" in fake.asked[1] and "FROM app.o WHERE" in fake.asked[1]
+    assert fake.read[2] == ["name < 'k' OR name IS NULL", "name >= 'k' AND name < 't'", "name >= 't'"]
+
+
 def test_render_and_adapt():
     assert render("{{ ds }}{{ds}}-{{ run_id }}{{run_id}} {{ other }}", "D", "R") == "DD-RR {{ other }}"
     assert to_spark_sql("DATEDIFF('day', a, b)") == "DATEDIFF(DAY, DATE_TRUNC('DAY', a), DATE_TRUNC('DAY', b))"
