@@ -47,10 +47,11 @@ def packed(df: DataFrame, vector: str, name: str = "vec") -> DataFrame:
     return df.mapInArrow(run, f"{schema}, {name} binary")
 
 
-def meetings(batches: Iterator[pa.RecordBatch], keys: list[str], chunk: int) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+def meetings(batches: Iterator[pa.RecordBatch], keys: list[str], chunk: int, alone: bool = False) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
     """A partition sorted by ``keys`` and ``role`` as ("block", all rows of role 0) and then ("stream", rows of role 1) pieces.
 
     Only the rows of role 0 of a key are held together; their number is bounded by the caller.
+    A block that nothing streams past is yielded only if ``alone`` is set.
     """
     block: list[dict] = []
     current = None
@@ -71,6 +72,8 @@ def meetings(batches: Iterator[pa.RecordBatch], keys: list[str], chunk: int) ->
             part = {c: v[a:z] for c, v in rows.items()}
             key = tuple(part[k][0] for k in keys)
             if key != current:
+                if block and alone:
+                    yield "block", joined(block)
                 if waiting:
                     yield "stream", joined(stream)
                 if current is not None:
@@ -87,6 +90,8 @@ def meetings(batches: Iterator[pa.RecordBatch], keys: list[str], chunk: int) ->
             if waiting >= chunk:
                 yield "stream", joined(stream)
                 stream, waiting = [], 0
+    if block and alone:
+        yield "block", joined(block)
     if waiting:
         yield "stream", joined(stream)
     if current is not None:

@@ -335,6 +335,53 @@ def test_top_k_many_shards(spark):
     assert {tuple(r) for r in topk.top_inner_products(df, shard=64).collect()} == brute.top_products(rows)
 
 
+def test_top_k_live_and_dead_shards(spark):
+    """Groups far apart: most queries reach few shards, and the result is that of all pairs."""
+    draw = np.random.default_rng(6)
+    centres = draw.normal(0, 2, (12, 10))
+    rows = [(i, (centres[i % 12] * (1 if i % 5 else 0.2) + draw.normal(0, 0.1, 10)).round(2).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.top_inner_products(df, shard=40, cell=40)
+    assert {tuple(r) for r in found.collect()} == brute.top_products(rows)
+
+
+def shares(shard, queries, floors, k=20):
+    shard.search(np.full(len(queries), -1), queries, floors, k)
+    s = shard.seen
+    print(f"live blocks {s['live'] / s['blocks']:.3f}, probed candidates {s['probed'] / max(s['pairs'], 1):.3f}")
+    return s["live"] / s["blocks"], s["probed"] / max(s["pairs"], 1)
+
+
+def test_top_k_prunes():
+    """Vectors whose weight lies in few components: blocks die and few candidates are probed."""
+    draw = np.random.default_rng(7)
+    scale = np.concatenate([np.full(16, 60.0), np.full(48, 2.0)])
+    weights = np.floor(draw.normal(0, 1, (8000, 64)) * scale * draw.lognormal(0, 1, 8000)[:, None])
+    queries = weights[::100]
+    exact = np.sort(queries @ weights.T, axis=1)[:, -20:]
+    shard = topk.Shard(np.arange(8000), weights)
+    live, probed = shares(shard, queries, np.full(len(queries), -np.inf))
+    assert probed < 0.2
+    again = topk.Shard(np.arange(8000), weights)
+    live, probed = shares(again, queries, exact[:, 0])
+    assert live < 0.9 and probed < 0.02
+    score, _ = again.search(np.full(len(queries), -1), queries, exact[:, 0], 20)
+    assert (np.sort(score, axis=1) == exact).all()
+
+
+def test_top_k_routes_by_bound():
+    """Boxes of three shards: a query goes to those whose bound reaches its floor, not to its own."""
+    import pyarrow as pa
+
+    shards = [topk.Shard(np.arange(5), np.full((5, 2), v)) for v in (1.0, 10.0, 100.0)]
+    def batch(role, shard, vec, row, floor):
+        return {"chunk": 0, "part": 0, "role": role, "shard": shard, "vec_id": row, "vec": np.array(vec, float).tobytes(), "row": row, "floor": floor}
+    rows = [batch(0, i, s.box(), 0, 0.0) for i, s in enumerate(shards)] + [
+        batch(1, 2, [1, 1], 1, 20.0), batch(1, 0, [1, 1], 2, 21.0), batch(1, 0, [1, 1], 3, float("-inf")), batch(1, 0, [-1, -1], 4, 0.0)]
+    out = list(topk._route(2)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert sorted((r["row"], r["shard"]) for b in out for r in b.to_pylist()) == [(1, 1), (2, 2), (3, 1), (3, 2)]
+
+
 def test_sharding(docs, none):
     rows = sharding.shard(docs, shards=3, piece=2).collect()
     assert len(rows) == len(DOCS)
