@@ -60,25 +60,35 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(schema_names(df).items()), "column_name string, column_type string")
 
 
+def _mean_instant(column: Column) -> Column:
+    """Mean of dates or instants, to the microsecond."""
+    zero = F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = (column.cast("timestamp_ntz") - zero).cast("interval second").cast("decimal(18,6)")
+    return (zero + F.make_dt_interval(secs=F.avg(seconds).cast("decimal(18,6)"))).cast("string")
+
+
 def summarize(df: DataFrame) -> DataFrame:
     """Twelve statistics per column, all taken in one aggregate over the table.
 
-    Distinct counts and quartiles are approximate; min, max, count and the share of
-    NULLs are exact.
+    Distinct counts and quartiles are approximate, from sketches that merge; min, max,
+    mean, count and the share of NULLs are exact. Mean, deviation and quartiles are
+    texts, as they are numbers of numbers but instants of dates and instants, which
+    have no deviation. Other types have none of them.
     """
     totals, rows = [F.count(F.lit(1)).alias("n")], []
     for i, field in enumerate(df.schema.fields):
         column, numeric = F.col(f"`{field.name}`"), isinstance(field.dataType, T.NumericType)
+        timed = isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)
         simple = not isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType)
         text = F.lit(None).cast("string")
         totals += [
             (F.min(column).cast("string") if simple else text).alias(f"min{i}"),
             (F.max(column).cast("string") if simple else text).alias(f"max{i}"),
             (F.approx_count_distinct(column) if simple else F.lit(None).cast("bigint")).alias(f"dist{i}"),
-            (F.avg(column).cast("double") if numeric else F.lit(None).cast("double")).alias(f"avg{i}"),
-            (F.stddev(column) if numeric else F.lit(None).cast("double")).alias(f"std{i}"),
-            (F.percentile_approx(column.cast("double"), [0.25, 0.5, 0.75]) if numeric
-             else F.lit(None).cast("array<double>")).alias(f"q{i}"),
+            (F.avg(column).cast("double").cast("string") if numeric else _mean_instant(column) if timed else text).alias(f"avg{i}"),
+            (F.stddev(column).cast("string") if numeric else text).alias(f"std{i}"),
+            (F.percentile_approx(column.cast("double") if numeric else column, [0.25, 0.5, 0.75]).cast("array<string>") if numeric or timed
+             else F.lit(None).cast("array<string>")).alias(f"q{i}"),
             F.count_if(column.isNull()).alias(f"nulls{i}"),
         ]
         quartile = [F.get(F.col(f"q{i}"), F.lit(k)) for k in range(3)]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import shared_root
@@ -95,28 +95,61 @@ def with_rank_and_size(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     )
 
 
-def group_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """Exact interpolated percentile per group.
+ACCURACY = 10_000  # a quantile sketch misses a rank by at most this part of a group's rows
+
 
-    Spark's own ``percentile`` keeps every distinct value of a group in memory;
-    here values are ranked by slice and only the two neighbours are kept.
+def percentile_bracket(value: str, q: float) -> Column:
+    """Sketch of a group, to be taken in any aggregate: values between which the percentile lies, ends included.
+
+    Twice the sketch's error is left on either side, and the whole group where that is under four ranks.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    counted = known.withColumn("_tie", F.monotonically_increasing_id())
-    position = (F.col("_size") - 1) * F.lit(q)
-    ranked = with_rank_and_size(counted, keys, [value, "_tie"]).withColumn("_pos", position)
-    low, high = F.floor("_pos") + 1, F.ceil("_pos") + 1
-    share = F.col("share")
-    return (
-        ranked.where((F.col("_rank") == low) | (F.col("_rank") == high))
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("_rank") == low, F.col(value))).alias("low"),
-            F.max(F.when(F.col("_rank") == high, F.col(value))).alias("high"),
-            F.max(F.col("_pos") - F.floor("_pos")).alias("share"),
-        )
-        .select(*keys, (F.col("low") * (1 - share) + F.col("high") * share).alias(name))
+    near = 2.0 / ACCURACY
+    sketch = F.percentile_approx(F.col(value), F.array(F.lit(max(0.0, q - near)), F.lit(min(1.0, q + near))), F.lit(ACCURACY))
+    return F.when(F.count(value) * F.lit(near) < 4, F.array(F.min(value), F.max(value))).otherwise(sketch)
+
+
+def percentile_within(
+    df: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str, q: float, name: str, n: str = "_n", bracket: str = "_bracket"
+) -> DataFrame:
+    """Exact interpolated percentile per group from a second pass over the rows.
+
+    ``brackets`` has for each group its number of values and what ``percentile_bracket``
+    found. Values below a bracket are only counted and those above left out, both before any shuffle; the
+    few values inside, each with its count, are put in order. So a group of any size comes down to
+    a small part of its rows.
+    """
+    sides = brackets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(n).alias("_n"), F.col(bracket).alias("_b"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    met = df.where(F.col(value).isNotNull()).select(*keys, value).join(sides, on).where(F.col(value) <= F.col("_b")[1])
+    inside = F.when(F.col(value) >= F.col("_b")[0], F.col(value))
+    counts = met.groupBy(*keys, inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    position = (F.col("_n") - 1) * F.lit(q)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(along)).withColumn("_pos", position)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when((F.col("_upto") >= rank) & F.col("_v").isNotNull(), F.col("_v")))
+
+    share = F.max(F.col("_pos") - F.floor("_pos"))
+    found = ranked.groupBy(*keys).agg(
+        at(F.floor("_pos") + 1).alias("_low"), at(F.ceil("_pos") + 1).alias("_high"), share.alias("_share"),
+        F.max(F.when(F.col("_v").isNull(), F.col("_c"))).alias("_below"), F.max("_pos").alias("_p"),
     )
+    # a bracket that the sketch had placed wrong would show here
+    right = (F.coalesce("_below", F.lit(0)) <= F.floor("_p")) & F.col("_high").isNotNull()
+    middle = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.col("_low") * (1 - F.col("_share")) + F.col("_high") * F.col("_share"))
+    return found.select(*keys, F.when(right, middle).otherwise(F.raise_error(F.lit("percentile outside its bracket"))).alias(name))
+
+
+def group_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+    """Exact interpolated percentile per group in two passes.
+
+    Spark's own ``percentile`` keeps every distinct value of a group in memory; here a
+    mergeable sketch bounds where the percentile is, and only values between the bounds are ordered.
+    """
+    known = df.where(F.col(value).isNotNull())
+    brackets = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), percentile_bracket(value, q).alias("_bracket"))
+    return percentile_within(known, brackets, keys, value, q, name)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.numeric import half_up, mean_of
 from tablewright.operators.merge import absent_rows, insert_if_absent, new, upsert
-from tablewright.operators.ordered import group_percentile, newest_per_key, with_previous
+from tablewright.operators.ordered import newest_per_key, percentile_bracket, percentile_within, with_previous
+from tablewright.session import shared_root
 
 RUN_STATES = ["success", "failed", "running", "queued"]
 TASK_STATES = ["success", "failed", "upstream_failed", "skipped", "running"]
@@ -142,20 +143,48 @@ def config_tasks(config: Column) -> Column:
 
 
 def downstream(config: Column, task_id: Column) -> Column:
-    """The task and everything that depends on it, directly or not.
+    """The task and everything that depends on it, directly or not, from one config; the config is parsed once.
 
-    One config document holds the whole graph, so the closure is taken inside the
-    row: as many rounds as there are tasks, each adding the tasks with a reached
-    parent. No join and no shuffle.
+    For configs of some dozen tasks: as many rounds as there are tasks, each over all
+    of them. ``downstream_tasks`` takes graphs of any size.
     """
-    tasks = config_tasks(config)
+    def closed(tasks: Column) -> Column:
+        def step(reached: Column, _round: Column) -> Column:
+            ready = F.filter(tasks, lambda t: F.arrays_overlap(F.coalesce(t["depends_on"], F.array()), reached))
+            return F.array_union(reached, F.transform(ready, lambda t: t["task_id"]))
 
-    def step(reached: Column, _round: Column) -> Column:
-        ready = F.filter(tasks, lambda t: F.arrays_overlap(F.coalesce(t["depends_on"], F.array()), reached))
-        return F.array_union(reached, F.transform(ready, lambda t: t["task_id"]))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(tasks), F.lit(1))), F.array(task_id), step)
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.size(tasks), F.lit(1)))
-    return F.aggregate(rounds, F.array(task_id), step)
+    return F.get(F.transform(F.array(config_tasks(config)), closed), F.lit(0))
+
+
+def task_edges(configs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, parent, child)`` of every dependency; each config is parsed once."""
+    tasks = configs.select(*keys, F.explode(config_tasks(F.col("config"))).alias("t"))
+    return tasks.select(*keys, F.explode("t.depends_on").alias("parent"), F.col("t.task_id").alias("child")).distinct()
+
+
+def downstream_tasks(configs: DataFrame, start: str, keys: Sequence[str] = ("pipeline_id", "version")) -> DataFrame:
+    """``(keys, task_id)``: in every config the task ``start`` and all that depends on it, directly or not.
+
+    A fixpoint over the edges of all configs at once. A round adds what is as many
+    steps away as all rounds before have covered, from paths of that length, which
+    are then joined to paths of twice the length; so a chain of n tasks takes log n rounds.
+    It stops when a round adds nothing, also where tasks depend on each other in a circle.
+    Rounds are checkpointed, which keeps plans short and survives lost executors.
+    """
+    shared_root(configs.sparkSession)
+    keys = list(keys)
+    reached = configs.select(*keys, F.lit(start).alias("task_id")).distinct().checkpoint()
+    paths = task_edges(configs, keys).checkpoint()
+    while True:
+        found = reached.withColumnRenamed("task_id", "parent").join(paths, [*keys, "parent"]).select(*keys, F.col("child").alias("task_id"))
+        added = found.distinct().join(reached, [*keys, "task_id"], "left_anti").checkpoint()
+        if added.isEmpty():
+            return reached
+        reached = reached.unionByName(added).checkpoint()
+        onward = paths.select(*keys, F.col("parent").alias("child"), F.col("child").alias("_end"))
+        paths = paths.join(onward, [*keys, "child"]).select(*keys, "parent", F.col("_end").alias("child")).distinct().checkpoint()
 
 
 # ---- listings ------------------------------------------------------------------
@@ -630,9 +659,11 @@ def row_count_changes(tasks: DataFrame) -> DataFrame:
 def alert_rules_eval(rules: DataFrame, tasks: DataFrame, runs: DataFrame, pipelines: DataFrame) -> DataFrame:
     """Alerts the active rules raise. Declared conditions: task_failed, sla_breach and row_count_drop.
 
-    A rule without a pipeline applies to all. Each finding is looked up under its
-    pipeline and under "any", so one equality join serves both kinds of rule and the
-    findings are computed once.
+    A rule without a pipeline applies to all. Each finding meets the list of its
+    pipeline's rules and the list of the rules for all, and every rule of both that
+    fires gives a row. The list for all stands under as many numbers as there are
+    slices, and a finding looks under one of them, so no key gathers the findings
+    however the lists are joined.
     """
     none = F.lit(None).cast("double")
     failed = tasks.where(F.col("status") == "failed").select(
@@ -647,40 +678,45 @@ def alert_rules_eval(rules: DataFrame, tasks: DataFrame, runs: DataFrame, pipeli
         F.col("drop_pct").alias("measure"),
     )
     found = failed.unionByName(late).unionByName(dropped)
-    anywhere = "*"
-    active = rules.where("is_active").select(
-        "rule_name", "rule_condition", "severity", "drop_pct",
-        F.coalesce("pipeline_id", F.lit(anywhere)).alias("applies_to"),
+    slices = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rule = F.collect_list(F.struct("rule_name", "severity", "drop_pct"))
+    active = rules.where("is_active")
+    of_pipeline = active.where(F.col("pipeline_id").isNotNull()).groupBy("rule_condition", "pipeline_id").agg(rule.alias("_own"))
+    of_all = active.where(F.col("pipeline_id").isNull()).groupBy("rule_condition").agg(rule.alias("_all"))
+    of_all = of_all.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = (
+        found.withColumn("_slice", F.pmod(F.xxhash64("pipeline_id", "run_id", "task_id"), F.lit(slices)).cast("int"))
+        .join(of_pipeline, ["rule_condition", "pipeline_id"], "left").join(of_all, ["rule_condition", "_slice"], "left")
     )
-    looked_up = found.withColumn("applies_to", F.explode(F.array("pipeline_id", F.lit(anywhere))))
-    fires = (F.col("rule_condition") != "row_count_drop") | (F.col("measure") >= F.col("drop_pct"))
-    return looked_up.join(active, ["rule_condition", "applies_to"]).where(fires).select(
-        "rule_name", "rule_condition", "severity", "pipeline_id", "run_id", "task_id", "measure"
+    fires = F.filter(
+        F.concat(F.coalesce("_own", F.array()), F.coalesce("_all", F.array())),
+        lambda r: (F.col("rule_condition") != "row_count_drop") | (F.col("measure") >= r["drop_pct"]),
+    )
+    return met.withColumn("_rule", F.explode(fires)).select(
+        "_rule.rule_name", "rule_condition", "_rule.severity", "pipeline_id", "run_id", "task_id", "measure"
     )
 
 
 def daily_metrics(runs: DataFrame, pipelines: DataFrame) -> DataFrame:
-    """Declared metrics table: per pipeline and day runs, mean and p95 duration, rows and SLA breaches."""
+    """Declared metrics table: per pipeline and day runs, mean and p95 duration, rows and SLA breaches.
+
+    The runs are read twice: once for all counts, with a sketch of the durations, and
+    once for the exact percentile inside what the sketch leaves open.
+    """
     keys = ["pipeline_id", "metric_date"]
+    allowed = pipelines.groupBy("pipeline_id").agg(F.max("sla_minutes").alias("_minutes"))
     dated = runs.withColumn("metric_date", F.to_date("start_time"))
-    base = dated.groupBy(*keys).agg(
+    base = dated.join(allowed, "pipeline_id", "left").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_runs"),
         F.count_if(F.col("status") == "success").alias("successful_runs"),
         F.count_if(F.col("status") == "failed").alias("failed_runs"),
         mean_of(F.sum(exact(F.col("duration_seconds"))), F.count("duration_seconds"), 3).alias("avg_duration_seconds"),
         F.coalesce(F.sum("total_rows_processed"), F.lit(0)).alias("total_rows_processed"),
+        F.count_if(F.col("duration_seconds") > F.col("_minutes") * 60).alias("sla_breaches"),
+        F.count("duration_seconds").alias("_n"), percentile_bracket("duration_seconds", 0.95).alias("_bracket"),
     )
-    p95 = group_percentile(dated, keys, "duration_seconds", 0.95, "p95")
-    late = (
-        sla_breaches(runs, pipelines).withColumn("metric_date", F.to_date("start_time"))
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("late"))
-    )
-    return (
-        base.join(p95, keys, "left").join(late, keys, "left")
-        .withColumn("p95_duration_seconds", half_up(F.col("p95"), 6))
-        .withColumn("sla_breaches", F.coalesce("late", F.lit(0)))
-        .drop("p95", "late")
-    )
+    p95 = percentile_within(dated, base.where("_n > 0"), keys, "duration_seconds", 0.95, "p95")
+    return base.join(p95, keys, "left").withColumn("p95_duration_seconds", half_up(F.col("p95"), 6)).drop("p95", "_n", "_bracket")
 
 
 _CHECKS = "STRUCT<checks: ARRAY<STRUCT<check_type: STRING, `column`: STRING, passed: BOOLEAN, `count`: BIGINT, action: STRING>>>"

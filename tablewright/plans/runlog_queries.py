@@ -74,8 +74,7 @@ reached AS (
 SELECT * FROM reached""")
 def downstream_tasks(t):
     """For every config: what must run again when t1 does."""
-    reached = r.downstream(F.col("config"), F.lit("t1"))
-    return t.pipeline_configs.select("pipeline_id", "version", F.explode(reached).alias("task_id"))
+    return r.downstream_tasks(t.pipeline_configs, "t1")
 
 
 # ---- listings ------------------------------------------------------------------

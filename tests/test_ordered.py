@@ -40,6 +40,14 @@ def test_percentile(skewed, rows, q):
     assert rows(sliced.select("k", rounded)) == rows(small.select("k", rounded))
 
 
+def test_percentile_of_a_large_group(spark):
+    """Far more rows than the sketch is exact for, half of them of one value."""
+    df = spark.range(60_000, numPartitions=6).selectExpr("CAST(id % 2 AS INT) AS k", "CASE WHEN id % 4 = 0 THEN 5.0D ELSE CAST(hash(id) AS DOUBLE) / 7 END AS v")
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        exact = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("v", q).alias("p")).collect()}
+        assert {r["k"]: r["p"] for r in ordered.group_percentile(df, ["k"], "v", q, "p").collect()} == pytest.approx(exact)
+
+
 def test_newest_per_key_limits_rows_before_the_shuffle(skewed, rows, capsys):
     newest = ordered.newest_per_key(skewed, ["k"], [F.desc("at"), F.desc("id")])
     assert newest.count() == skewed.select("k").distinct().count()

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,60 @@ def test_downstream(spark):
     assert (reach("b"), reach("a"), reach("e")) == (["b", "c", "d"], ["a", "b", "c", "d"], ["e"])
 
 
+def edges_of(spark, *graphs):
+    rows = [(str(i), "1", json.dumps({"tasks": [{"task_id": c, "depends_on": p} for c, p in g]})) for i, g in enumerate(graphs)]
+    return spark.createDataFrame(rows, "pipeline_id string, version string, config string")
+
+
+def test_downstream_of_long_chains_and_circles(spark):
+    chain = [(f"t{i + 1}", [f"t{i}"]) for i in range(1000)]
+    circle = [("a", ["t7", "c"]), ("b", ["a"]), ("c", ["b"]), ("z", ["y"])]
+    wide = [(f"w{i}", ["t7"]) for i in range(30)] + [("end", [f"w{i}" for i in range(30)])]
+    found = r.downstream_tasks(edges_of(spark, chain, circle, wide, []), "t7").groupBy("pipeline_id").agg(F.collect_set("task_id").alias("s"))
+    got = {row["pipeline_id"]: set(row["s"]) for row in found.collect()}
+    assert got == {"0": {f"t{i}" for i in range(7, 1001)}, "1": {"t7", "a", "b", "c"}, "2": {"t7", "end", *(f"w{i}" for i in range(30))}, "3": {"t7"}}
+
+
+def test_downstream_equals_the_closure_in_a_row(spark, rows):
+    text = [("b", ["a"]), ("c", ["b", "x"]), ("d", ["c", "a"]), ("e", ["q"]), ("a", [])]
+    df = edges_of(spark, text)
+    both = df.select(F.explode(r.downstream(F.col("config"), F.lit("a"))).alias("task_id"))
+    assert rows(both) == rows(r.downstream_tasks(df, "a").select("task_id"))
+
+
+def test_rules_for_all_do_not_gather_findings(spark, rows, capsys):
+    """One pipeline with most findings: each is there once, and the list for all stands under every slice."""
+    tasks = spark.createDataFrame(
+        [(f"t{i}", f"r{i}", "hot" if i % 10 else f"p{i}", "x", "failed", T0, None) for i in range(200)],
+        "task_run_id string, run_id string, pipeline_id string, task_id string, status string, created_at timestamp_ntz, output_row_count bigint")
+    runs = spark.createDataFrame([], "run_id string, pipeline_id string, status string, start_time timestamp_ntz, duration_seconds double, total_rows_processed bigint")
+    pipelines = spark.createDataFrame([("hot", 5)], "pipeline_id string, sla_minutes int")
+    rules = spark.createDataFrame([("all", None, "task_failed", 1.0, "e", True), ("own", "hot", "task_failed", 1.0, "w", True), ("off", None, "task_failed", 1.0, "e", False),
+                                   ("drop", None, "row_count_drop", 1.0, "e", True)],
+                                  "rule_name string, pipeline_id string, rule_condition string, drop_pct double, severity string, is_active boolean")
+    got = r.alert_rules_eval(rules, tasks, runs, pipelines)
+    assert [tuple(x) for x in got.groupBy("rule_name").count().orderBy("rule_name").collect()] == [("all", 200), ("own", 180)]
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got.explain("formatted")
+        text = capsys.readouterr().out
+        met = r.alert_rules_eval(rules, tasks, runs, pipelines)
+        assert met.count() == 380
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "'*'" not in text and slices > 1
+    assert text.split("\n(1)")[0].count("SortMergeJoin LeftOuter") == 2  # the rules of the pipeline, and those for all
+
+
+def test_daily_metrics_read_runs_twice(spark):
+    from tablewright.plans import registry
+
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    plan = r.daily_metrics(t.pipeline_runs, t.pipelines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("event_id") and plan.count("Relation") <= 4  # runs and pipelines, each for the counts and for the percentile
+
+
 def test_config_position(spark, rows):
     configs = spark.createDataFrame(
         [("p", "1", True, 1, '{"tasks":[{"task_id":"x"}]}'), ("p", "2", True, 2, '{"tasks":[{"task_id":"b"},{"task_id":"a"},{"task_id":"b"}]}'),
