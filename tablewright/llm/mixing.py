@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tablewright.llm.common import NO_ID, table, word_count, written
 
@@ -197,7 +198,7 @@ def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it: not at all, once or twice.
 
     Rows equal in id, text and source share what is taken of them; the first of
-    them get the larger number.
+    them, by a hash of all their columns but maps, get the larger number.
     """
     mixed = mix(docs, **options)
     times = mixed.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("draw").alias("__draw")).agg(
@@ -208,7 +209,8 @@ def repeat_rows(docs: DataFrame, **options) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("__id"),
         _draw(options.get("seed", SEED)).alias("__draw"), F.struct(*own).alias("__row"),
     ).join(times, ["__id", "__draw"])
-    nth = F.row_number().over(Window.partitionBy("__id", "__draw").orderBy("__rows"))
+    plain = [F.col(f"__row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    nth = F.row_number().over(Window.partitionBy("__id", "__draw").orderBy(F.xxhash64(*plain), F.xxhash64(F.lit(7), *plain)))
     # of equal rows all are taken ``least`` times and some once more
     more = nth <= F.col("__sum") - F.col("__rows") * F.col("__least")
     rows = rows.withColumn("__times", F.col("__least") + F.when(more, F.lit(1)).otherwise(F.lit(0))).where("__times > 0")

@@ -263,17 +263,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id, one without an id only if no row has one.
 
     A row is named by its id and text, so an id that stands on texts of several
-    components is kept in each where it is the smallest. Of rows that repeat it
-    in one component, the first by a hash of text and row stays. Rows without an
-    id cannot be named by another row: one of them stays too in each component
-    that has some.
+    components is kept in each where it is the smallest. Of rows that share it
+    in one component, the first by a hash of text and row stays.
     """
-    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id OR doc_id IS NULL")
-    heads = found.groupBy("root", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("key"))
-    heads = heads.select(F.col("doc_id").alias("head"), F.col("key.h1").alias("head1"), F.col("key.h2").alias("head2"))
+    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id OR component_id IS NULL")
+    heads = found.groupBy("root").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("key"))
+    heads = heads.select(F.col("key.doc_id").alias("head"), F.col("key.h1").alias("head1"), F.col("key.h2").alias("head2"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     h1, h2 = text_key(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("__id"), h1.alias("__h1"), h2.alias("__h2"), F.struct(*own).alias("__row"))

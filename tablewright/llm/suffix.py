@@ -48,7 +48,11 @@ BATCH = 1 << 14  # records in a new suffix array
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
-RECORD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2"), ("part", "<u4")])
+# a document is named by its id and 96 bits of its text, as ids may be null or repeat; a text is under 2**31 bytes
+RECORD = np.dtype([
+    ("h", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("crc", "<u4"), ("start", "<i4"), ("n", "<u2"), ("at", "<u2"), ("part", "<u4"),
+])
+NAME = ["doc", "tag", "crc"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield out()
 
 
-def records(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, length: int, gram: int) -> np.ndarray:
+def records(texts: list[bytes], names: np.ndarray, length: int, gram: int) -> np.ndarray:
     """A record for every stretch of ``length``-byte strings with one anchor."""
     parts = [np.zeros(0, RECORD)]
     for data, number, place, starts in _slices(texts, length):
@@ -135,7 +139,8 @@ def records(texts: list[bytes], docs: np.ndarray, tags: np.ndarray, length: int,
         out["h"], out["n"], out["at"] = hashes[anchor[begin]], stop - begin, anchor[begin] - begin
         own = piece[begin]
         out["start"] = begin - starts[own] + place[own]
-        out["doc"], out["tag"] = docs[number[own]], tags[number[own]]
+        for column, values in zip(NAME, names.T, strict=True):
+            out[column] = values[number[own]]
         parts.append(out)
     return np.concatenate(parts)
 
@@ -158,15 +163,15 @@ def _all(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(0, RECORD)] + [_unpacked(b) for b in blobs])
 
 
-def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts, ids and tags; rows with the same id and text are one document."""
-    docs, tags = rows["doc"].to_numpy(), rows["tag"].to_numpy()
-    first = np.sort(np.unique(np.stack([docs, tags], 1), axis=0, return_index=True)[1]) if len(docs) else np.zeros(0, int)
-    return rows["text"].take(first).to_pylist(), docs[first], tags[first]
+def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Texts and their names; rows with the same id and text are one document."""
+    names = np.stack([rows[c].to_numpy() for c in NAME], 1)
+    first = np.sort(np.unique(names, axis=0, return_index=True)[1]) if len(names) else np.zeros(0, int)
+    return rows["text"].take(first).to_pylist(), names[first]
 
 
 def _order(found: np.ndarray) -> np.ndarray:
-    return np.lexsort((found["start"], found["tag"], found["doc"]))
+    return np.lexsort((found["start"], found["crc"], found["tag"], found["doc"]))
 
 
 def _dealt(to: np.ndarray, kind: int, found: np.ndarray, extra: list[bytes] | None = None) -> list[tuple]:
@@ -193,8 +198,7 @@ ASK, WITNESS, TOLD = 0, 1, 2  # does this anchor occur elsewhere; it occurs here
 
 def _find(parts: int, length: int, gram: int):
     def run(rows: pa.Table) -> pa.Table:
-        texts, docs, tags = _texts(rows)
-        found = records(texts, docs, tags, length, gram)
+        found = records(*_texts(rows), length, gram)
         found["part"] = rows["part"][0].as_py()
         found = found[np.argsort(found["h"], kind="stable")]
         new = np.ones(len(found), bool)
@@ -226,16 +230,16 @@ def _shared():
     return run
 
 
-def _by_document(found: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], tuple[int, int]]]:
+def _by_document(found: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int, int], tuple[int, int]]]:
     """The records in document order, and where each document's are."""
     if not len(found):
         return found, {}
     found = found[_order(found)]
     new = np.ones(len(found), bool)
-    new[1:] = (found["doc"][1:] != found["doc"][:-1]) | (found["tag"][1:] != found["tag"][:-1])
+    new[1:] = np.logical_or.reduce([found[c][1:] != found[c][:-1] for c in NAME])
     begin = np.flatnonzero(new)
     stop = np.append(begin[1:], len(found))
-    names = zip(found["doc"][begin].tolist(), found["tag"][begin].tolist(), strict=True)
+    names = zip(*[found[c][begin].tolist() for c in NAME], strict=True)
     return found, dict(zip(names, zip(begin.tolist(), stop.tolist(), strict=True), strict=True))
 
 
@@ -246,14 +250,14 @@ def _contexts(parts: int, length: int, gram: int):
     """Text on both sides of a shared anchor, as far as its strings reach; the anchor itself stays behind."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, docs, tags = _texts(left)
+        texts, names = _texts(left)
         found, of = _by_document(_all(right["blob"].to_pylist()))
         anchor, starts, counts, places = (found[c].tolist() for c in ("h", "start", "n", "at"))
         keep, repeats, pieces = [], [], []
         at_home: dict[tuple, int] = {}
-        for i in np.lexsort((tags, docs)).tolist():
+        for i in np.lexsort(names.T[::-1]).tolist():
             text = texts[i]
-            for r in range(*of.get((int(docs[i]), int(tags[i])), (0, 0))):
+            for r in range(*of.get(tuple(names[i].tolist()), (0, 0))):
                 start, at = starts[r], places[r]
                 piece = text[start : start + at] + text[start + at + gram : start + counts[r] - 1 + length]
                 # the same passage cut the same way: documents come in order, so the first is the earliest
@@ -374,10 +378,10 @@ def _spans(found: np.ndarray, length: int) -> np.ndarray:
 def _removal(length: int, texts_too: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found, of = _by_document(_all(right["blob"].to_pylist()))
-        doc, tag, texts = left["doc"].to_pylist(), left["tag"].to_pylist(), left["text"].to_pylist()
+        names, texts = zip(*[left[c].to_pylist() for c in NAME], strict=True), left["text"].to_pylist()
         size, removed, spans, kept = [], [], [], []
-        for d, t, text in zip(doc, tag, texts, strict=True):
-            where = of.get((d, t))
+        for name, text in zip(names, texts, strict=True):
+            where = of.get(name)
             cut = _spans(found[where[0] : where[1]], length).tolist() if where else []
             at, rest = 0, []
             for a, b in cut:
@@ -408,8 +412,9 @@ def remove_repeats(
     Returns doc_id, n_bytes, n_removed, n_spans, spans (start, stop) and kept
     (the remaining bytes, or their SHA-256 as hex with ``digest``). A null text
     is empty; texts under ``length`` bytes lose nothing. A null doc_id comes
-    last. Different texts with one doc_id are taken in order of their crc32;
-    rows that repeat id and text are one document and get equal results.
+    last. Different texts with one doc_id, or without one, are taken in order of
+    a hash; rows that repeat id and text are one document and get equal results.
+    An empty table gives no row; other columns are ignored.
     """
     if not 8 <= gram < length < 2**15:
         raise ValueError("need 8 <= gram < length < 32768")
@@ -419,7 +424,7 @@ def remove_repeats(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"),
     )
-    rows = rows.select("doc", "no_id", F.crc32("text").alias("tag"), "text")
+    rows = rows.select("doc", "no_id", F.xxhash64("text").alias("tag"), F.crc32("text").alias("crc"), "text")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "tag"), F.lit(parts)))
     by_part = rows.groupBy("part")
     asked = by_part.applyInArrow(_find(parts, length, gram), MOVED)

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,16 +136,16 @@ def test_simhash(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids[None] == 2 and ids[2] == 1 and ids[1] == 1 and not ids[7] and not ids[4]
+    assert not ids[None] and ids[2] == 1 and ids[1] == 1 and not ids[7] and not ids[4]
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
 def test_keep_one_of_every_component(spark):
-    """An id on texts of two components, and copies without ids."""
+    """An id on texts of two components, and copies without ids: they stay only where no row has one."""
     a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue"))
     rows = [(5, a), (1, a), (5, b), (5, b), (7, b), (8, c), (8, a)] + [(None, c)] * 4 + [(None, "black " + a)] * 3
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
-    assert Counter(tuple(r) for r in kept) == Counter([(1, a), (5, b), (8, c), (None, c), (None, "black " + a)])
+    assert Counter(tuple(r) for r in kept) == Counter([(1, a), (5, b), (8, c), (None, "black " + a)])
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2])
@@ -364,7 +365,7 @@ def test_top_k_prunes():
     assert probed < 0.2
     again = topk.Shard(np.arange(8000), weights)
     live, probed = shares(again, queries, exact[:, 0])
-    assert live < 0.9 and probed < 0.02
+    assert live < 0.5 and probed < 0.05
     score, _ = again.search(np.full(len(queries), -1), queries, exact[:, 0], 20)
     assert (np.sort(score, axis=1) == exact).all()
 
@@ -382,6 +383,30 @@ def test_top_k_routes_by_bound():
     assert sorted((r["row"], r["shard"]) for b in out for r in b.to_pylist()) == [(1, 1), (2, 2), (3, 1), (3, 2)]
 
 
+def test_texts_without_an_id_and_of_one_crc32(spark):
+    """Two of them are two documents: neither loses what it alone holds, and both are searched."""
+    draw, seen = np.random.default_rng(3), {}
+    while True:
+        text = "".join(map(chr, draw.integers(97, 123, 160)))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    shared = "".join(map(chr, draw.integers(97, 123, 120)))
+    rows = [(None, text, "x"), (None, other, "y"), (1, shared + "1", "z"), (None, shared + "2", "z"), (None, shared + "2", "z")]
+    found = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, tag string")).collect()
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in found) == [(121, 0), (121, 120), (121, 120), (160, 0), (160, 0)]
+
+
+def test_equal_rows_but_for_other_columns_are_taken_alike(spark):
+    """Of rows equal in id, text and source the same ones are taken in every run, however they lie."""
+    rows = [(i % 2, "one two three", "a", f"note {i}") for i in range(9)] + [(5, "four " * 40, "b", "n")]
+    taken = []
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, note string").repartition(parts, "note")
+        taken.append(Counter(tuple(r) for r in mixing.repeat_rows(df, share=0.6).collect()))
+    assert taken[0] == taken[1] and sum(taken[0].values())
+
+
 def test_sharding(docs, none):
     rows = sharding.shard(docs, shards=3, piece=2).collect()
     assert len(rows) == len(DOCS)
@@ -518,10 +543,10 @@ def test_suffix_levels_and_slices(monkeypatch):
     draw = np.random.default_rng(7)
     text = bytes(draw.integers(97, 100, 3000).tolist())
     text = text[:900] + text[400:800] + text[900:] + text[100:1500]
-    whole = suffix.records([text], np.array([1]), np.array([0]), 100, 36)
+    whole = suffix.records([text], np.array([[1, 0, 0]]), 100, 36)
     monkeypatch.setattr(suffix, "SLICE", 500)
     monkeypatch.setattr(suffix, "BATCH", 7)
-    cut = suffix.records([text], np.array([1]), np.array([0]), 100, 36)
+    cut = suffix.records([text], np.array([[1, 0, 0]]), 100, 36)
     assert whole["n"].sum() == cut["n"].sum() == len(text) - 99
     found = cut
     pieces = [text[r["start"] : r["start"] + r["at"]] + text[r["start"] + r["at"] + 36 : r["start"] + r["n"] + 99] for r in found]
