@@ -236,9 +236,12 @@ def with_config_position(tasks: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def run_detail_tasks(tasks: DataFrame, configs: DataFrame, run_id: str | None = None) -> DataFrame:
-    """Tasks of a run in config order, then by start with open starts last."""
+    """Tasks of a run in config order, then by start with open starts last.
+
+    Without a run the tasks of all runs come with their ``config_position``, unsorted.
+    """
     placed = with_config_position(matching(tasks, run_id=run_id), configs)
-    return placed.orderBy(
+    return placed if run_id is None else placed.orderBy(
         "run_id", "config_position", F.asc_nulls_last("start_time"), "created_at", "task_run_id"
     )
 
@@ -303,19 +306,19 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
 
 
 def kpi_dashboard(runs: DataFrame, alerts: DataFrame, tasks: DataFrame, as_of: str) -> DataFrame:
-    """The nine dashboard numbers; one pass over each table."""
+    """The nine dashboard numbers; one pass over the rows of each table that count for any of them."""
     today = F.col("created_at") >= day_start(as_of)
-    ok, bad = F.col("status") == "success", F.col("status") == "failed"
-    of_runs = runs.agg(
-        F.count_if(F.col("status").isin("running", "queued")).alias("active_runs"),
+    ok, bad, live = F.col("status") == "success", F.col("status") == "failed", F.col("status").isin("running", "queued")
+    of_runs = runs.where(today | live).agg(
+        F.count_if(live).alias("active_runs"),
         F.count_if(today).alias("today_runs"),
         F.count_if(today & ok).alias("today_success"),
         F.count_if(today & bad).alias("today_failed"),
         mean_seconds(today & ok).alias("avg_duration_seconds"),
         F.coalesce(F.sum(F.when(today, F.col("total_rows_processed"))), F.lit(0)).alias("rows_today"),
     ).withColumn("success_rate", F.coalesce(percent(F.col("today_success"), F.col("today_runs")), F.lit(0.0)))
-    of_alerts = alerts.agg(F.count_if(~F.col("is_resolved")).alias("active_alerts"))
-    of_tasks = tasks.agg(F.count_if(today & bad).alias("failed_tasks_today"))
+    of_alerts = alerts.where(~F.col("is_resolved")).agg(F.count(F.lit(1)).alias("active_alerts"))
+    of_tasks = tasks.where(today & bad).agg(F.count(F.lit(1)).alias("failed_tasks_today"))
     return side_by_side(of_runs, of_alerts, of_tasks)
 
 
@@ -333,11 +336,11 @@ def throughput_hourly(runs: DataFrame, as_of: str, hours: int = 24) -> DataFrame
 
 def panel_active_runs(runs: DataFrame, as_of: str) -> DataFrame:
     live = F.col("status").isin("running", "queued") & (F.col("start_time") > ago(as_of, 60))
-    return runs.agg(F.count_if(live).alias("value"))
+    return runs.where(live).agg(F.count(F.lit(1)).alias("value"))
 
 
 def panel_runs_today(runs: DataFrame, as_of: str) -> DataFrame:
-    return runs.agg(F.count_if(F.col("start_time") >= day_start(as_of)).alias("value"))
+    return runs.where(F.col("start_time") >= day_start(as_of)).agg(F.count(F.lit(1)).alias("value"))
 
 
 def panel_success_rate(runs: DataFrame, as_of: str) -> DataFrame:
@@ -347,7 +350,7 @@ def panel_success_rate(runs: DataFrame, as_of: str) -> DataFrame:
 
 
 def panel_open_alerts(alerts: DataFrame, as_of: str) -> DataFrame:
-    return alerts.agg(F.count_if(~F.col("is_resolved") & (F.col("fired_at") > ago(as_of, 1440))).alias("value"))
+    return alerts.where(~F.col("is_resolved") & (F.col("fired_at") > ago(as_of, 1440))).agg(F.count(F.lit(1)).alias("value"))
 
 
 def _recent_hours(runs: DataFrame, as_of: str):
@@ -365,10 +368,10 @@ def panel_rows_per_hour(runs: DataFrame, as_of: str) -> DataFrame:
     return _recent_hours(runs, as_of).agg(rows.alias("value")).orderBy("time")
 
 
-def panel_failed_tasks(tasks: DataFrame, as_of: str) -> DataFrame:
-    """Newest 50 failed tasks of the last day."""
+def panel_failed_tasks(tasks: DataFrame, as_of: str, number: int = 1, size: int = 50) -> DataFrame:
+    """Newest failed tasks of the last day, a page of them."""
     found = tasks.where((F.col("status") == "failed") & (F.col("start_time") > ago(as_of, 1440)))
-    return page(found, [F.desc("start_time"), F.asc("task_run_id")], 1, 50).select(
+    return page(found, [F.desc("start_time"), F.asc("task_run_id")], number, size).select(
         "task_run_id", "pipeline_id", "task_id", "task_type", "error_message", "start_time"
     )
 
@@ -388,7 +391,8 @@ def kpi_windowed(runs: DataFrame, as_of: str, fallback_rate: float = 0.0) -> Dat
         F.struct(F.lit(label).alias("time_window"), *[F.col(f"{s}_{minutes}").alias(s) for s in states])
         for label, minutes in WINDOWS.items()
     ]
-    unpivoted = runs.agg(*counts).select(F.explode(F.array(*rows)).alias("w")).select("w.*")
+    longest = F.col("start_time") >= ago(as_of, max(WINDOWS.values()))
+    unpivoted = runs.where(longest & F.col("status").isin(*states)).agg(*counts).select(F.explode(F.array(*rows)).alias("w")).select("w.*")
     done = F.col("success") + F.col("failed")
     rate = F.coalesce(percent(F.col("success"), done, 0), F.lit(fallback_rate))
     return unpivoted.withColumn("success_rate", rate)
@@ -561,16 +565,16 @@ def run_insert_if_absent(runs: DataFrame, started: DataFrame) -> DataFrame:
     return insert_if_absent(runs, started, ["run_id"])
 
 
-def mark_failed_once(tasks: DataFrame, failures: DataFrame) -> DataFrame:
+def mark_failed_once(tasks: DataFrame, failures: DataFrame, error_chars: int = 2000) -> DataFrame:
     """Task runs after failure reports, with ``newly_failed`` on the rows this batch failed.
 
-    A row already failed is left alone; a report without a row adds one; of repeated
+    Of an error the first ``error_chars`` characters are kept. A row already failed is left alone; a report without a row adds one; of repeated
     reports the one with the latest end counts. Summing
     ``newly_failed`` per run gives the amount to add to its failure counter.
     """
     failures = one_per_key(failures, ["task_run_id"], [F.desc("end_time"), F.asc("error_message")])
     reports = failures.withColumns({
-        "status": F.lit("failed"), "newly_failed": F.lit(True), "error_message": F.substring("error_message", 1, 2000),
+        "status": F.lit("failed"), "newly_failed": F.lit(True), "error_message": F.substring("error_message", 1, error_chars),
     })
     open_ = F.col("status") != "failed"
     changes = {
@@ -621,11 +625,11 @@ def state_reconcile(rows: DataFrame, external: DataFrame, keys: Sequence[str], s
 
 # ---- alerts and metrics --------------------------------------------------------
 
-def failure_alerts(tasks: DataFrame) -> DataFrame:
-    """One alert per failed task."""
+def failure_alerts(tasks: DataFrame, error_chars: int = 500) -> DataFrame:
+    """One alert per failed task; its message holds the first ``error_chars`` characters of the error."""
     message = F.concat(
         F.lit("Pipeline `"), "pipeline_id", F.lit("` task `"), "task_id", F.lit("` failed: "),
-        F.substring(F.coalesce("error_message", F.lit("Unknown error")), 1, 500),
+        F.substring(F.coalesce("error_message", F.lit("Unknown error")), 1, error_chars),
     )
     return tasks.where(F.col("status") == "failed").select(
         F.lit("TASK_FAILURE").alias("alert_type"), F.lit("error").alias("severity"),
@@ -781,9 +785,9 @@ def outputs(tasks: DataFrame, pipeline_id=None, run_id=None) -> DataFrame:
     return matching(found, pipeline_id=pipeline_id, run_id=run_id)
 
 
-def artifact_catalog(tasks: DataFrame, pipeline_id=None, run_id=None) -> DataFrame:
-    """Newest 500 outputs."""
-    listed = page(outputs(tasks, pipeline_id, run_id), [F.desc("created_at"), F.asc("task_run_id")], 1, 500)
+def artifact_catalog(tasks: DataFrame, pipeline_id=None, run_id=None, number: int = 1, size: int = 500) -> DataFrame:
+    """Newest outputs, a page of them."""
+    listed = page(outputs(tasks, pipeline_id, run_id), [F.desc("created_at"), F.asc("task_run_id")], number, size)
     return listed.select("output_path", "pipeline_id", "run_id", "task_id", "output_row_count", "created_at", "task_run_id")
 
 

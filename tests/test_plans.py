@@ -49,6 +49,19 @@ def test_orders_meet_lines_without_extra_shuffles(spark):
     assert "Expand" not in head
 
 
+def test_panels_read_their_window_only(spark):
+    from tablewright.operators import runlog as r
+
+    runs, tasks, alerts = (spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr(
+        "ts AS start_time", "ts AS created_at", "ts AS fired_at", "event_type AS status", "event_id > 5 AS is_resolved", "value AS duration_seconds",
+        "event_id AS total_rows_processed") for _ in range(3))
+    at = "2026-01-01 00:00:00"
+    for df in (r.panel_active_runs(runs, at), r.panel_runs_today(runs, at), r.panel_open_alerts(alerts, at), r.kpi_windowed(runs, at)):
+        text = plan(df)
+        assert "GreaterThan" in text.split("PushedFilters:")[1].split("\n")[0]
+    assert plan(r.kpi_dashboard(runs, alerts, tasks, at)).count("PushedFilters: []") == 0
+
+
 def test_checks_share_one_scan(spark):
     from tablewright.operators.quality import check_results
 
