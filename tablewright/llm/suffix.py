@@ -48,11 +48,11 @@ BATCH = 1 << 14  # records in a new suffix array
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
-# a document is named by its id and 96 bits of its text, as ids may be null or repeat; a text is under 2**31 bytes
-RECORD = np.dtype([
-    ("h", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("crc", "<u4"), ("start", "<i4"), ("n", "<u2"), ("at", "<u2"), ("part", "<u4"),
-])
+# a document is named by its id and 96 bits of its text, as ids may be null or repeat; records carry its number among
+# the sorted names of its part instead, and names only where documents of different parts are put in order
+RECORD = np.dtype([("h", "<u8"), ("own", "<u4"), ("start", "<i4"), ("n", "<u2"), ("at", "<u2"), ("part", "<u4")])
 NAME = ["doc", "tag", "crc"]
+NAMED = np.dtype([*((n, RECORD[n].str) for n in RECORD.names), ("doc", "<i8"), ("tag", "<i8"), ("crc", "<u4")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def _slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield out()
 
 
-def records(texts: list[bytes], names: np.ndarray, length: int, gram: int) -> np.ndarray:
+def records(texts: list[bytes], length: int, gram: int) -> np.ndarray:
     """A record for every stretch of ``length``-byte strings with one anchor."""
     parts = [np.zeros(0, RECORD)]
     for data, number, place, starts in _slices(texts, length):
@@ -139,39 +139,52 @@ def records(texts: list[bytes], names: np.ndarray, length: int, gram: int) -> np
         out["h"], out["n"], out["at"] = hashes[anchor[begin]], stop - begin, anchor[begin] - begin
         own = piece[begin]
         out["start"] = begin - starts[own] + place[own]
-        for column, values in zip(NAME, names.T, strict=True):
-            out[column] = values[number[own]]
+        out["own"] = number[own]
         parts.append(out)
     return np.concatenate(parts)
 
 
 def _packed(found: np.ndarray) -> bytes:
     """Records column by column, which compresses well."""
-    return b"".join(np.ascontiguousarray(found[n]).tobytes() for n in RECORD.names)
+    return b"".join(np.ascontiguousarray(found[n]).tobytes() for n in found.dtype.names)
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    n, at = len(blob) // RECORD.itemsize, 0
-    out = np.zeros(n, RECORD)
-    for name in RECORD.names:
-        out[name] = np.frombuffer(blob, RECORD[name], n, at)
-        at += n * RECORD[name].itemsize
+def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n, at = len(blob) // kind.itemsize, 0
+    out = np.zeros(n, kind)
+    for name in kind.names:
+        out[name] = np.frombuffer(blob, kind[name], n, at)
+        at += n * kind[name].itemsize
     return out
 
 
-def _all(blobs: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, RECORD)] + [_unpacked(b) for b in blobs])
+def _all(blobs: list[bytes], kind: np.dtype = RECORD) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind)] + [_unpacked(b, kind) for b in blobs])
 
 
-def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    """Texts and their names; rows with the same id and text are one document."""
+def _as(found: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The columns of ``kind``; those that are not there are zero."""
+    out = np.zeros(len(found), kind)
+    for name in set(kind.names) & set(found.dtype.names):
+        out[name] = found[name]
+    return out
+
+
+def _names(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the documents of a part, sorted, the first row of each, and the document of every row.
+
+    Rows with the same id and text are one document. The order rests on the names
+    alone, so every step that sees the part's rows numbers them alike.
+    """
     names = np.stack([rows[c].to_numpy() for c in NAME], 1)
-    first = np.sort(np.unique(names, axis=0, return_index=True)[1]) if len(names) else np.zeros(0, int)
-    return rows["text"].take(first).to_pylist(), names[first]
+    if not len(names):
+        return names, np.zeros(0, int), np.zeros(0, int)
+    some, first, own = np.unique(names, axis=0, return_index=True, return_inverse=True)
+    return some, first, own.reshape(-1)
 
 
 def _order(found: np.ndarray) -> np.ndarray:
-    return np.lexsort((found["start"], found["crc"], found["tag"], found["doc"]))
+    return np.lexsort((found["start"], *(found[c] for c in reversed(NAME))))
 
 
 def _dealt(to: np.ndarray, kind: int, found: np.ndarray, extra: list[bytes] | None = None) -> list[tuple]:
@@ -198,7 +211,7 @@ ASK, WITNESS, TOLD = 0, 1, 2  # does this anchor occur elsewhere; it occurs here
 
 def _find(parts: int, length: int, gram: int):
     def run(rows: pa.Table) -> pa.Table:
-        found = records(*_texts(rows), length, gram)
+        found = records(rows["text"].take(_names(rows)[1]).to_pylist(), length, gram)
         found["part"] = rows["part"][0].as_py()
         found = found[np.argsort(found["h"], kind="stable")]
         new = np.ones(len(found), bool)
@@ -230,17 +243,10 @@ def _shared():
     return run
 
 
-def _by_document(found: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int, int], tuple[int, int]]]:
-    """The records in document order, and where each document's are."""
-    if not len(found):
-        return found, {}
-    found = found[_order(found)]
-    new = np.ones(len(found), bool)
-    new[1:] = np.logical_or.reduce([found[c][1:] != found[c][:-1] for c in NAME])
-    begin = np.flatnonzero(new)
-    stop = np.append(begin[1:], len(found))
-    names = zip(*[found[c][begin].tolist() for c in NAME], strict=True)
-    return found, dict(zip(names, zip(begin.tolist(), stop.tolist(), strict=True), strict=True))
+def _by_document(found: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
+    """The records of a part in document order, and where those of each of its ``n`` documents start, and the end."""
+    found = found[np.lexsort((found["start"], found["own"]))]
+    return found, np.searchsorted(found["own"], np.arange(n + 1)).tolist()
 
 
 CONTEXT, REPEAT = 0, 1
@@ -250,14 +256,14 @@ def _contexts(parts: int, length: int, gram: int):
     """Text on both sides of a shared anchor, as far as its strings reach; the anchor itself stays behind."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, names = _texts(left)
-        found, of = _by_document(_all(right["blob"].to_pylist()))
+        names, first, _ = _names(left)
+        texts = left["text"].take(first).to_pylist()
+        found, begin = _by_document(_all(right["blob"].to_pylist()), len(texts))
         anchor, starts, counts, places = (found[c].tolist() for c in ("h", "start", "n", "at"))
         keep, repeats, pieces = [], [], []
         at_home: dict[tuple, int] = {}
-        for i in np.lexsort(names.T[::-1]).tolist():
-            text = texts[i]
-            for r in range(*of.get(tuple(names[i].tolist()), (0, 0))):
+        for i, text in enumerate(texts):
+            for r in range(begin[i], begin[i + 1]):
                 start, at = starts[r], places[r]
                 piece = text[start : start + at] + text[start + at + gram : start + counts[r] - 1 + length]
                 # the same passage cut the same way: documents come in order, so the first is the earliest
@@ -266,7 +272,9 @@ def _contexts(parts: int, length: int, gram: int):
                 else:
                     keep.append(r)
                     pieces.append(piece)
-        kept, rest = found[np.array(keep, np.int64)], found[np.array(repeats, np.int64)]
+        kept, rest = _as(found[np.array(keep, np.int64)], NAMED), found[np.array(repeats, np.int64)]
+        for c, values in zip(NAME, names.T, strict=True):
+            kept[c] = values[kept["own"]]
         out = _dealt((kept["h"] % np.uint64(parts)).astype(np.int64), CONTEXT, kept, pieces)
         return _table(out + _dealt((rest["part"].astype(np.int64) + 1) % parts, REPEAT, rest))
 
@@ -346,7 +354,7 @@ def _scan(parts: int, length: int, gram: int):
     def run(rows: pa.Table) -> pa.Table:
         kinds, blobs, extra = rows["kind"].to_numpy(), rows["blob"].to_pylist(), rows["extra"].to_pylist()
         context = [i for i, k in enumerate(kinds) if k == CONTEXT]
-        found = _all([blobs[i] for i in context])
+        found = _all([blobs[i] for i in context], NAMED)
         text, at, pieces = b"".join(extra[i] for i in context), 0, []
         for n in (found["n"].astype(np.int64) + length - gram - 1).tolist():
             pieces.append(text[at : at + n])
@@ -356,7 +364,7 @@ def _scan(parts: int, length: int, gram: int):
         cut = found[own]
         cut["start"] += np.array([h[1] for h in hits], np.int64)
         cut["n"] = np.array([h[2] - h[1] for h in hits], np.int64)
-        out = np.concatenate([cut, _all([b for b, k in zip(blobs, kinds, strict=True) if k == REPEAT])])
+        out = np.concatenate([_as(cut, RECORD), _all([b for b, k in zip(blobs, kinds, strict=True) if k == REPEAT])])
         return _table(_dealt(out["part"].astype(np.int64), REPEAT, out))
 
     return run
@@ -377,12 +385,12 @@ def _spans(found: np.ndarray, length: int) -> np.ndarray:
 
 def _removal(length: int, texts_too: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found, of = _by_document(_all(right["blob"].to_pylist()))
-        names, texts = zip(*[left[c].to_pylist() for c in NAME], strict=True), left["text"].to_pylist()
+        names, _, own = _names(left)
+        found, begin = _by_document(_all(right["blob"].to_pylist()), len(names))
         size, removed, spans, kept = [], [], [], []
-        for name, text in zip(names, texts, strict=True):
-            where = of.get(name)
-            cut = _spans(found[where[0] : where[1]], length).tolist() if where else []
+        for i, text in zip(own.tolist(), left["text"].to_pylist(), strict=True):
+            here = found[begin[i] : begin[i + 1]]
+            cut = _spans(here, length).tolist() if len(here) else []
             at, rest = 0, []
             for a, b in cut:
                 rest.append(text[at:a])

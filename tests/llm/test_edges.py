@@ -543,12 +543,12 @@ def test_suffix_levels_and_slices(monkeypatch):
     draw = np.random.default_rng(7)
     text = bytes(draw.integers(97, 100, 3000).tolist())
     text = text[:900] + text[400:800] + text[900:] + text[100:1500]
-    whole = suffix.records([text], np.array([[1, 0, 0]]), 100, 36)
+    whole = suffix.records([text], 100, 36)
     monkeypatch.setattr(suffix, "SLICE", 500)
     monkeypatch.setattr(suffix, "BATCH", 7)
-    cut = suffix.records([text], np.array([[1, 0, 0]]), 100, 36)
+    cut = suffix.records([text], 100, 36)
     assert whole["n"].sum() == cut["n"].sum() == len(text) - 99
-    found = cut
+    found = suffix._as(cut, suffix.NAMED)
     pieces = [text[r["start"] : r["start"] + r["at"]] + text[r["start"] + r["at"] + 36 : r["start"] + r["n"] + 99] for r in found]
     hits = suffix.repeats(found, pieces, 100, 36)
     gone = {int(found["start"][r]) + i for r, a, b in hits for i in range(a, b)}
