@@ -8,12 +8,17 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.functions.statement import as_written
+
 _PLACEHOLDER = re.compile(r"\{\{ ?(ds|run_id) ?\}\}")
 # strings, quoted names and comments: no rewriting inside these
 _OPAQUE = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
 _CALLS = re.compile(
     rf"(?P<opaque>{_OPAQUE})|\b(?P<diff>DATEDIFF|DATE_DIFF)\s*\(\s*'(?P<unit>\w+)'\s*,"
-    r"|\b(?P<add>DATEADD)\s*\(\s*'(?P<step>\w+)'\s*,|\b(?P<regex>regexp_matches)\s*\(", re.IGNORECASE | re.DOTALL)
+    r"|\b(?P<add>DATEADD)\s*\(\s*'(?P<step>\w+)'\s*,|\b(?P<regex>regexp_matches)\s*\("
+    r"|(?P<before>\bAS\s+|::\s*)(?P<type>VARCHAR|HUGEINT)\b(?!\s*\()", re.IGNORECASE | re.DOTALL)
+# Names of types that Spark has under another one.
+TYPES = {"VARCHAR": "STRING", "HUGEINT": "DECIMAL(38,0)"}
 _MARKS = re.compile(rf"(?P<opaque>{_OPAQUE})|[(),]", re.DOTALL)
 _QUERY = re.compile(rf"(?:\s|{_OPAQUE})*(?:SELECT|WITH|VALUES|FROM|TABLE|\()", re.IGNORECASE | re.DOTALL)
 
@@ -40,7 +45,7 @@ def _arguments(text: str, at: int) -> tuple[list[str], int]:
 
 
 def to_spark_sql(text: str) -> str:
-    """Bare date units, differences that count unit borders, and Spark's name for substring regex search.
+    """Bare date units, differences that count unit borders, and Spark's names for substring regex search and types.
 
     ``DATEDIFF('day', a, b)`` counts midnights between ``a`` and ``b``; Spark's own
     counts whole days, so both ends are cut to the unit first.
@@ -58,6 +63,8 @@ def to_spark_sql(text: str) -> str:
             out.append(f"DATEDIFF({unit}, {', '.join(ends)})")
         elif call["add"]:
             out.append(f"{call['add']}({call['step'].upper()},")
+        elif call["type"]:
+            out.append(call["before"] + TYPES[call["type"].upper()])
         else:
             out.append("regexp_like(")
     return "".join([*out, text[at:]])
@@ -80,9 +87,10 @@ def run_sql(
     name of its own, so views of the session are never touched. A qualified name is
     swapped for that view in the text; a plain name is a common table expression
     around the text, which the text's own ones may shadow. Views are dropped once
-    the plan is analysed; the result stays lazy.
+    the plan is analysed; the result stays lazy. NULL order, division and rounding
+    casts are those of ``statement.as_written``.
     """
-    text = to_spark_sql(text).strip().rstrip(";")
+    text = as_written(spark, to_spark_sql(text).strip().rstrip(";"))
     tag = uuid.uuid4().hex
     views, plain = [], []
     try:

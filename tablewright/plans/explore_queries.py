@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.sqltext import run_sql
 from tablewright.operators import explore as e
 from tablewright.plans.business import inventory_valuation
 from tablewright.plans.mapping import BASE_TABLES
@@ -40,6 +41,31 @@ WHERE h.QuantityOnHand > 0 ORDER BY iv.StockCostValue DESC, iv.StockItemID""", {
         f"{e.explorer_alias('transform_inventory_valuation')}.inventory_valuation": valued}, limit=100)
 
 
+_NULLS_SQL = """
+SELECT run_id, duration_seconds, ROW_NUMBER() OVER (ORDER BY error_message DESC, run_id) AS place
+FROM pipeline_runs ORDER BY duration_seconds, end_time DESC, run_id LIMIT 700"""
+
+
+@query("explore_null_order", _NULLS_SQL)
+def explore_null_order(t):
+    """Sort keys with NULLs, in a window too: they come last, whatever the direction."""
+    return e.explore(t.spark, _NULLS_SQL, {"pipeline_runs": t.pipeline_runs}, limit=700)
+
+
+_NUMBERS_SQL = """
+SELECT event_id, event_id / 4 AS quarter, event_id / 4 / (1 + event_id % 3) AS again, CAST(value AS DECIMAL(10,2)) / 3 AS third,
+       event_id / (event_id % 2) > 1e300 AS endless, (-1 - event_id) / (event_id % 2) < -1e300 AS endless_below,
+       CAST(event_id / 4 AS BIGINT) AS to_even, TRY_CAST(CAST(event_id / 4 AS VARCHAR) AS BIGINT) AS from_text,
+       TRY_CAST(event_type AS BIGINT) AS no_number, CAST(CAST(event_id / 4 AS DECIMAL(12,2)) AS BIGINT) AS from_decimal
+FROM events"""
+
+
+@query("explore_numbers", _NUMBERS_SQL)
+def explore_numbers(t):
+    """Divisions, by zero too, and casts that round."""
+    return run_sql(t.spark, _NUMBERS_SQL, {"events": t.events})
+
+
 @query("explore_summarize", """
 SELECT column_name, column_type, min, max, count, CAST(null_percentage AS DOUBLE) AS null_percentage
 FROM (SUMMARIZE SELECT * FROM raw_orders)""")

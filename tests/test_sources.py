@@ -135,9 +135,37 @@ def test_config_extract_is_partitioned():
 def test_render_and_adapt():
     assert render("{{ ds }}{{ds}}-{{ run_id }}{{run_id}} {{ other }}", "D", "R") == "DD-RR {{ other }}"
     assert to_spark_sql("DATEDIFF('day', a, b)") == "DATEDIFF(DAY, DATE_TRUNC('DAY', a), DATE_TRUNC('DAY', b))"
+    assert to_spark_sql("CAST(x AS VARCHAR), y::varchar, CAST(z AS VARCHAR(3)), 'as varchar'") == "CAST(x AS STRING), y::STRING, CAST(z AS VARCHAR(3)), 'as varchar'"
     assert to_spark_sql("regexp_matches(x, 'a')") == "regexp_like(x, 'a')"
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("SELECT a FROM t ORDER BY a", [(1,), (2,), (None,)]), ("SELECT a FROM t ORDER BY a DESC", [(2,), (1,), (None,)]),
+    ("SELECT a FROM t ORDER BY a DESC NULLS FIRST, b", [(None,), (2,), (1,)]), ("SELECT a FROM (SELECT a FROM t ORDER BY a LIMIT 1)", [(1,)]),
+    ("SELECT a, row_number() OVER (PARTITION BY 1 ORDER BY a DESC) AS n FROM t ORDER BY n", [(2, 1), (1, 2), (None, 3)]),
+    ("WITH c AS (SELECT * FROM t ORDER BY a LIMIT 2) SELECT sum(a) FROM c", [(3,)]),
+    ("SELECT 1/0, -1.5/0, 7/2, 7 / 2 / 2, NULL/0, 12 / (8 / 2), '1/0'", [(float("inf"), float("-inf"), 3.5, 1.75, None, 3.0, "1/0")]),
+    ("SELECT sum(a) / count(*) FROM t", [(1.0,)]), ("SELECT a / 2, count(*) FROM t GROUP BY a / 2 ORDER BY a / 2", [(0.5, 1), (1.0, 1), (None, 1)]),
+    ("SELECT 'é' AS x, 3 / 2 -- 1/0 ORDER BY\n", [("é", 1.5)]), ("SELECT CASE WHEN a IN (SELECT 4 / 2) THEN 'y' END FROM t ORDER BY 1", [("y",), (None,), (None,)]),
+    ("SELECT try_cast('1.5' AS BIGINT), try_cast('2.5' AS INT), try_cast('-2.5' AS bigint), try_cast('x' AS int), try_cast(' 7 ' AS int), try_cast('99999999999' AS int)",
+     [(2, 3, -3, None, 7, None)]),
+    ("SELECT CAST(2.5D AS BIGINT), CAST(3.5D AS BIGINT), CAST(-1.5D AS BIGINT), CAST(2.5 AS BIGINT), 1.7D::int, CAST(true AS INT), TRY_CAST(1e300 AS BIGINT)",
+     [(2, 4, -2, 3, 2, 1, None)]),
+])
+def test_user_sql_keeps_its_results(spark, text, want):
+    t = spark.createDataFrame([(2, 1), (None, 2), (1, 3)], "a int, b int")
+    assert [tuple(r) for r in run_sql(spark, text, {"t": t}).collect()] == want
+
+
+def test_user_sql_keeps_names_and_errors(spark):
+    t = spark.createDataFrame([(2, 1)], "a int, b int")
+    assert run_sql(spark, "SELECT a / b, a / b AS x, a + 1, count(*) FROM t GROUP BY ALL", {"t": t}).columns == ["(a / b)", "x", "(a + 1)", "count(1)"]
+    with pytest.raises(PySparkException, match="PARSE_SYNTAX_ERROR"):
+        run_sql(spark, "SELECT FROM WHERE / ", {"t": t})
+    with pytest.raises(PySparkException, match="CAST_INVALID_INPUT"):
+        run_sql(spark, "SELECT CAST('x' AS BIGINT)", {}).collect()
+
+
 def test_transform_two_inputs(spark, rows):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "id int, val string")
     right = spark.createDataFrame([(2, "z")], "id int, other string")
