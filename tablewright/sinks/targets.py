@@ -69,7 +69,11 @@ def qualified(dialect: str, schema: str, table: str) -> str:
 def merge_statement(
     dialect: str, schema: str, table: str, stage: str, columns: Sequence[str], keys: Sequence[str]
 ) -> str:
-    """The one statement a database runs to fold a staged table into its target."""
+    """The one statement a database runs to fold a staged table into its target.
+
+    Spark's writer creates the stage with its column names quoted as they are, so on
+    Oracle, where the target's names are written plainly, those of the stage are quoted.
+    """
     if not keys:
         raise ValueError(f"target.keys is required when mode='merge' (task loading into {schema}.{table})")
     left, right = {"mssql": ("[", "]"), "postgresql": ('"', '"'), "oracle": ("", "")}.get(dialect, (None, None))
@@ -78,14 +82,16 @@ def merge_statement(
     quoted = {c: f"{left}{c}{right}" for c in columns}
     target, staged = qualified(dialect, schema, table), qualified(dialect, schema, stage)
     listed = ", ".join(quoted.values())
-    others = [quoted[c] for c in columns if c not in keys]
     if dialect == "postgresql":
+        others = [quoted[c] for c in columns if c not in keys]
         action = "DO UPDATE SET " + ", ".join(f"{c} = EXCLUDED.{c}" for c in others) if others else "DO NOTHING"
         conflict = ", ".join(quoted[k] for k in keys)
         return f"INSERT INTO {target} ({listed}) SELECT {listed} FROM {staged} ON CONFLICT ({conflict}) {action}"
-    match = " AND ".join(f"t.{quoted[k]} = s.{quoted[k]}" for k in keys)
-    update = "WHEN MATCHED THEN UPDATE SET " + ", ".join(f"t.{c} = s.{c}" for c in others) + " " if others else ""
-    values = ", ".join(f"s.{c}" for c in quoted.values())
+    own = {c: f's."{c}"' if dialect == "oracle" else f"s.{quoted[c]}" for c in columns}
+    match = " AND ".join(f"t.{quoted[k]} = {own[k]}" for k in keys)
+    changes = ", ".join(f"t.{quoted[c]} = {own[c]}" for c in columns if c not in keys)
+    update = f"WHEN MATCHED THEN UPDATE SET {changes} " if changes else ""
+    values = ", ".join(own.values())
     alias = "AS " if dialect == "mssql" else ""
     end = ";" if dialect == "mssql" else ""
     return (
@@ -95,9 +101,9 @@ def merge_statement(
 
 
 def run_statement(spark: SparkSession, options: Mapping[str, str], statement: str) -> None:
-    """Run one statement on the database over the driver's JDBC connection."""
+    """Run one statement on the database over the driver's JDBC connection; drivers given with ``--jars`` are found too."""
     jvm = spark.sparkContext._jvm
-    jvm.java.lang.Class.forName(options["driver"])
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
     properties = jvm.java.util.Properties()
     for key in ("user", "password"):
         if options.get(key):
@@ -123,15 +129,15 @@ def write_database(df: DataFrame, target: Mapping, generated: Sequence[str] = ()
         keys = target.get("keys", [])
         stage = f"{table}_stage_{uuid.uuid4().hex[:8]}"
         statement = merge_statement(dialect, schema, table, stage, df.columns, keys)
-        writer.option("dbtable", f"{schema}.{stage}").mode("overwrite").save()
+        writer.option("dbtable", qualified(dialect, schema, stage)).mode("overwrite").save()
         try:
             run_statement(df.sparkSession, options, statement)
         finally:
             run_statement(df.sparkSession, options, f"DROP TABLE {qualified(dialect, schema, stage)}")
     elif mode == "overwrite":
-        writer.option("dbtable", f"{schema}.{table}").option("truncate", True).mode("overwrite").save()
+        writer.option("dbtable", qualified(dialect, schema, table)).option("truncate", True).mode("overwrite").save()
     else:
-        writer.option("dbtable", f"{schema}.{table}").mode("append").save()
+        writer.option("dbtable", qualified(dialect, schema, table)).mode("append").save()
 
 
 def load_target(

@@ -15,7 +15,7 @@ from pyspark.sql.types import TimestampNTZType
 from tablewright.operators.merge import new, upsert
 from tablewright.operators.ordered import newest_per_key
 from tablewright.session import shared_root
-from tablewright.sinks.store import path_exists
+from tablewright.sinks.store import TableStore, WriteStats, path_exists
 
 OPEN_END = "9999-12-31 23:59:59.9999999"
 DELETE, INSERT, BEFORE_UPDATE, AFTER_UPDATE = 1, 2, 3, 4
@@ -60,7 +60,9 @@ class Increment:
 
     The new mark is observed while the batch is written, so finding it costs no
     second scan. It is stored only after the batch is safe: a run that dies before
-    ``commit`` is simply repeated.
+    ``commit`` is simply repeated. Rows that arrive after a batch with the very value of
+    its mark are not read by the next one: use a column that only grows, or a CDC
+    extract, where that can happen.
     """
 
     def __init__(self, spark: SparkSession, state_path: str, column: str):
@@ -96,6 +98,24 @@ def cdc_extract(changes: DataFrame, base: DataFrame, key: str, operation: str =
     return changes.where(F.col(operation).isin(INSERT, AFTER_UPDATE)).join(base, key)
 
 
+def _latest_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str], operation: str) -> DataFrame:
+    return newest_per_key(changes.where(F.col(operation) != BEFORE_UPDATE), keys, [F.desc(c) for c in order])
+
+
+def cdc_apply_to(
+    store: TableStore, table: str, changes: DataFrame, keys: Sequence[str], order: Sequence[str], operation: str = "operation"
+) -> WriteStats:
+    """Apply changes to a table of the store, deletes included; only the hash buckets of their keys are read and rewritten.
+
+    Batches of changes must come in their order.
+    """
+    def combine(target: DataFrame, staged: DataFrame) -> DataFrame:
+        taken = {c: new(c) for c in staged.columns if c in target.columns and c not in keys}
+        return upsert(target, staged, keys, taken, remove=new(operation) == DELETE)
+
+    return store.rewrite(table, _latest_changes(changes, keys, order, operation), keys, combine)
+
+
 def cdc_apply(
     base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], operation: str = "operation"
 ) -> DataFrame:
@@ -104,8 +124,6 @@ def cdc_apply(
     The newest changes are checkpointed, as the merge reads them more than once.
     """
     shared_root(base.sparkSession)
-    latest = newest_per_key(
-        changes.where(F.col(operation) != BEFORE_UPDATE), keys, [F.desc(c) for c in order]
-    ).checkpoint()
+    latest = _latest_changes(changes, keys, order, operation).checkpoint()
     taken = {c: new(c) for c in changes.columns if c in base.columns and c not in keys}
     return upsert(base, latest, keys, taken, remove=new(operation) == DELETE)

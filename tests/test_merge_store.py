@@ -3,6 +3,7 @@ import pytest
 from tablewright.operators.merge import insert_if_absent, merge
 from tablewright.sinks import targets
 from tablewright.sinks.store import TableStore, _write_new, fit_columns
+from tablewright.sources import windows
 from tablewright.sources.artifacts import Artifacts
 
 
@@ -262,7 +263,7 @@ def test_merge_statements():
     assert ms == ("MERGE INTO [dbo].[T] AS t USING [dbo].[S] AS s ON (t.[k] = s.[k]) WHEN MATCHED THEN UPDATE SET t.[v] = s.[v] "
                   "WHEN NOT MATCHED THEN INSERT ([k], [v]) VALUES (s.[k], s.[v]);")
     ora = targets.merge_statement("oracle", "app", "T", "S", ["k"], ["k"])
-    assert ora == "MERGE INTO app.T t USING app.S s ON (t.k = s.k) WHEN NOT MATCHED THEN INSERT (k) VALUES (s.k)"
+    assert ora == 'MERGE INTO app.T t USING app.S s ON (t.k = s."k") WHEN NOT MATCHED THEN INSERT (k) VALUES (s."k")'
     pg = targets.merge_statement("postgresql", "public", "T", "S", ["k", "v"], ["k"])
     assert pg == ('INSERT INTO "public"."T" ("k", "v") SELECT "k", "v" FROM "public"."S" '
                   'ON CONFLICT ("k") DO UPDATE SET "v" = EXCLUDED."v"')
@@ -273,6 +274,60 @@ def test_merge_statements():
         targets.merge_statement("mssql", "dbo", "T", "S", ["k"], [])
 
 
+class Database:
+    """Stands for a frame whose writer keeps what it is asked for."""
+
+    def __init__(self, columns):
+        self.columns, self.tables, self.write, self.sparkSession = columns, [], self, None
+
+    def drop(self, *names):
+        return self
+
+    def format(self, _):
+        return self
+
+    def options(self, **_):
+        return self
+
+    def option(self, key, value):
+        if key == "dbtable":
+            self.tables.append(value)
+        return self
+
+    def mode(self, _):
+        return self
+
+    def save(self):
+        return None
+
+
+@pytest.mark.parametrize("kind", ["mssql", "postgresql", "oracle"])
+def test_stage_is_written_and_merged_under_one_name(monkeypatch, kind):
+    ran = []
+    monkeypatch.setattr(targets, "drop_audit_column", lambda df: df)
+    monkeypatch.setattr(targets, "run_statement", lambda spark, options, text: ran.append(text))
+    df = Database(["Id", "v"])
+    targets.write_database(df, {"type": kind, "host": "h", "schema": "app", "table": "Out", "mode": "merge", "keys": ["Id"]})
+    (stage,) = df.tables
+    assert f" {stage} " in ran[0] + " " and ran[1] == f"DROP TABLE {stage}"
+
+
+def test_cdc_apply_to_a_table(spark, store, rows):
+    """Changes in two batches, deletes included, rewrite their buckets only and equal one application to the frame."""
+    base = spark.createDataFrame([(i, f"n{i}", i) for i in range(100)], "id bigint, name string, extra int")
+    schema = "id bigint, operation int, at int, name string"
+    first = spark.createDataFrame([(1, 4, 1, "x"), (2, 1, 2, None), (200, 2, 3, "new"), (1, 3, 4, "before")], schema)
+    second = spark.createDataFrame([(1, 1, 5, None), (200, 4, 6, "newer"), (300, 1, 7, None)], schema)
+    store.merge("t", base, ["id"])
+    before = store.buckets("t")
+    for changes in (first, second):
+        windows.cdc_apply_to(store, "t", changes, ["id"], ["at"])
+    after = store.buckets("t")
+    assert 0 < sum(before[b] != after.get(b) for b in before) < len(before)
+    assert rows(store.read("t")) == rows(windows.cdc_apply(base, first.unionByName(second), ["id"], ["at"]))
+    assert store.read("t").count() == 99
+
+
 def test_artifacts(spark, tmp_path):
     store = Artifacts(spark, str(tmp_path / "a"))
     stats = store.write(frame(spark, [(1, "a", 1), (2, "b", 2)]), "p", "r", "my-task", "tbl")
