@@ -183,3 +183,43 @@ def hard_negatives(rows, every=100, positives=5, negatives=5, scale=256):
             fits = [r for r in scored if r[2] != label and -80 * s <= -100 * r[0] <= -100 * s][:negatives]
             out += [(a, p, i + 1, v, -s, -n) for i, (n, v, _) in enumerate(fits)]
     return out
+
+
+def pack(pieces, capacity):
+    """pieces: (doc_id, piece, size, source, cluster) in the order of packing; every bin is looked at for every piece."""
+    bins, out = [], {}
+    for step, (d, p, size, source, cluster) in enumerate(pieces):
+        fits = [
+            (capacity - b["used"], b["since"], i) for i, b in enumerate(bins)
+            if b["used"] + size <= capacity and (source is None or source not in b["sources"]) and (cluster is None or cluster not in b["clusters"])
+        ]
+        i = min(fits)[2] if fits else len(bins)
+        if not fits:
+            bins.append({"used": 0, "sources": set(), "clusters": set(), "since": 0})
+        out[d, p] = (size, i, bins[i]["used"])
+        bins[i]["used"] += size
+        bins[i]["since"] = step
+        bins[i]["sources"] |= {source} - {None}
+        bins[i]["clusters"] |= {cluster} - {None}
+    return out
+
+
+def differenced(sizes, k):
+    """Karmarkar-Karp with the members of every part written out; all partial partitions are sorted anew for each step."""
+    made = len(sizes)
+    held = [(i, [(s, i, [i])] + [(0, made, [])] * (k - 1)) for i, s in enumerate(sizes)]  # (order, parts)
+    order = len(sizes)
+    while len(held) > 1:
+        held.sort(key=lambda x: (-(x[1][0][0] - x[1][-1][0]), x[0]))
+        (_, a), (_, b) = held.pop(0), held.pop(0)
+        joined = []
+        for x, y in zip(a, reversed(b), strict=True):
+            if x[2] and y[2]:
+                joined.append((x[0] + y[0], made, x[2] + y[2]))
+                made += 1
+            else:
+                joined.append(x if x[2] else y)
+        joined.sort(key=lambda part: (not part[2], -part[0], part[1]))
+        held.append((order, joined))
+        order += 1
+    return {i: number for number, (_, _, members) in enumerate(held[0][1]) for i in members}
