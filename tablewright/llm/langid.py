@@ -14,6 +14,7 @@ their whole texts; labelling sees every whole text.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import fold, held_out, table, written
 
 SAMPLE = 4000  # labelled rows that the fit may read
+MARGIN = 4  # times the share of rows that a sample of its size would take
 SLICE = 1 << 18  # characters of a sampled text counted at once
 PIECES = 1 << 16
 SWITCH = 6.0
@@ -36,6 +38,18 @@ CLIP = 8.0  # no word counts for more than this against a language
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 BORDER = re.compile(r"[\W\d_]")
+
+
+def _with_marks() -> re.Pattern[str]:
+    """Letters with the vowel signs and accents that follow them, which belong to the word."""
+    marks = [c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]
+    ends = [i for i in range(len(marks)) if i + 1 == len(marks) or marks[i + 1] != marks[i] + 1]
+    starts = [0, *(i + 1 for i in ends[:-1])]
+    chars = "".join(f"\\u{marks[a]:04x}-\\u{marks[z]:04x}" for a, z in zip(starts, ends, strict=True))
+    return re.compile(rf"[^\W\d_](?:[^\W\d_]|[{chars}])*")
+
+
+MARKED = _with_marks()
 BATCH = 1 << 22  # characters labelled at once
 WORDS = 1 << 14  # words scored at once
 # fixed values: first code point of each range and the script that starts there
@@ -68,7 +82,8 @@ def script(word: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """Runs of letters of one script in lower case."""
-    out = LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    out = (LETTERS if text.isascii() or max(text) < "\u0300" else MARKED).findall(text)
     letters = "".join(out)
     if letters.isascii():
         return out
@@ -264,18 +279,28 @@ def _counts(batches: Iterator[pa.RecordBatch]):
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model of the languages in ``lang``, from rows outside fold 1 with an id, text and lang; None if there is no such row.
 
-    Every language gets an even part of the sample. Languages are collected to
-    the driver with one count vector each.
+    Every language gets an even part of the sample, one text for an id that several
+    rows have, the smallest. Languages are collected to the driver with one count
+    vector each. An empty table gives None.
     """
     known = docs.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", F.col("doc_id").cast("bigint").alias("id"))
     priors = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not priors:
         return None
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "id"), "id"))
-    picked = known.withColumn("n", nth).where(F.col("n") <= max(1, sample // len(priors))).select("lang", "id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "lang", "text")
-    rows = written(texts.join(F.broadcast(picked), ["lang", "id"]).select("lang", "text").repartition(8), "sample")
+    each = max(1, sample // len(priors))
+    # the smallest hashes of a language are in a known share of their range, but for a chance that ``MARGIN`` keeps out
+    # of reach; so what meets to be ranked does not grow with the table
+    most = {lang: min(1.0, MARGIN * (each + MARGIN) / n) for lang, n in priors.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for lang, share in most.items() for x in (lang, share)]), F.col("lang"))
+    draw = F.xxhash64(F.lit(3), "id")
+    few = known.withColumn("draw", draw).where((F.col("draw") / F.lit(2.0**64) + 0.5) <= limit)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    picked = few.withColumn("n", nth).where(F.col("n") <= each).select("lang", "id").distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "lang", "text").where(F.col("text").rlike(r"\p{L}"))
+    # one text of each sampled id, however many rows have it
+    texts = texts.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    rows = written(texts.select("lang", "text").repartition(8), "sample")
     found = rows.mapInArrow(_counts, "lang string, counts binary, letters map<string,double>").collect()
     return _model(sorted((r["lang"], bytes(r["counts"]), r["letters"]) for r in found), priors)
 

@@ -126,6 +126,26 @@ def test_viterbi_against_all_paths():
         at += n
 
 
+def test_words_keep_their_marks():
+    assert langid.words("हिन्दी में, e\u0301te\u0301 Ça") == ["हिन्दी", "में", "e\u0301te\u0301", "ça"]
+    assert langid.words("abc1def_gh") == ["abc", "def", "gh"]
+
+
+def test_language_sample_is_bounded(spark):
+    """One language with a repeated id: the fit reads a text for an id, and no more ids than the sample has."""
+    rows = [(7, f"words of number {i}", "en") for i in range(300)] + [(100 + i, f"other words {i} here", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    written = langid.written
+    langid.written = lambda df, label: (seen.append(df.count()), written(df, label))[1]
+    try:
+        model = langid.fit(docs, sample=20)
+    finally:
+        langid.written = written
+    assert seen == [20] or seen[0] <= 20
+    assert model.languages == ["en"]
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     found = by_id(rows)
