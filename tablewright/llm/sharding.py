@@ -2,8 +2,8 @@
 
 Differencing keeps partial partitions (``k`` sums with their members), takes the
 two with the largest spread and adds them with opposite order, until one is
-left. It runs on two levels, because no task may hold all groups: every chunk
-of groups is differenced into bundles of even bytes, then the bundles and the
+left. It runs on levels, because no task may hold all groups: every chunk
+of groups is differenced into bundles of even bytes, again with the bundles while they are too many, then the bundles and the
 groups larger than a bundle, a bounded number, are differenced into the shards.
 """
 
@@ -22,8 +22,7 @@ from tablewright.llm.common import table, text_bytes, text_key, written
 SHARDS = 40
 OVERHEAD = 16
 FINE = 50  # bundles in a shard
-CHUNK = 20_000  # groups differenced in one task, until there are MOST_CHUNKS of them
-MOST_CHUNKS = 4096
+CHUNK = 20_000  # groups differenced in one task, about
 PIECE = 100_000  # rows numbered in one task
 
 
@@ -74,19 +73,41 @@ def _bundles(target: int):
     return run
 
 
+def _bundled(groups: DataFrame, n: int, target: int, chunk: int) -> DataFrame:
+    """``(h1, h2, bytes, chunk, bundle)``: groups dealt to chunks of about ``chunk``, each differenced into bundles."""
+    dealt = groups.withColumn("chunk", F.pmod("h2", F.lit(max(1, -(-n // chunk)))))
+    return dealt.groupBy("chunk").applyInPandas(_bundles(target), "h1 bigint, h2 bigint, bytes bigint, chunk bigint, bundle bigint")
+
+
 def assign_shards(groups: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fine: int = FINE) -> DataFrame:
-    """``(h1, h2, bytes)`` groups to ``(h1, h2, shard)``."""
+    """``(h1, h2, bytes)`` groups to ``(h1, h2, shard)``.
+
+    A chunk gives a bundle at least, so very many chunks give more bundles than
+    one task should difference; these are bundled again as groups of their own until
+    a chunk would hold them all.
+    """
     total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     target = max(1, int(total) // (shards * fine))
-    chunks = max(1, min(MOST_CHUNKS, -(-n // chunk)))
-    # a group beyond the bundle size is an item of its own on the second level: fewer than shards * fine of them
-    small = groups.where(F.col("bytes") <= target).withColumn("chunk", F.pmod("h2", F.lit(chunks)))
-    small = small.groupBy("chunk").applyInPandas(_bundles(target), "h1 bigint, h2 bigint, bytes bigint, chunk bigint, bundle bigint")
-    large = groups.where(F.col("bytes") > target).select("h1", "h2", "bytes", F.col("h1").alias("chunk"), F.col("h2").alias("bundle"))
-    items = written(small.withColumn("single", F.lit(False)).unionByName(large.withColumn("single", F.lit(True))), "bundles")
-    sums = items.groupBy("single", "chunk", "bundle").agg(F.sum("bytes").alias("bytes"))
-    second = sums.repartition(1).mapInPandas(_second_level(shards), "single boolean, chunk bigint, bundle bigint, shard int")
-    return items.join(second, ["single", "chunk", "bundle"]).select("h1", "h2", "shard")
+    # a group beyond the bundle size is an item of its own on the last level: fewer than shards * fine of them
+    items = written(_bundled(groups.where(F.col("bytes") <= target), n, target, chunk), "bundles")
+    levels = [items]
+    while True:
+        sums = items.groupBy("chunk", "bundle").agg(F.sum("bytes").alias("bytes"))
+        left = sums.count()
+        if left <= max(chunk, 2 * shards * fine):
+            break
+        named = sums.select(F.col("chunk").alias("h1"), F.xxhash64("chunk", "bundle").alias("h2"), F.col("bundle").alias("old"), "bytes")
+        again = _bundled(named.select("h1", "h2", "bytes"), left, target, chunk)
+        items = written(again.join(named.select("h1", "h2", "old"), ["h1", "h2"]), "bundles")
+        levels.append(items)
+    large = groups.where(F.col("bytes") > target).select("bytes", F.col("h1").alias("chunk"), F.col("h2").alias("bundle"))
+    last = sums.withColumn("single", F.lit(False)).unionByName(large.withColumn("single", F.lit(True)))
+    second = written(last.repartition(1).mapInPandas(_second_level(shards), "single boolean, chunk bigint, bundle bigint, shard int"), "parts")
+    shard_of = second.where("NOT single").drop("single")
+    for level in reversed(levels[1:]):
+        shard_of = level.join(shard_of, ["chunk", "bundle"]).select(F.col("h1").alias("chunk"), F.col("old").alias("bundle"), "shard")
+    small = levels[0].join(shard_of, ["chunk", "bundle"]).select("h1", "h2", "shard")
+    return small.unionByName(second.where("single").select(F.col("chunk").alias("h1"), F.col("bundle").alias("h2"), "shard"))
 
 
 def _second_level(k: int):

@@ -57,3 +57,17 @@ def test_sharding(spark, docs):
     for r in rows:
         total[r["shard"]] += r["size"]
     assert sorted(total.values()) == sorted(plain.values())
+
+
+def test_many_bundles_are_bundled_again(spark):
+    """Chunks of three groups: every group has one shard, and the shards stay even."""
+    draw = np.random.default_rng(8)
+    rows = [(i, int(draw.integers(0, 2**60)), int(b)) for i, b in enumerate([*draw.integers(1, 40, 600), 3000])]
+    groups = spark.createDataFrame(rows, "h1 bigint, h2 bigint, bytes bigint")
+    found = {(r["h1"], r["h2"]): r["shard"] for r in sharding.assign_shards(groups, shards=4, chunk=3, fine=8).collect()}
+    assert set(found) == {(a, b) for a, b, _ in rows}
+    sums = Counter()
+    for a, b, size in rows:
+        sums[found[a, b]] += size
+    total = sum(size for *_, size in rows)
+    assert len(sums) == 4 and max(sums.values()) - min(sums.values()) <= total // (4 * 8)
