@@ -19,7 +19,10 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files go when nothing refers to their rows any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+_SCRATCH: dict[str, list[str]] = {}  # paths handed out, by application
 
 
 def build_session(app: str = "tablewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,5 +56,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path under the shared folder, until ``clear_scratch``."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables this application has written between steps; returns how many were there.
+
+    Frames that rest on them can no longer be read, so call it once results are written.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in _SCRATCH.pop(spark.sparkContext.applicationId, [])]
+    return sum(p.getFileSystem(conf).delete(p, True) for p in paths)

@@ -99,6 +99,18 @@ def test_resolve_column_equals_resolve_config(spark):
     assert got == ["bucket/${b}/5/${none}/${/$b}${", "plain", "bucket", "x${b", None]
 
 
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
+    from tablewright import session
+
+    monkeypatch.setattr(session, "_SCRATCH", {})
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    paths = [session.scratch_path(spark, "step") for _ in range(3)]
+    for path in paths[:2]:
+        spark.range(3).write.parquet(path)
+    assert session.clear_scratch(spark) == 2 and session.clear_scratch(spark) == 0
+    assert not any((tmp_path / p.rsplit("/", 1)[1]).exists() for p in paths)
+
+
 # ---- topics ------------------------------------------------------------------
 
 TAKE = {"task_id": "m", "type": "kafka_consume", "topic": "clicks", "schema": "id INT"}
