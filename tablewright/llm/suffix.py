@@ -9,16 +9,18 @@ one suffix in thirty carries an anchor:
    suffixes, distance of the anchor). They are dealt by anchor hash.
 2. ``shared``: records whose anchor occurs once are done. The rest go back to
    their documents.
-3. ``contexts``: the text around these anchors is dealt by anchor hash again.
+3. ``contexts``: the text of these records is dealt by anchor hash again.
 4. ``scan``: records arrive in document order, in batches. A batch gets its
    sorted array of suffix keys, which is merge-scanned against the sorted
    levels that are there; suffixes found in a level, or earlier in the batch,
-   are repeats. What is new becomes a level, and equal-sized levels merge.
+   are repeats once their bytes are compared. What is new becomes a level, and
+   equal-sized levels merge.
 5. ``removal``: the repeats of a document are united and cut out of its text.
 
 Suffixes only matter up to ``LENGTH`` bytes, and only whether they are equal.
-So the arrays are sorted by a 64-bit key of those bytes and the anchor's own
-64-bit hash decides who meets, instead of by the bytes themselves.
+So the arrays are sorted by a 64-bit key of those bytes instead of by the bytes
+themselves, and carry where the suffix stands: what has an equal key is a repeat
+only if all ``LENGTH`` bytes are equal. Hashes decide who meets, never what is cut.
 
 Before records or contexts leave a task, those of one anchor or one passage in
 the task's documents are combined, so a passage that a third of all documents
@@ -44,6 +46,7 @@ PART_BYTES = 8 << 20  # text in a part: what a task holds at once, but for a lon
 SLICE = 1 << 20  # bytes hashed at once
 PLACES = 22  # bits for a place in a slice
 BATCH = 1 << 14  # records in a new suffix array
+COMPARED = 1 << 16  # strings compared at once
 # fixed values: odd multipliers of the hashes
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -252,22 +255,22 @@ def _by_document(found: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
 CONTEXT, REPEAT = 0, 1
 
 
-def _contexts(parts: int, length: int, gram: int):
-    """Text on both sides of a shared anchor, as far as its strings reach; the anchor itself stays behind."""
+def _contexts(parts: int, length: int):
+    """The text of the strings with a shared anchor."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names, first, _ = _names(left)
         texts = left["text"].take(first).to_pylist()
         found, begin = _by_document(_all(right["blob"].to_pylist()), len(texts))
-        anchor, starts, counts, places = (found[c].tolist() for c in ("h", "start", "n", "at"))
+        starts, counts, places = (found[c].tolist() for c in ("start", "n", "at"))
         keep, repeats, pieces = [], [], []
         at_home: dict[tuple, int] = {}
         for i, text in enumerate(texts):
             for r in range(begin[i], begin[i + 1]):
                 start, at = starts[r], places[r]
-                piece = text[start : start + at] + text[start + at + gram : start + counts[r] - 1 + length]
+                piece = text[start : start + counts[r] - 1 + length]
                 # the same passage cut the same way: documents come in order, so the first is the earliest
-                if at_home.setdefault((anchor[r], at, piece), i) != i:
+                if at_home.setdefault((at, piece), i) != i:
                     repeats.append(r)
                 else:
                     keep.append(r)
@@ -282,84 +285,102 @@ def _contexts(parts: int, length: int, gram: int):
 
 
 class SuffixLevels:
-    """Sorted arrays of suffix keys, each level at least twice as large as the next."""
+    """Sorted arrays of suffix keys with the place of each suffix, each level at least twice as large as the next."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted ``keys`` a level holds."""
-        found = np.zeros(len(keys), bool)
-        for level in self.levels:
-            at = np.searchsorted(level, keys)
-            found |= level[np.minimum(at, len(level) - 1)] == keys
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the suffix with each of the sorted ``keys`` stands; -1 for those that no level holds."""
+        found = np.full(len(keys), -1, np.int64)
+        for level, where in self.levels:
+            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            hit = level[at] == keys
+            found[hit] = where[at[hit]]
         return found
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
         """A new level of sorted ``keys``; levels of its size merge into it."""
-        while self.levels and len(self.levels[-1]) < 2 * len(keys):
-            keys = np.concatenate([self.levels.pop(), keys])
-            keys.sort(kind="stable")  # two sorted runs: a merge
+        places = places.astype(np.uint32 if not len(places) or places.max() < 2**32 else np.int64)
+        while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
+            level, where = self.levels.pop()
+            keys, places = np.concatenate([level, keys]), np.concatenate([where, places])
+            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+            keys, places = keys[order], places[order]
         if len(keys):
-            self.levels.append(keys)
+            self.levels.append((keys, places))
 
 
-def _suffix_keys(found: np.ndarray, text: bytes, length: int, gram: int) -> np.ndarray:
-    """Key of every string of the records: their contexts' hash together with the anchor and its place."""
-    side = length - gram
-    data = np.frombuffer(text, np.uint8)
-    n = found["n"].astype(np.int64)
-    starts = np.cumsum(n + side - 1) - (n + side - 1)
-    hashes = window_hashes(data, side)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = (np.repeat(found["at"].astype(np.int64), n) - step).astype(np.uint64)
-    anchor = np.repeat(found["h"], n)
-    return mixed((hashes[np.repeat(starts, n) + step] ^ mixed(anchor + place * BASE)) + BASE)
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from each place of ``a`` are those from the place of ``b``."""
+    out = np.ones(len(a), bool)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(a) else data
+    for at in range(0, len(a), COMPARED):
+        some = slice(at, at + COMPARED)
+        out[some] = (windows[a[some]] == windows[b[some]]).all(1)
+    return out
 
 
-def repeats(found: np.ndarray, texts: list[bytes], length: int, gram: int) -> list[tuple[int, int, int]]:
+def repeats(found: np.ndarray, texts: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """``(record, from, to)``: stretches of strings that an earlier record has as well.
 
-    Records are taken in document order, in batches of ``BATCH``.
+    ``texts`` has the bytes of the strings of each record. Records are taken in
+    document order, in batches of ``BATCH``. A string whose key another one has
+    that is not equal is kept apart and compared in full.
     """
     index, out = SuffixLevels(), []
+    odd: dict[int, set[bytes]] = {}
     order = _order(found)
+    whole = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+    start = 0
     for at in range(0, len(order), BATCH):
         some = order[at : at + BATCH]
-        batch = found[some]
-        keys = _suffix_keys(batch, b"".join(texts[i] for i in some), length, gram)
+        n = found["n"][some].astype(np.int64)
+        starts = start + np.cumsum(n + length - 1) - (n + length - 1)
+        stop = int(starts[-1] + n[-1] + length - 1)
+        base = np.cumsum(n) - n
+        place = np.repeat(starts - base, n) + np.arange(n.sum())
+        keys = window_hashes(whole[start:stop], length)[place - start]
+        start = stop
         rank = np.argsort(keys, kind="stable")  # the batch's suffix array; equal suffixes stay in document order
-        ranked = keys[rank]
-        again = np.zeros(len(keys), bool)
-        again[1:] = ranked[1:] == ranked[:-1]
-        again |= index.known(ranked)
-        index.add(ranked[~again])
+        ranked, places = keys[rank], place[rank]
+        new = np.ones(len(keys), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        first = places[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]  # the earliest with the key
+        known = index.places(ranked)
+        first = np.where(known >= 0, known, first)
+        again = np.flatnonzero(~new | (known >= 0))
+        equal = same_bytes(whole, places[again], first[again], length)
+        index.add(ranked[new & (known < 0)], places[new & (known < 0)])
         flag = np.zeros(len(keys), bool)
-        flag[rank] = again
-        n = batch["n"].astype(np.int64)
-        owner = np.repeat(np.arange(len(batch)), n)
+        flag[rank[again[equal]]] = True
+        for i in sorted(again[~equal], key=lambda i: places[i]):
+            string = whole[places[i] : places[i] + length].tobytes()
+            held = odd.setdefault(int(ranked[i]), set())
+            flag[rank[i]] = string in held
+            held.add(string)
+        owner = np.repeat(np.arange(len(some)), n)
         edge = np.ones(len(flag), bool)
         edge[1:] = (flag[1:] != flag[:-1]) | (owner[1:] != owner[:-1])
         begin = np.flatnonzero(edge)
-        stop = np.append(begin[1:], len(flag))
-        base = np.cumsum(n) - n
+        end = np.append(begin[1:], len(flag))
         hit = flag[begin]
-        begin, stop = begin[hit], stop[hit]
+        begin, end = begin[hit], end[hit]
         own = owner[begin]
-        out += zip(some[own].tolist(), (begin - base[own]).tolist(), (stop - base[own]).tolist(), strict=True)
+        out += zip(some[own].tolist(), (begin - base[own]).tolist(), (end - base[own]).tolist(), strict=True)
     return out
 
 
-def _scan(parts: int, length: int, gram: int):
+def _scan(parts: int, length: int):
     def run(rows: pa.Table) -> pa.Table:
         kinds, blobs, extra = rows["kind"].to_numpy(), rows["blob"].to_pylist(), rows["extra"].to_pylist()
         context = [i for i, k in enumerate(kinds) if k == CONTEXT]
         found = _all([blobs[i] for i in context], NAMED)
         text, at, pieces = b"".join(extra[i] for i in context), 0, []
-        for n in (found["n"].astype(np.int64) + length - gram - 1).tolist():
+        for n in (found["n"].astype(np.int64) + length - 1).tolist():
             pieces.append(text[at : at + n])
             at += n
-        hits = repeats(found, pieces, length, gram)
+        hits = repeats(found, pieces, length)
         own = np.array([h[0] for h in hits], np.int64)
         cut = found[own]
         cut["start"] += np.array([h[1] for h in hits], np.int64)
@@ -437,8 +458,8 @@ def remove_repeats(
     by_part = rows.groupBy("part")
     asked = by_part.applyInArrow(_find(parts, length, gram), MOVED)
     answers = asked.groupBy("part").applyInArrow(_shared(), MOVED)
-    around = by_part.cogroup(answers.groupBy("part")).applyInArrow(_contexts(parts, length, gram), MOVED)
-    hits = around.groupBy("part").applyInArrow(_scan(parts, length, gram), MOVED)
+    around = by_part.cogroup(answers.groupBy("part")).applyInArrow(_contexts(parts, length), MOVED)
+    hits = around.groupBy("part").applyInArrow(_scan(parts, length), MOVED)
     out = by_part.cogroup(hits.groupBy("part")).applyInArrow(_removal(length, not digest), REMOVED)
     kept = F.col("kept").cast("string").alias("kept") if digest else F.col("kept")
     return out.select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", kept)

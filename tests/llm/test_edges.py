@@ -569,8 +569,8 @@ def test_suffix_levels_and_slices(monkeypatch):
     cut = suffix.records([text], 100, 36)
     assert whole["n"].sum() == cut["n"].sum() == len(text) - 99
     found = suffix._as(cut, suffix.NAMED)
-    pieces = [text[r["start"] : r["start"] + r["at"]] + text[r["start"] + r["at"] + 36 : r["start"] + r["n"] + 99] for r in found]
-    hits = suffix.repeats(found, pieces, 100, 36)
+    pieces = [text[r["start"] : r["start"] + r["n"] + 99] for r in found]
+    hits = suffix.repeats(found, pieces, 100)
     gone = {int(found["start"][r]) + i for r, a, b in hits for i in range(a, b)}
     first, want = {}, set()
     for i in range(len(text) - 99):
@@ -579,6 +579,26 @@ def test_suffix_levels_and_slices(monkeypatch):
     assert gone == want
 
 
+def test_equal_keys_of_different_strings(monkeypatch):
+    """Keys of two bits: only equal bytes make a repeat, in a batch and across levels."""
+    plain = suffix.window_hashes
+    monkeypatch.setattr(suffix, "BATCH", 2)
+    monkeypatch.setattr(suffix, "COMPARED", 5)
+    monkeypatch.setattr(suffix, "window_hashes", lambda data, width: plain(data, width) & np.uint64(3))
+    draw = np.random.default_rng(1)
+    texts = [bytes(draw.integers(97, 99, 14).tolist()) for _ in range(9)]
+    found = np.zeros(len(texts), suffix.NAMED)
+    found["n"], found["doc"] = 9, np.arange(len(texts))
+    got = {(r, i) for r, a, b in suffix.repeats(found, texts, 6) for i in range(a, b)}
+    seen, want = set(), set()
+    for r, text in enumerate(texts):
+        for i in range(9):
+            if text[i : i + 6] in seen:
+                want.add((r, i))
+            seen.add(text[i : i + 6])
+    assert got == want and want
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (249, 99)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
