@@ -278,6 +278,8 @@ def _contexts(parts: int, length: int):
         kept, rest = _as(found[np.array(keep, np.int64)], NAMED), found[np.array(repeats, np.int64)]
         for c, values in zip(NAME, names.T, strict=True):
             kept[c] = values[kept["own"]]
+        order = np.argsort(kept["h"], kind="stable")  # alike texts lie together, which compresses well
+        kept, pieces = kept[order], [pieces[i] for i in order.tolist()]
         out = _dealt((kept["h"] % np.uint64(parts)).astype(np.int64), CONTEXT, kept, pieces)
         return _table(out + _dealt((rest["part"].astype(np.int64) + 1) % parts, REPEAT, rest))
 
