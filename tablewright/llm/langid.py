@@ -312,7 +312,9 @@ def with_language(docs: DataFrame, model: Model | None, switch: float = SWITCH,
     """``(doc_id, lang_pred, score, spans)`` of every row. Score is the share of letters in the language's spans.
 
     A text without letters, or null, is ``und`` with score 0; so is every text
-    without a model. A tie of letters goes by the total score, then by name.
+    without a model. A tie of letters goes by the total score, then by name. Texts
+    of any length are labelled whole, repeated rows each for itself, an empty table
+    stays empty, and columns but doc_id and text are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

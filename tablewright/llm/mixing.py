@@ -155,7 +155,7 @@ def mix(
     cannot be told. A null source is a source, after all others. A null or empty
     text has size 0 and is taken as 0 words. Sources are collected to the driver,
     one row each; per source one task holds its different lengths, never its
-    documents.
+    documents. An empty table gives no row.
     """
     size = word_count(F.col("text")) if size is None else size
     rows = docs.select(

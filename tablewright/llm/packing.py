@@ -109,7 +109,9 @@ def pack(
     ``capacity`` is cut into full pieces and a rest, all in different bins as
     they are of one source and cluster. A document without tokens has one row
     with a null pack, bin and offset. A null source conflicts with nothing.
-    (pack, bin) names a bin. Repeated rows are packed each by itself.
+    (pack, bin) names a bin. Repeated rows are packed each by itself. An empty table
+    gives no row; columns but doc_id, text and source are not read unless ``size`` or
+    ``cluster`` does.
     """
     size = word_count(F.col("text")) if size is None else size
     cluster = F.when(F.col("text").isNotNull(), text_key(F.col("text"))[1]) if cluster is None else F.xxhash64(cluster)

@@ -230,7 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 
 def with_scores(docs: DataFrame, vectors: np.ndarray, net: Network | float) -> DataFrame:
-    """``docs`` with a column ``__score``, by the text alone. Null, empty and blank texts share a score."""
+    """``docs`` with a column ``__score``, by the text alone. Null, empty and blank texts share a score.
+
+    All columns stay, whatever their names but ``__score``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -246,14 +249,22 @@ def with_scores(docs: DataFrame, vectors: np.ndarray, net: Network | float) -> D
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, repeated rows and null ids included."""
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, repeated rows and null ids included.
+
+    A null text scores like an empty one, a text of any length is read whole. An empty
+    table gives no row; without labels of both classes all scores are one number.
+    """
     out = with_scores(docs.select("doc_id", "text"), *fit(docs, labels, sample))
     score = F.col("__score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without rows that score under ``least``."""
+    """``docs`` without rows that score under ``least``; a score of just ``least`` stays.
+
+    All columns stay, repeated rows too. Null and empty texts go or stay together.
+    An empty table stays empty.
+    """
     scored = with_scores(docs, *fit(docs, labels, sample))
     return scored.where(F.col("__score") >= least).drop("__score")
 

@@ -129,7 +129,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, chunk
     a crc32 of 0, and all null texts are one group. Rows of equal texts are a
     group and stay together, whatever their ids; so a group larger than an even
     share has a shard to itself and the rest balance among the others. Slots
-    run from 0 without gaps. Rows equal in id and text get neighbouring slots.
+    run from 0 without gaps. Rows equal in id and text get neighbouring slots. An empty
+    table gives no row; columns but doc_id and text are not read.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (text_bytes(F.col("text")) + overhead).alias("size"),
