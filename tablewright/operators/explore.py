@@ -60,9 +60,11 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(schema_names(df).items()), "column_name string, column_type string")
 
 
-def _mean_instant(column: Column) -> Column:
+def _mean_instant(column: Column, dates: bool) -> Column:
     """Mean of dates or instants, to the microsecond."""
     zero = F.lit("1970-01-01").cast("timestamp_ntz")
+    if dates:
+        return (zero + F.make_dt_interval(secs=(F.avg(F.unix_date(column)) * 86_400).cast("decimal(18,6)"))).cast("string")
     seconds = (column.cast("timestamp_ntz") - zero).cast("interval second").cast("decimal(18,6)")
     return (zero + F.make_dt_interval(secs=F.avg(seconds).cast("decimal(18,6)"))).cast("string")
 
@@ -85,7 +87,7 @@ def summarize(df: DataFrame) -> DataFrame:
             (F.min(column).cast("string") if simple else text).alias(f"min{i}"),
             (F.max(column).cast("string") if simple else text).alias(f"max{i}"),
             (F.approx_count_distinct(column) if simple else F.lit(None).cast("bigint")).alias(f"dist{i}"),
-            (F.avg(column).cast("double").cast("string") if numeric else _mean_instant(column) if timed else text).alias(f"avg{i}"),
+            (F.avg(column).cast("double").cast("string") if numeric else _mean_instant(column, isinstance(field.dataType, T.DateType)) if timed else text).alias(f"avg{i}"),
             (F.stddev(column).cast("string") if numeric else text).alias(f"std{i}"),
             (F.percentile_approx(column.cast("double") if numeric else column, [0.25, 0.5, 0.75]).cast("array<string>") if numeric or timed
              else F.lit(None).cast("array<string>")).alias(f"q{i}"),

@@ -692,11 +692,9 @@ def alert_rules_eval(rules: DataFrame, tasks: DataFrame, runs: DataFrame, pipeli
         found.withColumn("_slice", F.pmod(F.xxhash64("pipeline_id", "run_id", "task_id"), F.lit(slices)).cast("int"))
         .join(of_pipeline, ["rule_condition", "pipeline_id"], "left").join(of_all, ["rule_condition", "_slice"], "left")
     )
-    fires = F.filter(
-        F.concat(F.coalesce("_own", F.array()), F.coalesce("_all", F.array())),
-        lambda r: (F.col("rule_condition") != "row_count_drop") | (F.col("measure") >= r["drop_pct"]),
-    )
-    return met.withColumn("_rule", F.explode(fires)).select(
+    lists = F.concat(F.coalesce("_own", F.array()), F.coalesce("_all", F.array()))
+    fires = (F.col("rule_condition") != "row_count_drop") | (F.col("measure") >= F.col("_rule.drop_pct"))
+    return met.withColumn("_rule", F.explode(lists)).where(fires).select(
         "_rule.rule_name", "rule_condition", "_rule.severity", "pipeline_id", "run_id", "task_id", "measure"
     )
 
