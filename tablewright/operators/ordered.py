@@ -95,6 +95,31 @@ def with_rank_and_size(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     )
 
 
+def tile_borders(df: DataFrame, column: str, tiles: int) -> list:
+    """The smallest value of every tile that ``NTILE(tiles) OVER (ORDER BY column)`` makes of the rows that have a value.
+
+    Values are counted and ranged over slices; the driver gets the number of rows of
+    each slice and the borders, and only the slices that hold one are put in order.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _sliced(counts, [], [column])
+    sizes = {r[0]: r[1] for r in rows.groupBy(_SLICE).agg(F.sum("_n")).collect()}
+    total = sum(sizes.values())
+    # NTILE gives the first ``total % tiles`` tiles a row more
+    starts = [t * (total // tiles) + min(t, total % tiles) for t in range(min(tiles, total))]
+    wanted, before = [], 0
+    for part in sorted(sizes):
+        wanted += [(part, start - before) for start in starts if before <= start < before + sizes[part]]
+        before += sizes[part]
+    if not wanted:
+        return []
+    inside = Window.partitionBy(_SLICE).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = df.sparkSession.createDataFrame(wanted, f"{_SLICE} int, _rank bigint")
+    held = rows.where(F.col(_SLICE).isin(sorted({part for part, _ in wanted}))).withColumn("_upto", F.sum("_n").over(inside))
+    met = held.join(ranks, _SLICE).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank")))
+    return [r[2] for r in sorted(met.select(_SLICE, "_rank", column).collect(), key=lambda r: (r[0], r[1]))]
+
+
 ACCURACY = 10_000  # a quantile sketch misses a rank by at most this part of a group's rows
 
 

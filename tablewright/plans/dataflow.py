@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.sqltext import render, run_sql
 from tablewright.functions.types import schema_names
+from tablewright.operators.ordered import tile_borders
 from tablewright.operators.quality import run_suite, schema_validate
 from tablewright.operators.runlog import substitutions
 from tablewright.operators.transform import routine, transform
@@ -211,7 +212,8 @@ def _extract(spark: SparkSession, source: Mapping, connections: Mapping, ds: str
     sql = render(source.get("query") or f"SELECT * FROM {source['table']}", ds, run_id)
     rows = run_sql(spark, sql, frames)
     # the ranges that readers of a database would take, found and applied in the same way
-    predicates = partition_predicates(source, sql, lambda q: run_sql(spark, q, frames).collect(), "spark")
+    predicates = partition_predicates(
+        source, sql, lambda q: run_sql(spark, q, frames).collect(), "spark", lambda column, tiles: tile_borders(rows, column, tiles))
     return by_predicates(rows, predicates) if predicates else rows
 
 

@@ -119,7 +119,9 @@ def even_points(low: object, high: object, chunks: int) -> list[object]:
     return [p for p in dict.fromkeys(found) if p > low]
 
 
-def partition_predicates(source: Mapping, base: str, ask: Callable[[str], Sequence[Row]], dialect: str) -> list[str] | None:
+def partition_predicates(
+    source: Mapping, base: str, ask: Callable[[str], Sequence[Row]], dialect: str, borders: Callable[[str, int], Sequence] | None = None
+) -> list[str] | None:
     """Ranges of ``partition_column`` for ``num_partitions`` readers; None where the source names no column.
 
     ``base`` is the query or table, ``ask`` runs a query in the source and returns its few
@@ -127,6 +129,8 @@ def partition_predicates(source: Mapping, base: str, ask: Callable[[str], Sequen
     value, which the source answers from an index; text, and any column with
     ``partition_by: quantile``, at the borders of equally large tiles, for which the
     source sorts the column once. A source without rows, or with one value, is one range.
+    ``borders(column, tiles)`` finds the smallest value of each tile where the source is
+    Spark itself, whose NTILE over all rows is one task.
     """
     column, chunks = source.get("partition_column"), int(source.get("num_partitions", 1))
     if not column:
@@ -144,6 +148,8 @@ def partition_predicates(source: Mapping, base: str, ask: Callable[[str], Sequen
         return range_predicates(column, even_points(low, high, chunks), dialect)
     if how not in ("quantile", "range"):
         raise ValueError(f"unknown partition_by: {how!r}")
+    if borders:
+        return range_predicates(column, [value for value in borders(column, chunks) if value != low], dialect)
     tiles = ask(
         f"SELECT tile, MIN({column}) AS low FROM (SELECT {column}, NTILE({chunks}) OVER (ORDER BY {column}) AS tile "
         f"FROM {rows} WHERE {column} IS NOT NULL) t GROUP BY tile ORDER BY tile"

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import runlog as r
+from tablewright.plans import dataflow
 from tablewright.plans.dataflow import producer_of, resolve_config, run_pipeline, task_order
 from tablewright.sinks.store import TableStore
 from tablewright.sources.artifacts import Artifacts
@@ -187,3 +188,14 @@ def test_kafka_options_from_offsets():
 
     assert kafka_options("h:1", "t")["startingOffsets"] == "earliest"
     assert kafka_options("h:1", "t", starts={1: 7, 0: 3})["startingOffsets"] == '{"t": {"0": 3, "1": 7}}'
+
+
+def test_ranges_of_a_frame_ask_for_no_order_over_all_rows(spark, tmp_path, monkeypatch):
+    """NTILE without a partition is one task."""
+    asked, run_sql = [], dataflow.run_sql
+    monkeypatch.setattr(dataflow, "run_sql", lambda spark, sql, frames: asked.append(sql) or run_sql(spark, sql, frames))
+    source = {"connection": "c", "query": "SELECT * FROM t", "partition_column": "k", "partition_by": "quantile", "num_partitions": 3}
+    ranges = config({"task_id": "e", "type": "sql_extract", "source": source})
+    run = run_pipeline(spark, ranges, Artifacts(spark, str(tmp_path / "a")), TableStore(spark, str(tmp_path / "s")),
+                                {"c": {"t": spark.range(100).selectExpr("id % 9 AS k", "id")}}, run_id="r")
+    assert run.output("e").count() == 100 and asked and not any("OVER" in sql for sql in asked)

@@ -53,3 +53,11 @@ def test_newest_per_key_limits_rows_before_the_shuffle(skewed, rows, capsys):
     assert newest.count() == skewed.select("k").distinct().count()
     newest.explain()
     assert capsys.readouterr().out.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize(("column", "tiles"), [("id", 7), ("at", 4), ("v", 5), ("k", 6), ("u", 3), ("id", 5000)])
+def test_tile_borders_equal_ntile(skewed, column, tiles):
+    known = skewed.where(F.col(column).isNotNull()).withColumn("tile", F.ntile(tiles).over(Window.orderBy(column)))
+    expected = [r[1] for r in known.groupBy("tile").agg(F.min(column)).orderBy("tile").collect()]
+    assert ordered.tile_borders(skewed, column, tiles) == expected
+    assert ordered.tile_borders(skewed.where("id < 0"), column, tiles) == []
