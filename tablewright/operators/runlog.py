@@ -14,13 +14,13 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.numeric import half_up, mean_of
 from tablewright.operators.merge import absent_rows, insert_if_absent, new, upsert
 from tablewright.operators.ordered import newest_per_key, percentile_bracket, percentile_within, with_previous
-from tablewright.session import shared_root
+from tablewright.session import scratch_path, shared_root
 
 RUN_STATES = ["success", "failed", "running", "queued"]
 TASK_STATES = ["success", "failed", "upstream_failed", "skipped", "running"]
@@ -158,25 +158,70 @@ def downstream(config: Column, task_id: Column) -> Column:
     return F.get(F.transform(F.array(config_tasks(config)), closed), F.lit(0))
 
 
-def task_edges(configs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, parent, child)`` of every dependency; each config is parsed once."""
-    tasks = configs.select(*keys, F.explode(config_tasks(F.col("config"))).alias("t"))
-    return tasks.select(*keys, F.explode("t.depends_on").alias("parent"), F.col("t.task_id").alias("child")).distinct()
+_EDGES = "ARRAY<STRUCT<parent: STRING, child: STRING>>"
+FEW_EDGES = 64  # a config of so many dependencies is followed within its row
+
+
+def config_edges(config: Column) -> Column:
+    """``(parent, child)`` of every dependency in a config, as an array."""
+    def of(task: Column) -> Column:
+        parents = F.coalesce(task["depends_on"], F.array().cast("array<string>"))
+        return F.transform(parents, lambda p: F.struct(p.alias("parent"), task["task_id"].alias("child")))
+
+    return F.coalesce(F.flatten(F.transform(config_tasks(config), of)), F.array().cast(_EDGES))
+
+
+def reached_from(start: str, edges: Column) -> Column:
+    """``start`` and all that follows from it along the edges of the row, in passes until one adds nothing."""
+    def follow(reached: Column, edge: Column) -> Column:
+        met = F.coalesce(F.array_contains(reached, edge["parent"]), F.lit(False))
+        return F.when(met, F.array_union(reached, F.array(edge["child"]))).otherwise(reached)
+
+    def once(state: Column, _pass: Column) -> Column:
+        def told(grown: Column) -> Column:
+            return F.struct(grown.alias("reached"), (F.size(grown) > F.size(state["reached"])).alias("open"))
+
+        more = F.get(F.transform(F.array(F.aggregate(edges, state["reached"], follow)), told), F.lit(0))
+        return F.when(state["open"], more).otherwise(state)
+
+    begin = F.struct(F.array(F.lit(start)).alias("reached"), F.lit(True).alias("open"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(edges) + 1), begin, once)["reached"]
 
 
 def downstream_tasks(configs: DataFrame, start: str, keys: Sequence[str] = ("pipeline_id", "version")) -> DataFrame:
     """``(keys, task_id)``: in every config the task ``start`` and all that depends on it, directly or not.
 
-    A fixpoint over the edges of all configs at once. A round adds what is as many
-    steps away as all rounds before have covered, from paths of that length, which
-    are then joined to paths of twice the length; so a chain of n tasks takes log n rounds.
+    A config with at most ``FEW_EDGES`` dependencies that is the only one of its keys is
+    followed within its row. Larger ones, and the dependencies of several configs with
+    equal keys, which make one graph, go through a fixpoint over edges. Parsed
+    configs are written once, as both read them. A config that lacks a key has ``start`` alone.
+    """
+    keys = list(keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    parsed = configs.where(known).select(*keys, config_edges(F.col("config")).alias("_edges"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1
+    graphs = parsed.withColumn("_few", alone & (F.size("_edges") <= FEW_EDGES))
+    seen, path = Observation(), scratch_path(configs.sparkSession, "graphs")
+    graphs.observe(seen, F.count_if(~F.col("_few")).alias("others")).write.parquet(path)
+    graphs = configs.sparkSession.read.parquet(path)
+    few = graphs.where("_few").select(*keys, F.explode(reached_from(start, F.col("_edges"))).alias("task_id"))
+    unnamed = configs.where(~known).select(*keys, F.lit(start).alias("task_id")).distinct()
+    found = few.unionByName(unnamed)
+    return found.unionByName(_fixpoint(graphs.where(~F.col("_few")), start, keys)) if seen.get["others"] else found
+
+
+def _fixpoint(graphs: DataFrame, start: str, keys: list[str]) -> DataFrame:
+    """``(keys, task_id)`` over the edges of all graphs at once.
+
+    A round adds what is as many steps away as all rounds before have covered, from
+    paths of that length, which are then joined to paths of twice the length; so a chain of n tasks takes log n rounds.
     It stops when a round adds nothing, also where tasks depend on each other in a circle.
     Rounds are checkpointed, which keeps plans short and survives lost executors.
     """
-    shared_root(configs.sparkSession)
-    keys = list(keys)
-    reached = configs.select(*keys, F.lit(start).alias("task_id")).distinct().checkpoint()
-    paths = task_edges(configs, keys).checkpoint()
+    shared_root(graphs.sparkSession)
+    reached = graphs.select(*keys, F.lit(start).alias("task_id")).distinct().checkpoint()
+    edges = graphs.select(*keys, F.explode("_edges").alias("e"))
+    paths = edges.select(*keys, "e.parent", "e.child").distinct().checkpoint()
     while True:
         found = reached.withColumnRenamed("task_id", "parent").join(paths, [*keys, "parent"]).select(*keys, F.col("child").alias("task_id"))
         added = found.distinct().join(reached, [*keys, "task_id"], "left_anti").checkpoint()

@@ -243,3 +243,17 @@ def test_events_without_pipeline_stay_one_attempt(spark, rows):
 def test_placeholders_are_escaped_for_json(spark):
     df = spark.createDataFrame([('{"a": "${k}"}',)], "c string")
     assert df.select(r.resolve_placeholders(F.col("c"), {"k": 'x"\\y'})).first()[0] == '{"a": "x\\"\\\\y"}'
+
+
+def test_downstream_of_short_configs_needs_no_rounds(spark, rows, monkeypatch):
+    few = edges_of(spark, [("c", ["b"]), ("b", ["a", None]), ("d", []), ("a", ["c"])], [("z", ["a"])] * 3)
+    odd = spark.createDataFrame([(None, "1", '{"tasks":[{"task_id":"b","depends_on":["a"]}]}')] * 2 + [("n", "1", None)], few.schema)
+    expected = [("0", "a"), ("0", "b"), ("0", "c"), ("1", "a"), ("1", "z"), ("n", "a"), (None, "a")]
+    monkeypatch.setattr(r, "_fixpoint", None)
+    assert rows(r.downstream_tasks(few.unionByName(odd), "a").select("pipeline_id", "task_id")) == expected
+
+
+def test_downstream_of_configs_with_equal_keys_is_one_graph(spark, rows):
+    one, other = ([{"task_id": c, "depends_on": [p]}] for c, p in (("b", "a"), ("c", "b")))
+    df = spark.createDataFrame([("p", "1", json.dumps({"tasks": t})) for t in (one, other, one)], "pipeline_id string, version string, config string")
+    assert rows(r.downstream_tasks(df, "a").select("task_id")) == [("a",), ("b",), ("c",)]
