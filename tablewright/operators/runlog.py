@@ -542,25 +542,59 @@ def _held(columns: Sequence[str], df: DataFrame) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
-def _fold_marks(marks: DataFrame) -> DataFrame:
-    known = [c for c in marks.columns if c.startswith("known_")]
-    return marks.groupBy("task_run_id").agg(F.max("newest").alias("newest"), F.min("first").alias("first"), *[F.max(c).alias(c) for c in known])
+def _fold_marks(rows: DataFrame, newest: Column, first: Column, known: Mapping[str, Column]) -> DataFrame:
+    """One row per attempt.
+
+    The structs are built by the aggregate and not below it, so that what Spark sorts are
+    the flat rows, a third of their size.
+    """
+    latest = [F.max(value).alias(f"known_{c}") for c, value in known.items()]
+    return rows.groupBy("task_run_id").agg(F.max(newest).alias("newest"), F.min(first).alias("first"), *latest)
 
 
 def task_marks(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Task events folded to one row per attempt that still says at which event each value was written.
 
     Two such tables fold into one with ``merge_marks``, in any order and however often.
+    Events are dealt by attempt before they are folded: Spark sorts what it folds by
+    structs, and the partition of a scan can be of any size, that of a shuffle is bounded.
     """
+    return _fold_marks(events.repartition("task_run_id"), *_marks_of(events, order))
+
+
+def event_marks(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Every task event as a row of its own in the form of ``task_marks``; nothing is folded or shuffled yet."""
+    newest, first, known = _marks_of(events, order)
+    return events.select("task_run_id", newest.alias("newest"), first.alias("first"), *[m.alias(f"known_{c}") for c, m in known.items()])
+
+
+def _marks_of(events: DataFrame, order: Sequence[str]) -> tuple[Column, Column, dict[str, Column]]:
     at = F.struct(*order).alias("at")
-    return _fold_marks(events.select(
-        "task_run_id", F.struct(at, *_held(NEWEST, events)).alias("newest"), F.struct(at, *_held(FIRST, events)).alias("first"),
-        *[F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).alias("value"))).alias(f"known_{c}") for c in _held(KNOWN, events)],
-    ))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).alias("value"))) for c in _held(KNOWN, events)}
+    return F.struct(at, *_held(NEWEST, events)), F.struct(at, *_held(FIRST, events)), known
+
 
+def merge_marks(one: DataFrame, other: DataFrame, slices: int | None = None) -> DataFrame:
+    """Both tables folded into one, in ``slices`` parts dealt by attempt (None: as many as Spark takes).
 
-def merge_marks(one: DataFrame, other: DataFrame) -> DataFrame:
-    return _fold_marks(one.unionByName(other))
+    Rows travel flat, as structs inside a row take about twice the bytes, and with the
+    orders of all events side by side, which compresses well.
+    """
+    both = one.unionByName(other)
+    orders, others, built = [], [], {}
+    for mark in both.schema:
+        if mark.name == "task_run_id":
+            continue
+        at = [f"{mark.name}.at.{f.name}" for f in mark.dataType["at"].dataType]
+        values = [f"{mark.name}.{f.name}" for f in mark.dataType if f.name != "at"]
+        orders += [F.col(path).alias(path) for path in at]
+        others += [F.col(path).alias(path) for path in values]
+        at, values = ([F.col(f"`{path}`").alias(path.rpartition(".")[2]) for path in paths] for paths in (at, values))
+        built[mark.name] = F.struct(F.struct(*at).alias("at"), *values)
+    dealt = both.select("task_run_id", *orders, *others).repartition(*([slices] if slices else []), "task_run_id")
+    # a value that no event has written has no mark
+    known = {c.removeprefix("known_"): F.when(F.col(f"`{c}.value`").isNotNull(), m) for c, m in built.items() if c.startswith("known_")}
+    return _fold_marks(dealt, built["newest"], built["first"], known)
 
 
 def marked_state(marks: DataFrame) -> DataFrame:

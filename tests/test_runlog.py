@@ -245,6 +245,17 @@ def test_placeholders_are_escaped_for_json(spark):
     assert df.select(r.resolve_placeholders(F.col("c"), {"k": 'x"\\y'})).first()[0] == '{"a": "x\\"\\\\y"}'
 
 
+def below_exchange(df):
+    """The part of a plan under its first shuffle."""
+    return df._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning")[2]
+
+
+def test_task_events_are_dealt_before_they_are_sorted(spark):
+    """A sort below the shuffle holds a whole partition of the scan."""
+    under = below_exchange(r.task_run_upsert(spark.createDataFrame([], EVENT)))
+    assert under and "Sort" not in under
+
+
 def test_downstream_of_short_configs_needs_no_rounds(spark, rows, monkeypatch):
     few = edges_of(spark, [("c", ["b"]), ("b", ["a", None]), ("d", []), ("a", ["c"])], [("z", ["a"])] * 3)
     odd = spark.createDataFrame([(None, "1", '{"tasks":[{"task_id":"b","depends_on":["a"]}]}')] * 2 + [("n", "1", None)], few.schema)
