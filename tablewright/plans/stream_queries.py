@@ -69,7 +69,7 @@ def stream_task_upsert(t):
     store, checkpoint = _store(t), scratch_path(t.spark, "stream")
     path = scratch_path(t.spark, "feed")
     for seq in (2, 1, 2):
-        t.task_events.where(F.col("seq") == seq).write.mode("append").parquet(path)
+        t.task_events.where(F.col("seq") == seq).write.mode("append").parquet(path, compression="zstd")
         feed = streams.file_stream(t.spark, path, t.task_events.schema)
         streams.task_upsert(feed, store, "task_events", checkpoint)
     return streams.task_state(store, "task_events")

@@ -39,6 +39,8 @@ from tablewright.operators.merge import merge, require_unique_keys
 BUCKET = "_bucket"
 BUCKET_BYTES = 128 * 2**20  # what a bucket is meant to hold; past four times that the table is dealt out anew
 BUCKETS = 8, 8192  # fewest and most of a table
+COMPRESSION = "zstd"  # of stages and buckets, which are written again and again
+SLICE_BYTES = 16 * 2**20  # of stored and staged rows that one task of a fold takes
 RETRIES = 20  # times an append publishes again after another writer
 DAY = 86_400
 
@@ -261,8 +263,16 @@ class TableStore:
 
         return self.rewrite(table, df, keys, combine, unique=True)
 
+    def fold(self, table: str, df: DataFrame, keys: Sequence[str], combine: Callable[[DataFrame, DataFrame, int], DataFrame]) -> WriteStats:
+        """``rewrite`` by a ``combine`` that shuffles its rows by the keys, once, into as many partitions as its third argument says.
+
+        The number is a multiple of the number of buckets, so a partition lies in one
+        bucket and is written as it is, without a second shuffle.
+        """
+        return self.rewrite(table, df, keys, combine, folds=True)
+
     def rewrite(
-        self, table: str, df: DataFrame, keys: Sequence[str], combine: Callable[[DataFrame, DataFrame], DataFrame], unique: bool = False
+        self, table: str, df: DataFrame, keys: Sequence[str], combine: Callable[..., DataFrame], unique: bool = False, folds: bool = False
     ) -> WriteStats:
         """Replace the buckets of the staged keys by ``combine(their rows, staged rows)``.
 
@@ -276,7 +286,7 @@ class TableStore:
         bucket like others.
         """
         stage = f"{self._folder(table)}/stage-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(stage)
+        df.write.parquet(stage, compression=COMPRESSION)
         try:
             staged, now = self.spark.read.schema(df.schema).parquet(stage), self._current(table)
             if unique:
@@ -299,20 +309,21 @@ class TableStore:
                 hit = staged.select(number.alias("b")).union(added.select(number.alias("b"))).distinct()
                 touched = {r["b"] for r in hit.collect()}  # at most the number of buckets
             target = self._rows(self._paths(table, kept, touched), schema).unionByName(added)
-            out = combine(target, staged).withColumn(BUCKET, number)
-            stats, part = self._write_buckets(table, out, n)
+            slices = n * max(1, -(-held // (n * SLICE_BYTES)))
+            out = (combine(target, staged, slices) if folds else combine(target, staged)).withColumn(BUCKET, number)
+            stats, part = self._write_buckets(table, out if folds else out.hint("rebalance", BUCKET))
             left = [{**p, "buckets": [b for b in p["buckets"] if b not in touched]} for p in kept]
             self._publish(table, now, [*(p for p in left if p["buckets"]), part], layout, None if same else {})
             return stats
         finally:
             _remove(self.spark, stage)
 
-    def _write_buckets(self, table: str, df: DataFrame, n: int) -> tuple[WriteStats, dict]:
-        """A part with a folder for each bucket that has rows; Spark splits a bucket that is much larger than others."""
+    def _write_buckets(self, table: str, df: DataFrame) -> tuple[WriteStats, dict]:
+        """A part with a folder for each bucket that has rows; rebalanced, Spark splits a bucket that is much larger than others."""
         folder = f"part-{uuid.uuid4().hex[:12]}"
         path = f"{self._folder(table)}/{folder}"
         rows = df.drop(BUCKET)
-        stats = write_counted(df.hint("rebalance", BUCKET), path, "errorifexists", partition_by=BUCKET)
+        stats = write_counted(df, path, "errorifexists", partition_by=BUCKET, compression=COMPRESSION)
         stats.schema = schema_names(rows)
         fs, hadoop = _path(self.spark, path)
         names = [f.getPath().getName() for f in fs.listStatus(hadoop)]

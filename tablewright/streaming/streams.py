@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.quality import RESULT_SCHEMA, run_suite
-from tablewright.operators.runlog import marked_state, merge_marks, task_marks
+from tablewright.operators.runlog import event_marks, marked_state, merge_marks
 from tablewright.sinks.store import TableStore
 from tablewright.sources.messages import decode_json_or_raw
 
@@ -93,22 +93,18 @@ def quality(
 def task_upsert(stream: DataFrame, store: TableStore, table: str, checkpoint: str, order: Sequence[str] = ("seq",)) -> None:
     """Fold task events into a table with one row per attempt.
 
-    A micro-batch is folded first and rewrites only the hash buckets of its own
-    attempts, whatever the length of the log. The row keeps the order of the events that wrote
+    A micro-batch rewrites only the hash buckets of its own attempts, whatever the
+    length of the log; its events and the rows there are folded in one shuffle. The row keeps the order of the events that wrote
     its values, so a replayed batch changes nothing and a late event fills only what
     no later one has written.
     """
 
     def fold(batch: DataFrame, no: int) -> None:
-        store.rewrite(table, task_marks(batch, order), ["task_run_id"], _folded)
+        store.fold(table, event_marks(batch, order), ["task_run_id"], merge_marks)
 
     _each_batch(stream, checkpoint, fold)
 
 
-def _folded(target: DataFrame, staged: DataFrame) -> DataFrame:
-    return merge_marks(target, staged)
-
-
 def task_state(store: TableStore, table: str) -> DataFrame:
     """Latest state of every attempt, read as it is."""
     return marked_state(store.read(table))

@@ -1,5 +1,6 @@
 import datetime
 
+from tablewright.sinks import store as store_module
 from tablewright.sinks.store import TableStore
 from tablewright.streaming import streams
 
@@ -83,3 +84,14 @@ def test_quality_results_are_compacted(spark, tmp_path, monkeypatch):
         spark.createDataFrame([(i,)], "id int").coalesce(1).write.mode("append").parquet(feed)
         streams.quality(streams.file_stream(spark, feed, "id int"), [{"type": "not_null", "column": "id"}], store, "q", str(tmp_path / "mark"), "feed")
     assert store.read("q").count() == 5 and len(store._current("q").parts) == 3
+
+
+def test_a_batch_of_task_events_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """One shuffle folds events and stored rows, and each of its partitions lies in one bucket."""
+    plans, write = [], store_module.write_counted
+    monkeypatch.setattr(store_module, "write_counted", lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **b))
+    many = [(f"a{i}", "r", "p", "t", n, "RUNNING", T0, None, None, None, None) for i in range(200) for n in (1, 2)]
+    store = task_batches(spark, tmp_path, [many, many], ["m", "m"])
+    assert store.read("state").count() == 200
+    assert [plan.count("Exchange") for plan in plans] == [1, 1]
+    assert len(store.read("state").inputFiles()) == len(store.buckets("state")) == 8
