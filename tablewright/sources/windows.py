@@ -18,6 +18,7 @@ from tablewright.session import shared_root
 from tablewright.sinks.store import TableStore, WriteStats, path_exists
 
 OPEN_END = "9999-12-31 23:59:59.9999999"
+SLICE_ROWS = 500_000  # changes and base rows that one task of a merge takes
 DELETE, INSERT, BEFORE_UPDATE, AFTER_UPDATE = 1, 2, 3, 4
 
 
@@ -98,8 +99,14 @@ def cdc_extract(changes: DataFrame, base: DataFrame, key: str, operation: str =
     return changes.where(F.col(operation).isin(INSERT, AFTER_UPDATE)).join(base, key)
 
 
-def _latest_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str], operation: str) -> DataFrame:
-    return newest_per_key(changes.where(F.col(operation) != BEFORE_UPDATE), keys, [F.desc(c) for c in order])
+def _latest_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str], operation: str, slices: int | None = None) -> DataFrame:
+    """The newest change of each key.
+
+    Changes are dealt by key before they are put in order: the partition of a scan can be of any
+    size, and ranking there would sort all of it in one task.
+    """
+    dealt = changes.where(F.col(operation) != BEFORE_UPDATE).repartition(*([slices] if slices else []), *keys)
+    return newest_per_key(dealt, keys, [F.desc(c) for c in order])
 
 
 def cdc_apply_to(
@@ -121,9 +128,13 @@ def cdc_apply(
 ) -> DataFrame:
     """Base after the newest change of each key: deletes removed, the rest merged in.
 
-    The newest changes are checkpointed, as the merge reads them more than once.
+    The newest changes are checkpointed, as the merge reads them more than once. They
+    and the base are dealt into slices of a bounded number of rows, which the joins keep: Spark
+    would go by compressed bytes, of which short keys have very few.
     """
     shared_root(base.sparkSession)
-    latest = _latest_changes(changes, keys, order, operation).checkpoint()
+    slices = max(base.sparkSession.sparkContext.defaultParallelism, -(-(changes.count() + base.count()) // SLICE_ROWS))
+    latest = _latest_changes(changes, keys, order, operation, slices).checkpoint()
     taken = {c: new(c) for c in changes.columns if c in base.columns and c not in keys}
+    base, latest = (df.repartition(slices, *keys) for df in (base, latest))
     return upsert(base, latest, keys, taken, remove=new(operation) == DELETE)

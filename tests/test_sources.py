@@ -293,3 +293,11 @@ def test_user_views_and_literals_survive(spark, rows):
     days = "SELECT DATEDIFF('day', CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP)) AS d FROM orders"
     assert rows(run_sql(spark, days, {"orders": own})) == [(1,)]
     spark.catalog.dropTempView("orders")
+
+
+def test_changes_are_dealt_before_they_are_ranked(spark):
+    """A sort below the shuffle holds a whole partition of the scan."""
+    changes = spark.createDataFrame([], "id int, v string, operation int, lsn int")
+    plan = windows._latest_changes(changes, ["id"], ["lsn"], "operation")._jdf.queryExecution().executedPlan().toString()
+    under = plan.partition("Exchange hashpartitioning")[2]
+    assert under and "Sort" not in under and plan.count("Exchange") == 1
