@@ -28,10 +28,11 @@ import uuid
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import AtomicType, BinaryType, StringType, StructType, VariantType
 
 from tablewright.functions.types import schema_names
 from tablewright.operators.merge import merge, require_unique_keys
@@ -40,7 +41,9 @@ BUCKET = "_bucket"
 BUCKET_BYTES = 128 * 2**20  # what a bucket is meant to hold; past four times that the table is dealt out anew
 BUCKETS = 8, 8192  # fewest and most of a table
 COMPRESSION = "zstd"  # of stages and buckets, which are written again and again
-SLICE_BYTES = 16 * 2**20  # of stored and staged rows that one task of a fold takes
+BROADCAST_BYTES = 10 * 2**20  # of staged rows outside their files; past it a merge never broadcasts them
+SLICE_BYTES = 16 * 2**20  # of stored and staged rows that one task of a fold or a merge takes
+SLICE_ROWS = 500_000  # rows of both sides that one task of a merge takes
 RETRIES = 20  # times an append publishes again after another writer
 DAY = 86_400
 
@@ -115,6 +118,15 @@ def write_counted(df: DataFrame, path: str, mode: str = "overwrite", **options:
     return WriteStats(path, seen.get["rows"], schema_names(df), size_of(spark, path))
 
 
+def _memory(schema: StructType) -> Column:
+    """Bytes of a row outside a file, about: eight for each column, and the length of what is no number or instant as text."""
+    def length(column: str) -> Column:
+        return F.coalesce(F.octet_length(F.col(f"`{column}`").cast("string")), F.lit(0))
+
+    free = [f.name for f in schema.fields if not isinstance(f.dataType, AtomicType) or isinstance(f.dataType, StringType | BinaryType | VariantType)]
+    return reduce(lambda a, b: a + b, map(length, free), F.lit(8 * len(schema.fields)).cast("bigint"))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     fs, hadoop = _path(spark, path)
     fs.delete(hadoop, True)
@@ -177,7 +189,8 @@ class TableStore:
         return out
 
     def _rows(self, paths: Sequence[str], schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """Without paths no rows, in a form that lets Spark leave out the joins with them."""
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema).limit(0)
 
     def _frame(self, table: str, now: Version) -> DataFrame:
         if not now.parts:
@@ -284,8 +297,14 @@ class TableStore:
         appended since the last rewrite are dealt out by the next one. A table that
         does not exist starts as ``combine`` of no rows. Rows with a NULL key have a
         bucket like others.
+
+        Spark would broadcast staged rows by the bytes of their files, which may be a small part of
+        what they take in memory. That is counted while they are staged; past ``BROADCAST_BYTES`` both sides are dealt
+        by the keys into slices of a bounded number of rows and joined by merging, so the driver holds none of them.
         """
-        stage = f"{self._folder(table)}/stage-{uuid.uuid4().hex[:12]}"
+        stage, seen = f"{self._folder(table)}/stage-{uuid.uuid4().hex[:12]}", Observation()
+        if not folds:
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_memory(df.schema)).alias("bytes"))
         df.write.parquet(stage, compression=COMPRESSION)
         try:
             staged, now = self.spark.read.schema(df.schema).parquet(stage), self._current(table)
@@ -310,6 +329,11 @@ class TableStore:
                 touched = {r["b"] for r in hit.collect()}  # at most the number of buckets
             target = self._rows(self._paths(table, kept, touched), schema).unionByName(added)
             slices = n * max(1, -(-held // (n * SLICE_BYTES)))
+            if not folds and (seen.get["bytes"] or 0) > BROADCAST_BYTES:
+                reached = held if touched is None else held * len(touched) // n
+                many = -(-(seen.get["rows"] + target.count()) // SLICE_ROWS), -(-reached // SLICE_BYTES)
+                dealt = max(self.spark.sparkContext.defaultParallelism, *many)
+                target, staged = target.repartition(dealt, *keys), staged.repartition(dealt, *keys).hint("merge")
             out = (combine(target, staged, slices) if folds else combine(target, staged)).withColumn(BUCKET, number)
             stats, part = self._write_buckets(table, out if folds else out.hint("rebalance", BUCKET))
             left = [{**p, "buckets": [b for b in p["buckets"] if b not in touched]} for p in kept]

@@ -15,10 +15,9 @@ from pyspark.sql.types import TimestampNTZType
 from tablewright.operators.merge import new, upsert
 from tablewright.operators.ordered import newest_per_key
 from tablewright.session import shared_root
-from tablewright.sinks.store import TableStore, WriteStats, path_exists
+from tablewright.sinks.store import SLICE_ROWS, TableStore, WriteStats, path_exists
 
 OPEN_END = "9999-12-31 23:59:59.9999999"
-SLICE_ROWS = 500_000  # changes and base rows that one task of a merge takes
 DELETE, INSERT, BEFORE_UPDATE, AFTER_UPDATE = 1, 2, 3, 4
 
 

@@ -1,6 +1,7 @@
 import pytest
 
-from tablewright.operators.merge import insert_if_absent, merge
+from tablewright.operators.merge import insert_if_absent, merge, upsert
+from tablewright.sinks import store as stores
 from tablewright.sinks import targets
 from tablewright.sinks.store import TableStore, _write_new, fit_columns
 from tablewright.sources import windows
@@ -328,6 +329,43 @@ def test_cdc_apply_to_a_table(spark, store, rows):
     assert store.read("t").count() == 99
 
 
+def test_changes_that_compress_well_are_not_broadcast(spark, store, rows, monkeypatch):
+    """Their files are far below Spark's threshold, what they take in memory is not."""
+    plans = []
+
+    def seen(*args, **options):
+        out = upsert(*args, **options)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(windows, "upsert", seen)
+    store.merge("t", spark.range(0, 300_000, 2).selectExpr("id", "0L AS v", "'x' AS note"), ["id"])
+    many = spark.range(400_000).selectExpr("id", "1 AS lsn", "IF(id % 4 = 0, 1, 4) AS operation", "7L AS v")
+    windows.cdc_apply_to(store, "t", many, ["id"], ["lsn"])
+    windows.cdc_apply_to(store, "t", many.where("id < 10"), ["id"], ["lsn"])
+    assert "Broadcast" not in plans[0] and "Broadcast" in plans[1]
+    got = store.read("t").groupBy("v", "note").count()
+    assert rows(got) == [(7, "x", 75_000), (7, None, 225_000)]
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_dealt_and_broadcast_merges_agree(spark, store, rows, monkeypatch, limit):
+    """NULL keys, deletes and a key that many stored rows share come out the same."""
+    monkeypatch.setattr(stores, "BROADCAST_BYTES", limit)
+    store.merge("t", frame(spark, [(1, "a", 1), (2, "b", 2), (None, "n", 3)]), ["id"])
+    store.append("t", frame(spark, [(1, "again", 4), (None, "m", 9)]), "r1", "load")
+    store.merge("t", frame(spark, [(1, "A", None), (None, "N", 5), (7, "g", 7)]), ["id"])
+    changes = spark.createDataFrame([(2, 1, 1, None), (7, 4, 2, "G"), (None, 2, 3, "c"), (8, 1, 4, "d")], "id bigint, operation int, at int, name string")
+    windows.cdc_apply_to(store, "t", changes, ["id"], ["at"])
+    assert rows(store.read("t")) == [
+        (1, "A", None), (1, "A", None), (7, "G", 7), (None, "N", 5), (None, "c", None), (None, "m", 9), (None, "n", 3)]
+
+
+def test_memory_of_rows(spark):
+    df = spark.createDataFrame([(1, "four", b"ab", [10, 20]), (2, None, None, None)], "id int, s string, b binary, l array<int>")
+    assert [r[0] for r in df.select(stores._memory(df.schema)).collect()] == [32 + 4 + 2 + len("[10, 20]"), 32]
+
+
 def test_artifacts(spark, tmp_path):
     store = Artifacts(spark, str(tmp_path / "a"))
     stats = store.write(frame(spark, [(1, "a", 1), (2, "b", 2)]), "p", "r", "my-task", "tbl")
